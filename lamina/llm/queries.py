@@ -21,6 +21,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lamina.llm.decontaminate import find_items
+
+    return find_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op2_personal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lamina.llm.personal import KINDS, find_personal, spelled
+
+    found = find_personal(table(spark, sf_dir, "documents"))
+    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS)]
+    return found.select("doc_id", *counts, F.sha2(spelled("base").cast("binary"), 256).alias("base_sha256"), spelled("spans").alias("spans"))
+
+
 def op3_sentencepiece(spark: SparkSession, sf_dir: str, docs: DataFrame | None = None) -> DataFrame:
     from lamina.llm.pieces import encode_decode
 
@@ -39,6 +53,12 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(docs, model).withColumn("keep", F.col("p_top") >= 0.5)
 
 
+def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lamina.llm.jaccard import link_components
+
+    return link_components(table(spark, sf_dir, "documents"))
+
+
 def op9_language(spark: SparkSession, sf_dir: str, docs: DataFrame | None = None) -> DataFrame:
     from lamina.llm.language import held_out, predict, train, vocabulary
 
@@ -61,8 +81,11 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_decontaminate": op1_decontaminate,
+        "op2_personal": op2_personal,
         "op3_sentencepiece": op3_sentencepiece,
         "op4_quality": op4_quality,
+        "op8_jaccard": op8_jaccard,
         "op9_language": op9_language,
         "op10_token_counts": op10_token_counts,
     }
