@@ -79,6 +79,35 @@ def _automaton(items: list[tuple[int, str, int]]):
     return found
 
 
+class _Finder:
+    """Occurrences of a block of items in one text after another."""
+
+    def __init__(self, block: list[tuple[int, str, int]]):
+        self.block, self.automaton = block, _automaton(block)
+        self.masks: dict[int, tuple[dict[str, int], dict[str, int]]] = {}
+
+    def __call__(self, text: str) -> Iterator[tuple]:
+        """(item id, distance, start, stop) of each item found, at its closest occurrence."""
+        text = normal(text)
+        seen: dict[int, set[int]] = {}
+        for end, (size, where) in self.automaton.iter(text):
+            for n, offset in where:
+                seen.setdefault(n, set()).add(end + 1 - size - offset)
+        for n, begins in seen.items():
+            name, item, k = self.block[n]
+            if n not in self.masks:
+                self.masks[n] = (_masks(item), _masks(item[::-1]))
+            forth, back = self.masks[n]
+            best = None
+            for a, b in _windows(sorted(begins), len(item), k, len(text)):
+                distance, stop = myers(item, forth, text[a:b])
+                if distance <= k and (best is None or distance < best[0]):
+                    best = (distance, a + stop)
+            if best:
+                distance, stop = best
+                yield name, distance, stop - _reach(item[::-1], back, text[max(0, stop - len(item) - k) : stop][::-1], distance), stop
+
+
 def _item_blocks(items: DataFrame, item_id: str, item_text: str, error_rate: float, least_piece: int) -> Iterator[list[tuple[int, str, int]]]:
     block, size = [], 0
     for name, text in items.select(item_id, item_text).where(F.col(item_id).isNotNull()).toLocalIterator():
@@ -107,29 +136,10 @@ def find_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
 
     def matcher(block: list[tuple[int, str, int]]):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            automaton = _automaton(block)
-            masks: dict[int, tuple] = {}
+            finder = _Finder(block)
             for batch in batches:
                 for rows, texts in text_slices(batch, 1):
-                    out = []
-                    for at, text in enumerate(texts.to_pylist()):
-                        text = normal(text)
-                        seen: dict[int, set[int]] = {}
-                        for end, (size, where) in automaton.iter(text):
-                            for n, offset in where:
-                                seen.setdefault(n, set()).add(end + 1 - size - offset)
-                        for n, begins in seen.items():
-                            name, item, k = block[n]
-                            if n not in masks:
-                                masks[n] = (_masks(item), _masks(item[::-1]))
-                            best = None
-                            for a, b in _windows(sorted(begins), len(item), k, len(text)):
-                                distance, stop = myers(item, masks[n][0], text[a:b])
-                                if distance <= k and (best is None or distance < best[0]):
-                                    back = text[max(0, a + stop - len(item) - k) : a + stop][::-1]
-                                    best = (distance, a + stop - _reach(item[::-1], masks[n][1], back, distance), a + stop)
-                            if best:
-                                out.append((at, name, *best))
+                    out = [(at, *hit) for at, text in enumerate(texts.to_pylist()) for hit in finder(text)]
                     if out:
                         cols = list(zip(*out))
                         yield pa.RecordBatch.from_arrays([rows.column(0).take(pa.array(cols[0], pa.int64())), pa.array(cols[1], item_arrow), *(pa.array(c, pa.int32()) for c in cols[2:])], [id_col, item_id, "distance", "start", "stop"])
@@ -176,7 +186,19 @@ def _reach(pattern: str, masks: dict[str, int], text: str, distance: int) -> int
     return len(text)
 
 
-def without_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", **names) -> DataFrame:
-    """The documents in which find_items() finds nothing, with all their columns; rows with a null id stay."""
-    hits = find_items(docs, items, id_col, **names).select(F.col(id_col).alias("_hit")).where("_hit is not null").distinct()
-    return docs.join(hits, docs[id_col] == hits["_hit"], "left_anti")
+def without_items(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", error_rate: float = ERROR_RATE, least_piece: int = LEAST_PIECE) -> DataFrame:
+    """The rows of docs, with all columns, in whose text find_items() would find nothing; nothing is shuffled."""
+    at, columns, schema = docs.columns.index(text_col), docs.columns, docs.schema
+
+    def matcher(block: list[tuple[int, str, int]]):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            finder = _Finder(block)
+            for batch in batches:
+                for rows, texts in text_slices(batch, at):
+                    yield rows.filter(pa.array([next(finder(t), None) is None for t in texts.to_pylist()], pa.bool_())).rename_columns(columns)
+
+        return run
+
+    for block in _item_blocks(items, item_id, item_text, error_rate, least_piece):
+        docs = docs.mapInArrow(matcher(block), schema)
+    return docs

@@ -155,6 +155,8 @@ def train(docs: DataFrame, pieces: list[str], text_col: str = "text", lang_col:
 
         got = rows.mapInArrow(step, "lang string, piece int, n double").groupBy("lang", "piece").agg(F.sum("n").alias("n")).toPandas()
         langs = sorted(got["lang"].unique())
+        if not langs:
+            break
         c = np.zeros((len(pieces) + 1, len(langs)))
         c[got["piece"].to_numpy(), [langs.index(g) for g in got["lang"]]] = got["n"].to_numpy()
         c = c + 0.01
@@ -163,6 +165,38 @@ def train(docs: DataFrame, pieces: list[str], text_col: str = "text", lang_col:
     return found
 
 
+class _Scorer:
+    """Language and posterior of texts, with a table of the distinct words met so far (begun anew beyond TABLE_WORDS)."""
+
+    def __init__(self, pieces: list[str], langs: list[str], p: np.ndarray):
+        self.lattice, self.langs, self.p = Lattice(pieces), langs, np.maximum(p, FLOOR * 1e-3)
+        self.index: dict[str, int] = {}
+        self.scores = np.zeros((1 << 12, len(langs)))
+
+    def __call__(self, texts: list[str]) -> tuple[list[str], list[float]]:
+        lists = [_words(t) for t in texts]
+        if len(self.index) > TABLE_WORDS:
+            self.index.clear()
+        new = list(dict.fromkeys(w for words in lists for w in words if w not in self.index)) if self.langs else []
+        while len(self.index) + len(new) > len(self.scores):
+            self.scores = np.vstack([self.scores, np.zeros_like(self.scores)])
+        for i in range(0, len(new), 4096):
+            part, n = new[i : i + 4096], len(self.index)
+            self.scores[n : n + len(part)] = np.log(self.lattice.forward(part, self.p)[2])
+            self.index.update(zip(part, range(n, n + len(part))))
+        names, values = [], []
+        for words in lists:
+            if not self.langs or not any(c.isalpha() for w in words for c in w):
+                names.append("und")
+                values.append(0.0)
+                continue
+            total = self.scores[np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))].sum(0)
+            best = int(total.argmax())
+            names.append(self.langs[best])
+            values.append(float(1 / np.exp(total - total[best]).sum()))
+        return names, values
+
+
 def predict(docs: DataFrame, pieces: list[str], langs: list[str], p: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Predicted language of every whole text: (id_col, lang_pred string, score double).
 
@@ -172,34 +206,27 @@ def predict(docs: DataFrame, pieces: list[str], langs: list[str], p: np.ndarray,
     was learned. Repeated rows are kept; other columns are not read.
     """
     id_type = docs.schema[id_col].dataType.simpleString()
-    table_p = np.vstack([np.maximum(p, FLOOR * 1e-3), np.zeros((1, p.shape[1]))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lattice = Lattice(pieces)
-        index: dict[str, int] = {}
-        scores = np.zeros((1 << 12, len(langs)))
+        scorer = _Scorer(pieces, langs, p)
         for batch in batches:
             for rows, texts in text_slices(batch, 1):
-                lists = [_words(t) for t in texts.to_pylist()]
-                if len(index) > TABLE_WORDS:
-                    index.clear()
-                new = list(dict.fromkeys(w for words in lists for w in words if w not in index))
-                while len(index) + len(new) > len(scores):
-                    scores = np.vstack([scores, np.zeros_like(scores)])
-                for i in range(0, len(new) if langs else 0, 4096):
-                    part = new[i : i + 4096]
-                    scores[len(index) : len(index) + len(part)] = np.log(lattice.forward(part, table_p)[2])
-                    index.update(zip(part, range(len(index), len(index) + len(part))))
-                names, values = [], []
-                for words in lists:
-                    if not langs or not any(c.isalpha() for w in words for c in w):
-                        names.append("und")
-                        values.append(0.0)
-                        continue
-                    total = scores[np.fromiter(map(index.__getitem__, words), np.int64, len(words))].sum(0)
-                    best = int(total.argmax())
-                    names.append(langs[best])
-                    values.append(float(1 / np.exp(total - total[best]).sum()))
+                names, values = scorer(texts.to_pylist())
                 yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(names, pa.string()), pa.array(values, pa.float64())], [id_col, "lang_pred", "score"])
 
     return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {id_type}, lang_pred string, score double")
+
+
+def in_known_language(docs: DataFrame, pieces: list[str], langs: list[str], p: np.ndarray, least_score: float = 0.5, text_col: str = "text") -> DataFrame:
+    """The rows of docs, with all columns, whose text has a predicted language ('und' goes) of at least least_score; if no language was learned, those with a letter."""
+    at, columns = docs.columns.index(text_col), docs.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = _Scorer(pieces, langs, p)
+        for batch in batches:
+            for rows, texts in text_slices(batch, at):
+                names, values = scorer(texts.to_pylist())
+                keep = [n != "und" and v >= least_score for n, v in zip(names, values)] if langs else [any(map(str.isalpha, t)) for t in texts.to_pylist()]
+                yield rows.filter(pa.array(keep, pa.bool_())).rename_columns(columns)
+
+    return docs.mapInArrow(run, docs.schema)
