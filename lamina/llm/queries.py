@@ -53,6 +53,12 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(docs, model).withColumn("keep", F.col("p_top") >= 0.5)
 
 
+def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lamina.llm.topk import quantised, top_products
+
+    return top_products(quantised(table(spark, sf_dir, "embeddings")), F.col("id") % 20 == 0, 20)
+
+
 def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lamina.llm.jaccard import link_components
 
@@ -85,11 +91,31 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_personal": op2_personal,
         "op3_sentencepiece": op3_sentencepiece,
         "op4_quality": op4_quality,
+        "op5_topk": op5_topk,
         "op8_jaccard": op8_jaccard,
         "op9_language": op9_language,
         "op10_token_counts": op10_token_counts,
     }
 
 
+OP5_SQL = """
+WITH v AS (
+  SELECT vec_id, [CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS e
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+), e AS (
+  SELECT vec_id, unnest(range(1, len(e) + 1)) AS i, unnest(e) AS x FROM v
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(sum(q.x * c.x) AS BIGINT) AS score
+  FROM e q JOIN e c ON q.i = c.i AND q.vec_id <> c.vec_id
+  WHERE q.vec_id % 20 = 0
+  GROUP BY ALL
+), r AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s
+)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 20
+"""
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_topk": OP5_SQL}
