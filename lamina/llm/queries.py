@@ -59,6 +59,20 @@ def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_products(quantised(table(spark, sf_dir, "embeddings")), F.col("id") % 20 == 0, 20)
 
 
+def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lamina.llm.substrings import remove_repeats
+
+    found = remove_repeats(table(spark, sf_dir, "documents"))
+    removed = (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed")
+    return found.select("doc_id", "n_bytes", removed.cast("long").alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lamina.llm.licenses import scan
+
+    return scan(table(spark, sf_dir, "documents"))
+
+
 def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lamina.llm.jaccard import link_components
 
@@ -92,6 +106,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_sentencepiece": op3_sentencepiece,
         "op4_quality": op4_quality,
         "op5_topk": op5_topk,
+        "op6_substrings": op6_substrings,
+        "op7_licenses": op7_licenses,
         "op8_jaccard": op8_jaccard,
         "op9_language": op9_language,
         "op10_token_counts": op10_token_counts,
@@ -118,4 +134,6 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank
 """
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_topk": OP5_SQL}
+    from lamina.llm.licenses import oracle
+
+    return {"op5_topk": OP5_SQL, "op7_licenses": oracle()}
