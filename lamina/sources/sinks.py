@@ -143,7 +143,7 @@ class DumpSink(Sink):
         super().close()
 
 
-def dump_parts(df: DataFrame, path: str, compression: str = "zstd") -> int:
+def dump_parts(df: DataFrame, path: str, compression: str = "gzip") -> int:
     """A table's COPY rows as compressed text parts, written by all executors; returns the rows."""
     return _observed(copy_rows(df, drop_binary=True), lambda d: d.write.mode("overwrite").option("compression", compression).text(path))
 
