@@ -8,6 +8,7 @@ from __future__ import annotations
 import math
 import re
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -105,14 +106,25 @@ def _hashed(shingle: Column, band: int) -> Column:
     return F.xxhash64(shingle, F.lit(band))
 
 
-def _hashed_all(band: int) -> Column:
-    return F.transform("s", lambda x: _hashed(x, band))
+def _near(words: Column, number: int, g: Geometry, known: Column) -> Column:
+    """Windows (geometry, at, sig: each band's minimum, part: its shingles) that share a band's minimum with a template."""
 
+    def windows(shingles: Column) -> Column:
+        hashes = F.transform(F.sequence(F.lit(0), F.lit(g.bands - 1)), lambda k: F.transform(shingles, lambda x: F.xxhash64(x, k)))
 
-def _near(starts: Column, window: int, known: Column) -> Column:
-    """Windows (at, sig: each band's minimum) that share a band's minimum with a template."""
-    signed = F.transform(starts, lambda i: F.struct(i.alias("at"), F.transform("h", lambda h: F.array_min(F.slice(h, i + 1, window))).alias("sig")))
-    return F.filter(signed, lambda w: F.arrays_overlap(w["sig"], known))
+        def signed(rows: Column) -> Column:
+            starts = F.sequence(F.lit(0), F.size(shingles) - 1, F.lit(g.stride))
+            return F.transform(starts, lambda i: F.struct(i.alias("at"), F.transform(rows, lambda h: F.array_min(F.slice(h, i + 1, g.window))).alias("sig")))
+
+        kept = F.filter(_bound(hashes, signed), lambda w: F.arrays_overlap(w["sig"], known))
+        return F.transform(kept, lambda w: F.struct(F.lit(number).alias("geometry"), w["at"].alias("at"), w["sig"].alias("sig"), F.slice(shingles, w["at"] + 1, g.window).alias("part")))
+
+    return F.when(F.size(words) >= g.width, _bound(_shingles(words, g.width), windows))
+
+
+def _bound(value: Column, use) -> Column:
+    """use(value) with the value computed once: a one-element transform binds it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
 
 
 def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -131,32 +143,31 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, id_col:
     result = f"`{id_col}` {id_type}, template int, license string, containment double, first_word int"
     if not geometries:
         return spark.createDataFrame([], result)
-    norm = F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(F.col(text_col)), "[^a-z0-9]+", " ")), F.lit(" "))
-    base = docs.select(F.col(id_col).alias("id"), norm.alias("norm")).where("norm is not null")
+    lowered = F.lower(F.col(text_col))
+    # cheap and lossless first: a text without the longest word of any pivot holds no pivot
+    keys = sorted({max(p.split(), key=len) for g in geometries for t in g.templates for p in t.pivots})
+    some = reduce(Column.__or__, [F.contains(lowered, F.lit(k)) for k in keys])
+    norm = F.concat(F.lit(" "), F.trim(F.regexp_replace(lowered, "[^a-z0-9]+", " ")), F.lit(" "))
+    base = docs.where(some).select(F.col(id_col).alias("id"), norm.alias("norm"))
     # one flag for each geometry: does the text hold a pivot of its templates
-    flags = [F.array_contains(_array([F.contains("norm", F.lit(f" {p} ")) for t in g.templates for p in t.pivots]), True) for g in geometries]
+    flags = [reduce(Column.__or__, [F.contains("norm", F.lit(f" {p} ")) for t in g.templates for p in t.pivots]) for g in geometries]
     base = base.withColumn("flags", _array(flags)).where(F.array_contains("flags", True))
     base = base.select("id", "flags", F.split(F.trim("norm"), " ").alias("words"))
-    windows = []
-    for number, g in enumerate(geometries):
-        own = _shingles(F.col("words"), g.width)
-        # minima of one hash function for each band, over slices of the text's shingles
-        sample = [_array([F.array_min(_array([_hashed(F.lit(s), k) for s in t.shingles])) for k in range(g.bands)]).alias(str(t.number)) for t in g.templates]
-        wanted = spark.range(1).select(*sample).first()
-        bands = [(t.number, k, wanted[str(t.number)][k]) for t in g.templates for k in range(g.bands)]
-        known = _array([F.lit(v) for v in sorted({v for _, _, v in bands})])
-        rows = base.where(F.col("flags")[number]).select("id", own.alias("s")).where(F.size("s") > 0)
-        rows = rows.select("id", "s", _array([_hashed_all(k) for k in range(g.bands)]).alias("h"))
-        starts = F.sequence(F.lit(0), F.size("s") - 1, F.lit(g.stride))
-        near = _near(starts, g.window, known)
-        found = rows.select("id", "s", F.explode(near).alias("w")).select("id", "w.at", F.slice("s", F.col("w.at") + 1, g.window).alias("part"), F.posexplode("w.sig").alias("band", "value"))
-        retrieved = found.join(F.broadcast(spark.range(1).select(F.inline(_array([F.struct(F.lit(t).alias("template"), F.lit(k).alias("band"), F.lit(v).alias("value")) for t, k, v in bands])))), ["band", "value"])
-        windows.append(retrieved.select("id", "at", "part", "template").dropDuplicates(["id", "at", "template", "part"]))
+    # the windows of every geometry in one pass over the texts
+    sample = [_array([F.array_min(_array([_hashed(F.lit(s), k) for s in t.shingles])) for k in range(g.bands)]).alias(str(t.number)) for g in geometries for t in g.templates]
+    wanted = spark.range(1).select(*sample).first()
+    bands = [(t.number, n, k, wanted[str(t.number)][k]) for n, g in enumerate(geometries) for t in g.templates for k in range(g.bands)]
+    near = []
+    for n, g in enumerate(geometries):
+        known = _array([F.lit(v) for v in sorted({v for _, m, _, v in bands if m == n})])
+        near.append(F.when(F.col("flags")[n], _near(F.col("words"), n, g, known)))
+    none = F.array().cast("array<struct<geometry:int,at:int,sig:array<bigint>,part:array<string>>>")
+    found = base.select("id", F.explode(F.flatten(_array([F.coalesce(x, none) for x in near]))).alias("w"))
+    found = found.select("id", "w.geometry", "w.at", "w.part", F.posexplode("w.sig").alias("band", "value"))
+    table = spark.range(1).select(F.inline(_array([F.struct(F.lit(t).alias("template"), F.lit(n).alias("geometry"), F.lit(k).alias("band"), F.lit(v).alias("value")) for t, n, k, v in bands])))
+    every = found.join(F.broadcast(table), ["geometry", "band", "value"]).select("id", "at", "part", "template")
     texts = F.create_map(*[x for g in geometries for t in g.templates for x in (F.lit(t.number), _array([F.lit(s) for s in t.shingles]))])
     names = F.create_map(*[x for g in geometries for t in g.templates for x in (F.lit(t.number), F.lit(t.name))])
-    every = windows[0]
-    for w in windows[1:]:
-        every = every.unionByName(w)
     every = every.withColumn("want", texts[F.col("template")])
     every = every.withColumn("containment", F.size(F.array_intersect("want", "part")) / F.size("want")).where(F.col("containment") >= CONTAINMENT)
     first = F.col("at") + F.array_position(F.transform("part", lambda x: F.array_contains(F.col("want"), x)), True).cast("int") - 1
