@@ -2,16 +2,37 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lamina.llm import decontaminate, jaccard, language, personal, queries
-from lamina.llm.common import written
+from lamina.llm.common import ScratchScope, written
 
 #: No SQL for run(): language scores, edit matching and SentencePiece ids have none. Tested against a plain version instead.
 ORACLE_SQL = None
 
 
+_last: list[ScratchScope] = []
+
+
+def _stage(f):
+    """A stage whose scratch tables go when the next stage starts: by then its output has been written."""
+
+    @functools.wraps(f)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        while _last:
+            _last.pop().close(spark)
+        with ScratchScope() as scope:
+            out = f(spark, docs, sf_dir)
+        _last.append(scope)
+        return out
+
+    return run_stage
+
+
+@_stage
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Learn languages from the labelled rows and drop texts without letters or without a likely language."""
     pieces = language.vocabulary(queries.tokenizer_path(queries.PIECE_MODEL))
@@ -19,6 +40,7 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return language.in_known_language(docs, pieces, langs, p)
 
 
+@_stage
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep of each linked group the document with the smallest id; rows without an id stay."""
     linked = jaccard.link_components(docs.select("doc_id", "text").where("doc_id is not null"))
@@ -28,16 +50,19 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return once.unionByName(docs.where("doc_id is null"))
 
 
+@_stage
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that hold a benchmark item."""
     return decontaminate.without_items(docs, queries.table(spark, sf_dir, "benchmark"))
 
 
+@_stage
 def personal_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replace personal data by its kind and count the characters anew."""
     return personal.redacted(docs).withColumn("n_chars", F.when(F.col("text").isNotNull(), F.char_length("text")).cast(docs.schema["n_chars"].dataType))
 
 
+@_stage
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Encode and decode what is left: ids, counts and digests for each document."""
     return queries.op3_sentencepiece(spark, sf_dir, docs)
@@ -56,5 +81,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents, each written and read again."""
     docs = queries.table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
-        docs = written(stage(spark, docs, sf_dir), f"stage{k}")
+        docs = written(stage(spark, docs, sf_dir), f"stage{k}", scratch=False)
     return docs

@@ -20,18 +20,55 @@ def shared_dir(spark: SparkSession) -> str:
     return set_dir or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_lamina_scratch"
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
+#: Scratch tables made in this process and not yet discarded.
+_made: list[str] = []
+
+
+def written(df: DataFrame, label: str, scratch: bool = True) -> DataFrame:
     """Write df as a Parquet table in the shared folder and read it again: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lamina/{label}-{uuid.uuid4().hex}"
+    if scratch:
+        _made.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def discard(table: DataFrame) -> None:
+    """Delete a scratch table that written() made and nothing will read again."""
+    files = table.inputFiles()[:1]
+    for path in [p for p in _made if files and p.rsplit("/", 1)[1] in files[0]]:
+        _delete(table.sparkSession, path)
+        _made.remove(path)
+
+
+class ScratchScope:
+    """Scratch tables made inside the block, which close() deletes once its results are written."""
+
+    def __enter__(self) -> ScratchScope:
+        self.start = len(_made)
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.paths = _made[self.start :]
+
+    def close(self, spark: SparkSession) -> None:
+        for path in self.paths:
+            if path in _made:
+                _delete(spark, path)
+                _made.remove(path)
+        self.paths = []
+
+
 def purge_scratch(spark: SparkSession) -> None:
     """Delete every table that written() has made below this session's shared folder."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/lamina")
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(spark, f"{shared_dir(spark)}/lamina")
+    _made.clear()
 
 
 def string_array(column: pa.Array) -> pa.Array:
@@ -129,3 +166,26 @@ def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     last[edge] = ~space[edge]
     starts, stops = np.flatnonzero(first), np.flatnonzero(last) + 1
     return run_hashes(_LOWER[data], starts, stops), np.searchsorted(ends, starts, "right") - 1
+
+
+#: Byte classes: 0 white space, 1 letters, digits and all bytes beyond ASCII, 2 other signs.
+_CLASS = np.full(256, 2, np.uint8)
+_CLASS[[0x20, 9, 10, 11, 12, 13]] = 0
+_CLASS[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = 1
+
+
+def class_runs(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of letters and of signs in all texts: (bytes with A-Z lowered, starts, stops, number of each run's text)."""
+    data, ends = byte_view(texts)
+    if not len(data):
+        none = np.zeros(0, np.int64)
+        return data, none, none, none
+    kind = _CLASS[data]
+    turn = np.ones(len(data) + 1, bool)
+    turn[1:-1] = kind[1:] != kind[:-1]
+    turn[ends[1:-1]] = True
+    cuts = np.flatnonzero(turn)
+    starts, stops = cuts[:-1], cuts[1:]
+    keep = kind[starts] > 0
+    starts, stops = starts[keep], stops[keep]
+    return _LOWER[data], starts, stops, np.searchsorted(ends, starts, "right") - 1

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lamina.llm.common import written
+from lamina.llm.common import discard, written
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -27,6 +27,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         small = moved.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(moved.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
         after = written(small, "edges")
         same = after.count() == edges.count() and after.join(edges, ["u", "v"], "left_anti").isEmpty()
+        discard(edges)
         edges = after
         if same:
             break

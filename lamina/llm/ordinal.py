@@ -10,10 +10,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lamina.llm.common import text_slices, word_hashes
+from lamina.llm.common import _CLASS, class_runs, mix64, run_hashes, text_slices
 
 #: Buckets of hashed words, and the most labelled rows that a fit reads (taken by hash of the id).
 BUCKETS, MOST_ROWS = 1 << 18, 24_000
+#: Bytes of a run's beginning that are a feature of their own.
+PREFIX = 5
+REPEATS = (1, 2, 4, 8, 16, 32)
 
 
 @dataclass(frozen=True)
@@ -28,17 +31,28 @@ class OrdinalModel:
 
 
 def _features(texts: pa.Array, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct hashed words: (text number, bucket), in that order; a word counts once in a text."""
-    hashes, owner = word_hashes(texts)
-    key = np.unique(owner * buckets + (hashes % np.uint64(buckets)).astype(np.int64))
+    """Distinct hashed features (text number, bucket), in that order: runs of letters, runs of signs, the first PREFIX bytes of longer runs, and how often a run follows itself and a sign occurs (a feature for each count in REPEATS reached)."""
+    data, starts, stops, owner = class_runs(texts)
+    if not len(starts):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    runs = run_hashes(data, starts, stops)
+    long = stops - starts > PREFIX
+    again = np.flatnonzero((runs[1:] == runs[:-1]) & (owner[1:] == owner[:-1]) & (stops[1:] - starts[1:] > 1))
+    counts = np.bincount(owner[again])
+    levels = [np.flatnonzero(counts >= n) for n in REPEATS]
+    signs = _CLASS[data[starts]] == 2
+    pair, seen = np.unique(np.stack([owner[signs].astype(np.uint64), runs[signs]]), axis=1, return_counts=True)
+    often = [pair[:, seen >= n] for n in REPEATS[1:]]
+    hashes = np.concatenate([runs, ~run_hashes(data, starts[long], starts[long] + PREFIX), *(np.full(len(x), mix64(np.uint64([n]))[0]) for x, n in zip(levels, REPEATS)), *(mix64(x[1] + np.uint64(n)) for x, n in zip(often, REPEATS[1:]))])
+    key = np.unique(np.concatenate([owner, owner[long], *levels, *(x[0].astype(np.int64) for x in often)]) * buckets + (hashes % np.uint64(buckets)).astype(np.int64))
     return key // buckets, key % buckets
 
 
-def fit(docs: DataFrame, grades: DataFrame, id_col: str = "doc_id", text_col: str = "text", grade_col: str = "grade", buckets: int = BUCKETS, most_rows: int = MOST_ROWS, epochs: int = 12, least_df: int = 4, seed: int = 7) -> OrdinalModel:
+def fit(docs: DataFrame, grades: DataFrame, id_col: str = "doc_id", text_col: str = "text", grade_col: str = "grade", buckets: int = BUCKETS, most_rows: int = MOST_ROWS, epochs: int = 12, least_df: int = 20, seed: int = 7) -> OrdinalModel:
     """Fit on at most most_rows labelled rows, chosen by hash of the id; grades has (id_col, grade_col: 0, 1, ... as integers).
 
     Rows with a null id or grade are left out; a null text counts as empty; of repeated ids the lowest grade counts.
-    Words seen in fewer than least_df fitted rows keep weight 0. With fewer than two grades all weights are 0.
+    Features seen in fewer than least_df fitted rows keep weight 0. With fewer than two grades all weights are 0.
     The fit is stochastic gradient descent with per-weight step sizes on the negative log-likelihood, on the driver.
     """
     wanted = grades.where(F.col(id_col).isNotNull() & F.col(grade_col).isNotNull()).groupBy(id_col).agg(F.min(grade_col).cast("int").alias("_grade"))
@@ -68,9 +82,10 @@ def fit(docs: DataFrame, grades: DataFrame, id_col: str = "doc_id", text_col: st
     share = np.clip([(y > k).mean() for k in range(n_cuts)], 1e-4, 1 - 1e-4)
     cuts = -np.log(share / (1 - share))
     cuts = np.maximum.accumulate(cuts + np.arange(n_cuts) * 1e-3)
-    g2, c2 = np.full(buckets, 1e-2), np.ones(n_cuts)
+    g2, c2 = np.ones(buckets), np.ones(n_cuts)
+    mean, mean_cuts, steps = np.zeros(buckets), np.zeros(n_cuts), 0
     levels = np.arange(n_cuts)
-    for _ in range(epochs):
+    for epoch in range(epochs):
         todo = order.permutation(len(y))
         for i in range(0, len(todo), 32):
             part = todo[i : i + 32]
@@ -84,11 +99,13 @@ def fit(docs: DataFrame, grades: DataFrame, id_col: str = "doc_id", text_col: st
             g = np.bincount(at, err.sum(1)[owner], buckets)
             some = np.flatnonzero(g)
             g2[some] += g[some] ** 2
-            weights[some] -= 0.3 * (g[some] + 1e-3 * weights[some]) / np.sqrt(g2[some])
+            weights[some] -= 0.1 * (g[some] + 0.2 * weights[some]) / np.sqrt(g2[some])
             gc = -err.sum(0)
             c2 += gc**2
             cuts = np.maximum.accumulate(cuts - 0.1 * gc / np.sqrt(c2))
-    return OrdinalModel(weights, cuts)
+            if 2 * epoch >= epochs:  # the mean of the later steps is steadier than the last
+                mean, mean_cuts, steps = mean + weights, mean_cuts + cuts, steps + 1
+    return OrdinalModel(mean / steps, mean_cuts / steps)
 
 
 def score(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
