@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Iterator
 
@@ -11,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that a Python worker turns into numpy arrays at once; one longer text stands alone.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -71,6 +72,31 @@ def purge_scratch(spark: SparkSession) -> None:
     _made.clear()
 
 
+#: Rows in one Arrow batch between the JVM and a worker: texts are large.
+BATCH_ROWS = 2000
+
+
+def lean_batches(spark: SparkSession) -> None:
+    """Let Arrow batches hold few rows, as the session's default suits short rows and would buffer tens of MB of text."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(name)) > BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
+def lean(run):
+    """run for mapInArrow, handing free memory back to the system at its end: workers live on for other operators."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except (OSError, AttributeError):  # another C library
+            pass
+
+    return wrapped
+
+
 def string_array(column: pa.Array) -> pa.Array:
     """Strings without nulls (null counts as empty) in one array with 64-bit offsets."""
     if isinstance(column, pa.ChunkedArray):

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lamina.llm.common import byte_view, mix64, text_slices, written
+from lamina.llm.common import byte_view, lean, mix64, text_slices, written
 
 #: Bytes of a window, of a cover gram, and on either side of a gram in its context.
 LENGTH, GRAM = 50, 24
@@ -25,7 +25,7 @@ SIDE = LENGTH - GRAM
 BLOCK, STEP, RANGE = 4 << 20, 1 << 18, 32 << 20
 
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
-_RECORD = np.dtype([("context", f"V{LENGTH + SIDE}"), ("left", "u1"), ("right", "u1"), ("number", "<u4"), ("least", "<i8"), ("most", "<i8")])
+_RECORD = np.dtype([("context", f"V{LENGTH + SIDE}"), ("left", "u1"), ("right", "u1"), ("least", "<i8"), ("most", "<i8")])
 _ANSWER = np.dtype([("number", "<u4"), ("first", "u1"), ("last", "u1"), ("doc", "<i8")])
 _NONE = np.iinfo(np.int64).max
 
@@ -69,37 +69,57 @@ def cover(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, np.concatenate(hashes)[first]
 
 
-def _short(hashes: np.ndarray) -> np.ndarray:
-    return hashes >> np.uint64(16)
+#: Bits of a gram's hash that are offered; the range holds more of it.
+OFFER_BITS, OFFER_BYTES = 32, 4
 
 
-def _parted(values: np.ndarray, ranges: int) -> np.ndarray:
-    return (values % np.uint64(ranges)).astype(np.int64)
+def _keys(hashes: np.ndarray, ranges: int) -> np.ndarray:
+    """Range (in front) and offered bits of each hash."""
+    low = (hashes >> np.uint64(1)) & np.uint64((1 << OFFER_BITS) - 1)
+    return ((hashes >> np.uint64(OFFER_BITS + 1)) % np.uint64(ranges)) << np.uint64(OFFER_BITS) | low
 
 
 def _wanted(hashes: np.ndarray, ranges: int) -> tuple[np.ndarray, np.ndarray]:
-    """A block's distinct short hashes, those met more than once twice, ordered by range and value: (values, cuts of the ranges)."""
-    values, counts = np.unique(_short(hashes), return_counts=True)
-    values = np.repeat(values, np.minimum(counts, 2))
-    part = _parted(values, ranges)
-    order = np.argsort(part, kind="stable")
-    return values[order], np.searchsorted(part[order], np.arange(ranges + 1))
+    """A block's distinct keys, those met more than once twice, in order: (keys, cuts of the ranges)."""
+    keys, counts = np.unique(_keys(hashes, ranges), return_counts=True)
+    keys = np.repeat(keys, np.minimum(counts, 2))
+    return keys, np.searchsorted(keys >> np.uint64(OFFER_BITS), np.arange(ranges + 1))
 
 
-def _six(values: np.ndarray) -> bytes:
-    return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+def _trimmed(keys: np.ndarray) -> bytes:
+    return np.ascontiguousarray(keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :OFFER_BYTES]).tobytes()
 
 
-def _from_six(blob: bytes) -> np.ndarray:
-    out = np.zeros((len(blob) // 6, 8), np.uint8)
-    out[:, :6] = np.frombuffer(blob, np.uint8).reshape(-1, 6)
+def _untrimmed(blob: bytes) -> np.ndarray:
+    out = np.zeros((len(blob) // OFFER_BYTES, 8), np.uint8)
+    out[:, :OFFER_BYTES] = np.frombuffer(blob, np.uint8).reshape(-1, OFFER_BYTES)
     return out.view("<u8").ravel()
 
 
-def _codec():
+def _columnar(rec: np.ndarray) -> bytes:
+    """Records field by field, which compresses better."""
+    return b"".join(np.ascontiguousarray(rec[name]).tobytes() for name in rec.dtype.names)
+
+
+def _records(blob: bytes, dtype: np.dtype) -> np.ndarray:
+    n, at = len(blob) // dtype.itemsize, 0
+    out = np.zeros(n, dtype)
+    for name in dtype.names:
+        kind = dtype[name]
+        out[name] = np.frombuffer(blob, kind, n, at)
+        at += n * kind.itemsize
+    return out
+
+
+def _steps(x: np.ndarray) -> np.ndarray:
+    """Rising numbers as their steps."""
+    return np.diff(x, prepend=0).astype("<u4")
+
+
+def _codec(level: int = 3):
     import zstandard
 
-    return zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
+    return zstandard.ZstdCompressor(level=level), zstandard.ZstdDecompressor()
 
 
 def _pack(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -108,7 +128,7 @@ def _pack(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        squeeze, _ = _codec()
+        squeeze, _ = _codec(6)
         number = TaskContext.get().partitionId() << 32
         ids, parts, lengths, size = [], [], [], 0
 
@@ -132,7 +152,7 @@ def _pack(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         if ids:
             yield out()
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), text_col).mapInArrow(run, "block long, ids array<long>, ends array<long>, data binary")
+    return docs.select(F.col(id_col).cast("long").alias("id"), text_col).mapInArrow(lean(run), "block long, ids array<long>, ends array<long>, data binary")
 
 
 def _block(row: dict, loose) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -151,9 +171,9 @@ def _offers(blocks: DataFrame, ranges: int) -> DataFrame:
                 data, ends, _ = _block(row, loose)
                 values, cuts = _wanted(cover(data, ends)[1], ranges)
                 parts = np.flatnonzero(np.diff(cuts))
-                yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int64()), pa.array([row["block"]] * len(parts), pa.int64()), pa.array([_six(values[cuts[p] : cuts[p + 1]]) for p in parts], pa.binary())], ["part", "block", "grams"])
+                yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int64()), pa.array([row["block"]] * len(parts), pa.int64()), pa.array([_trimmed(values[cuts[p] : cuts[p + 1]]) for p in parts], pa.binary())], ["part", "block", "grams"])
 
-    return blocks.mapInArrow(run, "part long, block long, grams binary")
+    return blocks.mapInArrow(lean(run), "part long, block long, grams binary")
 
 
 def _by_part(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[dict]]]:
@@ -175,7 +195,7 @@ def _repeats(offers: DataFrame, ranges: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, rows in _by_part(batches):
-            lists = [_from_six(r["grams"]) for r in rows]
+            lists = [_untrimmed(r["grams"]) for r in rows]
             _, back, counts = np.unique(np.concatenate(lists), return_inverse=True, return_counts=True)
             marks = np.split(counts[back] > 1, np.cumsum([len(x) for x in lists])[:-1])
             some = [i for i, m in enumerate(marks) if m.any()]
@@ -183,11 +203,11 @@ def _repeats(offers: DataFrame, ranges: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([rows[i]["block"] for i in some], pa.int64()), pa.array([part] * len(some), pa.int64()), pa.array([np.packbits(marks[i]).tobytes() for i in some], pa.binary())], ["block", "part", "marks"])
 
     dealt = offers.repartition(ranges, "part").sortWithinPartitions("part", "block")
-    return dealt.mapInArrow(run, "block long, part long, marks binary")
+    return dealt.mapInArrow(lean(run), "block long, part long, marks binary")
 
 
 def _contexts(blocks: DataFrame, ranges: int) -> DataFrame:
-    """Distinct contexts of a block's repeated grams for the bucket sort (part >= 0), and where they occur (part -1): (part, block, payload)."""
+    """Distinct contexts of a block's repeated grams for the bucket sort (part >= 0), and where they occur (part < 0): (part, block, base: number of the payload's first context, payload)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze, loose = _codec()
@@ -200,7 +220,7 @@ def _contexts(blocks: DataFrame, ranges: int) -> DataFrame:
                 for m in row["marks"]:
                     a, b = cuts[m["part"]], cuts[m["part"] + 1]
                     repeated[a:b] = np.unpackbits(np.frombuffer(m["marks"], np.uint8), count=b - a).astype(bool)
-                at = at[np.isin(_short(hashes), values[repeated])]
+                at = at[np.isin(_keys(hashes, ranges), values[repeated])]
                 doc = np.searchsorted(ends, at, "right") - 1
                 at, doc = at[ids[doc] != _NONE], doc[ids[doc] != _NONE]  # a document without an id is compared with none
                 if not len(at):
@@ -214,27 +234,31 @@ def _contexts(blocks: DataFrame, ranges: int) -> DataFrame:
                 key = np.zeros((len(at), LENGTH + SIDE + 2), np.uint8)
                 key[:, :-2] = span * full
                 key[:, -2], key[:, -1] = left, right
-                order = np.argsort(ids[doc], kind="stable")
-                distinct, first, back = np.unique(key[order].view(f"V{key.shape[1]}").ravel(), return_index=True, return_inverse=True)
+                first_of = np.argsort(ids[doc], kind="stable")
+                distinct, first, back = np.unique(key[first_of].view(f"V{key.shape[1]}").ravel(), return_index=True, return_inverse=True)
                 number = np.empty(len(at), np.int64)
-                number[order] = back
+                number[first_of] = back
                 most = np.full(len(distinct), np.iinfo(np.int64).min)
                 np.maximum.at(most, number, ids[doc])
-                rec = np.zeros(len(distinct), _RECORD)
                 raw = distinct.view(np.uint8).reshape(len(distinct), -1)
+                part = (_hash_grams(raw[:, SIDE:LENGTH]) % np.uint64(ranges)).astype(np.int64)
+                order = np.argsort(part, kind="stable")
+                renumbered = np.empty(len(order), np.int64)
+                renumbered[order] = np.arange(len(order))  # contexts are numbered in the order they travel
+                rec = np.zeros(len(distinct), _RECORD)
                 rec["context"] = np.ascontiguousarray(raw[:, :-2]).view(f"V{LENGTH + SIDE}").ravel()
-                rec["left"], rec["right"], rec["number"] = raw[:, -2], raw[:, -1], np.arange(len(distinct))
-                rec["least"], rec["most"] = ids[doc][order][first], most
-                gram_hash = _parted(_hash_grams(raw[:, SIDE:LENGTH]), ranges)
-                order = np.argsort(gram_hash, kind="stable")
-                cuts = np.searchsorted(gram_hash[order], np.arange(ranges + 1))
+                rec["left"], rec["right"] = raw[:, -2], raw[:, -1]
+                rec["least"], rec["most"] = ids[doc][first_of][first], most
+                rec = rec[order]
+                cuts = np.searchsorted(part[order], np.arange(ranges + 1))
                 parts = np.flatnonzero(np.diff(cuts))
-                payloads = [squeeze.compress(rec[order[cuts[p] : cuts[p + 1]]].tobytes()) for p in parts]
-                places = squeeze.compress(np.concatenate([at.astype("<u4"), number.astype("<u4")]).tobytes())
-                numbers = [row["block"]] * (len(parts) + 1)
-                yield pa.RecordBatch.from_arrays([pa.array([*parts.tolist(), -1], pa.int64()), pa.array(numbers, pa.int64()), pa.array([*payloads, places], pa.binary())], ["part", "block", "payload"])
+                payloads = [squeeze.compress(_columnar(rec[cuts[p] : cuts[p + 1]])) for p in parts]
+                places = squeeze.compress(np.concatenate([_steps(at), renumbered[number].astype("<u4")]).tobytes())
+                keys = pa.array([*parts.tolist(), -1 - row["block"]], pa.int64())
+                bases = pa.array([*cuts[parts].tolist(), 0], pa.int64())
+                yield pa.RecordBatch.from_arrays([keys, pa.array([row["block"]] * len(keys), pa.int64()), bases, pa.array([*payloads, places], pa.binary())], ["part", "block", "base", "payload"])
 
-    return blocks.mapInArrow(run, "part long, block long, payload binary")
+    return blocks.mapInArrow(lean(run), "part long, block long, base long, payload binary")
 
 
 def _hash_grams(grams: np.ndarray) -> np.ndarray:
@@ -287,14 +311,18 @@ def first_documents(context: np.ndarray, left: np.ndarray, right: np.ndarray, do
 
 
 def _answers(contexts: DataFrame, ranges: int) -> DataFrame:
-    """Sort one bucket range at a time and tell each block which windows begin in an earlier document: (block, answers)."""
+    """Sort one bucket range at a time and tell each block which windows begin in an earlier document: (block, answers, places as they came)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze, loose = _codec()
-        for _, rows in _by_part(batches):
-            recs = [np.frombuffer(loose.decompress(r["payload"]), _RECORD) for r in rows]
+        for part, rows in _by_part(batches):
+            if part < 0:
+                yield pa.RecordBatch.from_arrays([pa.array([r["block"] for r in rows], pa.int64()), pa.nulls(len(rows), pa.binary()), pa.array([r["payload"] for r in rows], pa.binary())], ["block", "answers", "places"])
+                continue
+            recs = [_records(loose.decompress(r["payload"]), _RECORD) for r in rows]
             rec = np.concatenate(recs)
             owner = np.repeat(np.arange(len(rows)), [len(x) for x in recs])
+            number = np.concatenate([r["base"] + np.arange(len(x)) for r, x in zip(rows, recs)])
             raw = np.ascontiguousarray(rec["context"]).view(np.uint8).reshape(len(rec), -1)
             least = first_documents(raw, rec["left"].astype(int), rec["right"].astype(int), rec["least"])
             hit = least < rec["most"][:, None]
@@ -306,14 +334,16 @@ def _answers(contexts: DataFrame, ranges: int) -> DataFrame:
             last = np.where(np.append(r[1:], -1) == r, after, SIDE + 1) - 1
             keep = hit[r, s]
             answer = np.zeros(int(keep.sum()), _ANSWER)
-            answer["number"], answer["first"], answer["last"], answer["doc"] = rec["number"][r[keep]], s[keep], last[keep], least[r[keep], s[keep]]
+            answer["number"], answer["first"], answer["last"], answer["doc"] = number[r[keep]], s[keep], last[keep], least[r[keep], s[keep]]
             cuts = np.searchsorted(owner[r[keep]], np.arange(len(rows) + 1))
             some = [i for i in range(len(rows)) if cuts[i + 1] > cuts[i]]
+            for i in some:
+                answer["number"][cuts[i] : cuts[i + 1]] = _steps(answer["number"][cuts[i] : cuts[i + 1]].astype(np.int64))
             if some:
-                yield pa.RecordBatch.from_arrays([pa.array([rows[i]["block"] for i in some], pa.int64()), pa.array([squeeze.compress(answer[cuts[i] : cuts[i + 1]].tobytes()) for i in some], pa.binary())], ["block", "answers"])
+                yield pa.RecordBatch.from_arrays([pa.array([rows[i]["block"] for i in some], pa.int64()), pa.array([squeeze.compress(_columnar(answer[cuts[i] : cuts[i + 1]])) for i in some], pa.binary()), pa.nulls(len(some), pa.binary())], ["block", "answers", "places"])
 
-    dealt = contexts.where("part >= 0").repartition(ranges, "part").sortWithinPartitions("part", "block")
-    return dealt.mapInArrow(run, "block long, answers binary")
+    dealt = contexts.repartition(ranges, "part").sortWithinPartitions("part", "block")
+    return dealt.mapInArrow(lean(run), "block long, answers binary, places binary")
 
 
 def _cut(blocks: DataFrame) -> DataFrame:
@@ -327,7 +357,11 @@ def _cut(blocks: DataFrame) -> DataFrame:
                 edges = np.zeros(len(data) + 1, np.int32)
                 if row["places"] is not None and row["answers"]:
                     at, number = np.frombuffer(loose.decompress(row["places"]), "<u4").astype(np.int64).reshape(2, -1)
-                    answer = np.concatenate([np.frombuffer(loose.decompress(x), _ANSWER) for x in row["answers"]])
+                    at = np.cumsum(at)
+                    found = [_records(loose.decompress(x), _ANSWER) for x in row["answers"]]
+                    for x in found:
+                        x["number"] = np.cumsum(x["number"].astype(np.int64))
+                    answer = np.concatenate(found)
                     answer = answer[np.argsort(answer["number"], kind="stable")]
                     a, b = np.searchsorted(answer["number"], number), np.searchsorted(answer["number"], number, "right")
                     place = np.repeat(np.arange(len(at)), b - a)
@@ -349,7 +383,7 @@ def _cut(blocks: DataFrame) -> DataFrame:
                 for i in range(0, len(kept), step):
                     yield pa.RecordBatch.from_arrays([pa.array(row["ids"][i : i + step], pa.int64()), pa.array(lengths[i : i + step]), pa.array(spans[i : i + step], pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))), pa.array(kept[i : i + step], pa.binary())], ["id", "n_bytes", "spans", "kept"])
 
-    return blocks.mapInArrow(run, "id long, n_bytes long, spans array<struct<start:long,stop:long>>, kept binary")
+    return blocks.mapInArrow(lean(run), "id long, n_bytes long, spans array<struct<start:long,stop:long>>, kept binary")
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -368,8 +402,6 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     total = blocks.agg(F.sum(F.element_at("ends", -1))).first()[0] or 0
     ranges = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // RANGE))
     marks = _repeats(_offers(blocks, ranges), ranges).groupBy("block").agg(F.collect_list(F.struct("part", "marks")).alias("marks"))
-    contexts = written(_contexts(blocks.join(marks, "block"), ranges), "contexts")
-    answers = _answers(contexts, ranges).groupBy("block").agg(F.collect_list("answers").alias("answers"))
-    places = contexts.where("part = -1").select("block", F.col("payload").alias("places"))
-    joined = blocks.join(places, "block", "left").join(answers, "block", "left")
-    return _cut(joined).withColumnRenamed("id", id_col)
+    answers = _answers(_contexts(blocks.join(marks, "block"), ranges), ranges)
+    answers = answers.groupBy("block").agg(F.collect_list("answers").alias("answers"), F.first("places", ignorenulls=True).alias("places"))
+    return _cut(blocks.join(answers, "block", "left")).withColumnRenamed("id", id_col)
