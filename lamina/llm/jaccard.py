@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lamina.llm.common import mix64, text_slices, word_hashes, written
+from lamina.llm.common import discard, lean, mix64, text_slices, word_hashes, written
 from lamina.llm.graph import components
 
 WIDTH, PERCENT = 4, 85
@@ -22,6 +22,12 @@ WIDTH, PERCENT = 4, 85
 CELLS, PARTS = 1 << 22, 64
 #: Fragments of the order; members up to which a prefix n-gram gives pairs; members that one task compares with as many others beyond.
 FRAGMENTS, SMALL, BLOCK = 4, 32, 512
+#: Documents in a cluster of pairs up to which it is verified in place, and in a task that verifies clusters.
+LOCAL, TOGETHER = 8192, 256
+#: Wanted ids (a few bytes each) that are broadcast; more are joined by a shuffle of the texts that pass the bit filter.
+BROADCAST_IDS = 200_000
+#: Bits of the filter that keeps most unwanted texts out of a shuffle (a fixed 4 MB).
+FILTER_BITS = 1 << 25
 
 
 def shingles(texts: pa.Array, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
@@ -53,10 +59,41 @@ def shingles(texts: pa.Array, width: int = WIDTH) -> tuple[np.ndarray, np.ndarra
     return h, np.searchsorted(at, np.arange(len(texts) + 1))
 
 
-def frequency_levels(docs: DataFrame, text_col: str, width: int) -> np.ndarray:
-    """Level (bit length of the count) of every sketch cell over all rows: CELLS bytes, whatever the input."""
+def _merged(rows: DataFrame, tally, size: int, kind: str, finish) -> np.ndarray:
+    """Fixed-size tallies of all tasks, added up by slices: `size` bytes on the driver, whatever the input.
+
+    tally(batches) gives one array for a task; slices travel compressed and finish(sum) gives a slice's bytes.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        squeeze = zstandard.ZstdCompressor(level=1)
+        total = tally(batches)
+        if total.any():
+            yield pa.RecordBatch.from_arrays([pa.array(range(PARTS), pa.int32()), pa.array([squeeze.compress(r.tobytes()) for r in total.astype(kind).reshape(PARTS, -1)], pa.binary())], ["part", "counts"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        loose, sums = zstandard.ZstdDecompressor(), {}
+        for batch in batches:
+            for part, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                sums[part] = sums.get(part, 0) + np.frombuffer(loose.decompress(blob), kind).astype(np.int64)
+        for part, s in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([finish(s).astype(np.uint8).tobytes()], pa.binary())], ["part", "sums"])
+
+    got = rows.mapInArrow(lean(count), "part int, counts binary").repartition("part").mapInArrow(lean(add), "part int, sums binary").collect()
+    out = np.zeros((PARTS, size // PARTS), np.uint8)
+    for r in got:
+        out[r["part"]] = np.frombuffer(r["sums"], np.uint8)
+    return out.ravel()
+
+
+def frequency_levels(docs: DataFrame, text_col: str, width: int) -> np.ndarray:
+    """Level (bit length of the count) of every sketch cell over all rows."""
+
+    def tally(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
         total = np.zeros(CELLS, np.uint32)
         held, size = [], 0
 
@@ -74,25 +111,36 @@ def frequency_levels(docs: DataFrame, text_col: str, width: int) -> np.ndarray:
                     flush()
                     size = 0
         flush()
-        if total.any():
-            small = np.minimum(total, 0xFFFF).astype("<u2").reshape(PARTS, -1)
-            yield pa.RecordBatch.from_arrays([pa.array(range(PARTS), pa.int32()), pa.array([r.tobytes() for r in small], pa.binary())], ["part", "counts"])
+        return np.minimum(total, 0xFFFF)
 
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
+    return _merged(docs.select(text_col), tally, CELLS, "<u2", lambda s: np.ceil(np.log2(s + 1)))
+
+
+def _bit(ids: pa.Array) -> np.ndarray:
+    return (mix64(ids.to_numpy(zero_copy_only=False).astype(np.uint64)) % np.uint64(FILTER_BITS)).astype(np.int64)
+
+
+def _texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """docs (id, text) joined with wanted (integer id, more columns); a bit filter of fixed size keeps most others from being shuffled."""
+
+    def tally(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
+        bits = np.zeros(FILTER_BITS, np.uint8)
         for batch in batches:
-            for part, blob in zip(batch.column(0).to_pylist(), batch.column(1)):
-                sums[part] = sums.get(part, 0) + np.frombuffer(blob.as_buffer(), "<u2").astype(np.int64)
-        for part, s in sums.items():
-            level = np.ceil(np.log2(s + 1)).astype(np.uint8)
-            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([level.tobytes()], pa.binary())], ["part", "levels"])
+            bits[_bit(batch.column(0))] = 1
+        return bits
 
-    counts = docs.select(text_col).mapInArrow(count, "part int, counts binary")
-    got = counts.repartition("part").mapInArrow(add, "part int, levels binary").collect()
-    levels = np.zeros((PARTS, CELLS // PARTS), np.uint8)
-    for r in got:
-        levels[r["part"]] = np.frombuffer(r["levels"], np.uint8)
-    return levels.ravel()
+    bits = _merged(wanted.select("id"), tally, FILTER_BITS // 8, "u1", lambda s: np.packbits(s > 0))
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = batch.filter(batch.column(0).is_valid())
+            at = _bit(rows.column(0))
+            yield rows.filter(pa.array((bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)))
+
+    if wanted.count() <= BROADCAST_IDS:
+        wanted = F.broadcast(wanted)
+    some = docs.mapInArrow(lean(keep), docs.schema).join(wanted, "id")
+    return some
 
 
 def _profiles(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int, levels: np.ndarray) -> DataFrame:
@@ -115,29 +163,100 @@ def _profiles(docs: DataFrame, id_col: str, text_col: str, width: int, percent:
                     first.append(own[np.argsort(level, kind="stable")[:front]].astype(np.int64))
                 yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(n, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.array(first, pa.list_(pa.int64()))], ["id", "n", "s1", "s2", "first"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"id {id_type}, n long, s1 long, s2 long, first array<long>")
+    return docs.select(id_col, text_col).mapInArrow(lean(run), f"id {id_type}, n long, s1 long, s2 long, first array<long>")
+
+
+#: Bytes of an n-gram's hash that travel inside a fragment: two documents' sets are compared, not all documents'.
+GRAM_BYTES = 5
+
+
+def _packed(grams: np.ndarray) -> bytes:
+    """The low bytes of each hash: the leading bits already say the fragment."""
+    return np.ascontiguousarray(grams.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :GRAM_BYTES]).tobytes()
 
 
-def _fragments(docs: DataFrame, width: int) -> DataFrame:
-    """Sets of docs (id, text), cut by the leading bits of the hash: (id, fragment, grams array of long)."""
-    id_type = docs.schema["id"].dataType.simpleString()
-    shift = np.uint64(64 - (FRAGMENTS - 1).bit_length())
+def _unpacked(blob: bytes) -> np.ndarray:
+    out = np.zeros((len(blob) // GRAM_BYTES, 8), np.uint8)
+    out[:, :GRAM_BYTES] = np.frombuffer(blob, np.uint8).reshape(-1, GRAM_BYTES)
+    return out.view("<u8").ravel()
+
+
+def _fragments(docs: DataFrame, width: int, fragments: int = FRAGMENTS) -> DataFrame:
+    """Sets of docs (id, text, more columns), cut by the leading bits of the hash: (more columns, id, fragment, grams binary)."""
+    more = [c for c in docs.columns if c not in ("id", "text")]
+    kinds = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in [*more, "id"])
+    bits = (fragments - 1).bit_length()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for rows, texts in text_slices(batch, 1):
+            for rows, texts in text_slices(batch, 0):
                 h, ends = shingles(texts, width)
                 at, number, grams = [], [], []
                 for i, (a, b) in enumerate(zip(ends[:-1], ends[1:])):
                     own = np.unique(h[a:b])
-                    cuts = np.searchsorted(own >> shift, np.arange(FRAGMENTS + 1))
-                    for f in range(FRAGMENTS):
+                    lead = own >> np.uint64(64 - bits) if bits else np.zeros(len(own), np.uint64)
+                    cuts = np.searchsorted(lead, np.arange(fragments + 1))
+                    for f in range(fragments):
                         at.append(i)
                         number.append(f)
-                        grams.append(own[cuts[f] : cuts[f + 1]].astype(np.int64))
-                yield pa.RecordBatch.from_arrays([rows.column(0).take(pa.array(at, pa.int64())), pa.array(number, pa.int32()), pa.array(grams, pa.list_(pa.int64()))], ["id", "fragment", "grams"])
+                        grams.append(_packed(own[cuts[f] : cuts[f + 1]]))
+                at = pa.array(at, pa.int64())
+                yield pa.RecordBatch.from_arrays([*(rows.column(k + 1).take(at) for k in range(len(more) + 1)), pa.array(number, pa.int32()), pa.array(grams, pa.binary())], [*more, "id", "fragment", "grams"])
+
+    return docs.select("text", *more, "id").mapInArrow(lean(run), f"{kinds}, fragment int, grams binary")
+
+
+def _partial_overlaps(grams: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Overlaps of pairs (key, a, b, na, nb) within one fragment whose sets (key, id, grams) stand in the same group: (a, b, na, nb, part)."""
+    kind = pairs.schema["a"].dataType.simpleString()
 
-    return docs.select("id", "text").mapInArrow(run, f"id {id_type}, fragment int, grams array<long>")
+    def run(sets: pa.Table, wanted: pa.Table) -> pa.Table:
+        own = {i: np.unique(_unpacked(g)) for i, g in zip(sets["id"].to_pylist(), sets["grams"].to_pylist())}
+        part = [len(np.intersect1d(own[a], own[b], assume_unique=True)) for a, b in zip(wanted["a"].to_pylist(), wanted["b"].to_pylist())]
+        return pa.table([wanted[c] for c in ("a", "b", "na", "nb")] + [pa.array(part, pa.int64())], names=["a", "b", "na", "nb", "part"])
+
+    return grams.groupBy("key").cogroup(pairs.groupBy("key")).applyInArrow(run, f"a {kind}, b {kind}, na long, nb long, part long")
+
+
+def _pair_overlaps(rows: DataFrame) -> DataFrame:
+    """The same of rows (a, b, na, nb, ga, gb) that bring their sets along."""
+    kind = rows.schema["a"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = zip(batch.column(4).to_pylist(), batch.column(5).to_pylist())
+            part = [len(np.intersect1d(_unpacked(x), _unpacked(y))) for x, y in sets]
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(4)), pa.array(part, pa.int64())], ["a", "b", "na", "nb", "part"])
+
+    return rows.mapInArrow(lean(run), f"a {kind}, b {kind}, na long, nb long, part long")
+
+
+def _verified(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
+    """Pairs (a, b, na, nb) that link: partial overlaps of each fragment, counted apart and summed.
+
+    Pairs are dealt by the cluster they are in, so that a document's fragments travel once; pairs of a cluster of more than LOCAL
+    documents, which no task should hold, each fetch their two sets instead.
+    """
+    label = components(pairs.select("a", "b"))
+    size = label.groupBy("label").agg(F.count("*").alias("size"))
+    tasks = max(1, -(-label.count() // TOGETHER))
+    label = label.join(size, "label").select(F.col("node").alias("id"), F.when(F.col("size") <= LOCAL, F.pmod(F.xxhash64("label"), F.lit(tasks))).alias("place"))
+    label = written(label, "places")
+    placed = pairs.join(label.select(F.col("id").alias("a"), "place"), "a")
+    grams = _fragments(_texts_of(docs, label.where("place is not null")), width)
+    key = lambda fragment: (F.col("place") * FRAGMENTS + fragment).alias("key")
+    each = F.explode(F.array(*map(F.lit, range(FRAGMENTS)))).alias("f")
+    near = placed.where("place is not null").select("*", each)
+    parts = _partial_overlaps(grams.select(key(F.col("fragment")), "id", "grams"), near.select(key(F.col("f")), "a", "b", "na", "nb"))
+    wide = label.where("place is null")
+    if not wide.isEmpty():
+        grams = _fragments(_texts_of(docs, wide.select("id")), width)
+        grams = written(grams.select("id", "fragment", "grams").dropDuplicates(["id", "fragment"]), "grams")
+        left = placed.where("place is null").join(grams.select(F.col("id").alias("a"), "fragment", F.col("grams").alias("ga")), "a")
+        both = left.join(grams.select(F.col("id").alias("b"), "fragment", F.col("grams").alias("gb")), ["b", "fragment"])
+        parts = parts.unionByName(_pair_overlaps(both.select("a", "b", "na", "nb", "ga", "gb")))
+    sums = parts.groupBy("a", "b", "na", "nb").agg(F.sum("part").alias("overlap"))
+    return sums.where(F.col("overlap") * (100 + percent) >= (F.col("na") + F.col("nb")) * percent).select("a", "b")
 
 
 def overlaps(left: list[np.ndarray], right: list[np.ndarray], columns: int = 4096) -> np.ndarray:
@@ -198,7 +317,7 @@ def _block_links(rows: DataFrame, percent: int) -> DataFrame:
         left, right = sides[0], sides[1] if len(sides[1]) else sides[0]
         if not len(left) or not len(right):
             return pd.DataFrame({"a": [], "b": []})
-        x, y = [[np.asarray(g) for g in s.grams] for s in (left, right)]
+        x, y = [[np.unique(_unpacked(g)) for g in s.grams] for s in (left, right)]
         n, m = np.array([len(g) for g in x]), np.array([len(g) for g in y])
         linked = overlaps(x, y) * (100 + percent) >= percent * (n[:, None] + m[None, :])
         linked &= left.label.to_numpy()[:, None] != right.label.to_numpy()[None, :]
@@ -210,35 +329,38 @@ def _block_links(rows: DataFrame, percent: int) -> DataFrame:
     return rows.groupBy("key").applyInPandas(run, f"a {id_type}, b {id_type}")
 
 
-def _wide_links(wide: DataFrame, grams: DataFrame, percent: int) -> DataFrame:
+def _wide_links(docs: DataFrame, wide: DataFrame, width: int, percent: int) -> DataFrame:
     """Links among documents that share a prefix n-gram with many others: (a, b).
 
     wide has (token, id). Those that share such n-grams form clusters; a cluster is dealt into blocks by hash and each block
     compared within itself, which joins nearly all that link at all. What then stands outside a cluster's largest component
     is compared, block by block, with the whole cluster: every pair of unlike labels has such a document on one side.
+    A cluster of one block is done after the first step.
     """
     star = wide.join(wide.groupBy("token").agg(F.min("id").alias("hub")), "token").select(F.col("hub").alias("a"), F.col("id").alias("b"))
     cluster = components(star).withColumnRenamed("node", "id").withColumnRenamed("label", "cluster")
     sized = cluster.join(cluster.groupBy("cluster").agg(F.count("*").alias("size")), "cluster")
-    dealt = sized.select("id", "cluster", F.pmod(F.xxhash64("id"), F.ceil(F.col("size") / BLOCK)).alias("block"))
-    sets = grams.groupBy("id").agg(F.flatten(F.collect_list("grams")).alias("grams"))
-    dealt = written(dealt.join(sets, "id"), "blocks")
-    inner = dealt.select(F.concat_ws("/", "cluster", "block").alias("key"), F.lit(0).alias("side"), "id", F.col("id").alias("label"), "grams")
-    links = written(_block_links(inner, percent), "links")
+    dealt = written(sized.select("id", "cluster", "size", F.pmod(F.xxhash64("id"), F.ceil(F.col("size") / BLOCK)).alias("block")), "dealt")
+    inner = _fragments(_texts_of(docs, dealt.select("id", F.concat_ws("/", "cluster", "block").alias("key"))), width, 1)
+    links = written(_block_links(inner.select("key", F.lit(0).alias("side"), "id", F.col("id").alias("label"), "grams"), percent), "links")
+    large = dealt.where(F.col("size") > BLOCK)
+    if large.isEmpty():
+        return links
     labels = components(links).withColumnRenamed("node", "id")
-    dealt = dealt.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
-    dealt = written(dealt, "labelled")
-    sizes = dealt.groupBy("cluster", "label").agg(F.count("*").alias("k"))
-    main = sizes.groupBy("cluster").agg(F.max(F.struct("k", "label")).alias("m"), F.count("*").alias("labels"), F.sum("k").alias("size")).where("labels > 1 and size > 1")
-    open_ = dealt.join(main.select("cluster", F.col("m.label").alias("main"), "size"), "cluster")
-    blocks = F.ceil(F.col("size") / BLOCK)
+    large = written(large.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id")), "labelled")
+    sizes = large.groupBy("cluster", "label").agg(F.count("*").alias("k"))
+    main = sizes.groupBy("cluster").agg(F.max(F.struct("k", "label")).alias("m"), F.count("*").alias("labels")).where("labels > 1")
+    open_ = large.join(main.select("cluster", F.col("m.label").alias("main")), "cluster")
     apart = open_.where("label <> main")
     counts = apart.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).alias("sides"))
     apart = apart.join(counts, "cluster").withColumn("mine", F.pmod(F.xxhash64("id", F.lit(1)), F.col("sides")))
-    pair = lambda x, y: F.concat_ws("/", "cluster", x, y)
-    first = apart.select(F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("other"), "*").select(pair("mine", "other").alias("key"), F.lit(0).alias("side"), "id", "label", "grams")
-    second = open_.join(counts, "cluster").select(F.explode(F.sequence(F.lit(0).cast("long"), F.col("sides") - 1)).alias("mine"), "*").select(pair("mine", "block").alias("key"), F.lit(1).alias("side"), "id", "label", "grams")
-    return links.unionByName(_block_links(first.unionByName(second), percent))
+    pair = lambda x, y: F.concat_ws("/", "cluster", x, y).alias("key")
+    upto = lambda n: F.sequence(F.lit(0).cast("long"), n.cast("long") - 1)
+    first = apart.select(F.explode(upto(F.ceil(F.col("size") / BLOCK))).alias("other"), "*").select("id", "label", pair("mine", "other"), F.lit(0).alias("side"))
+    second = open_.join(counts, "cluster").select(F.explode(upto(F.col("sides"))).alias("mine"), "*").select("id", "label", pair("mine", "block"), F.lit(1).alias("side"))
+    # each document's set once, then to the tasks that compare it
+    sets = _fragments(_texts_of(docs, open_.select("id").distinct()), width, 1).select("id", "grams").dropDuplicates(["id"])
+    return links.unionByName(_block_links(first.unionByName(second).join(sets, "id").select("key", "side", "id", "label", "grams"), percent))
 
 
 def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
@@ -247,8 +369,8 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Words are [^\\x20\\x09-\\x0D]+ with A-Z lowered; a text of fewer than width words has its whole sequence as one n-gram. Two documents
     link when 100 * intersection >= percent * union; component_id is the smallest id reachable by links, the document's own
     included. Null texts and texts without words have no n-grams and link with nothing. Equal sets are one class from the start, so copies
-    are never expanded; repeated rows are copies. Rows with a null id get the component of their class (null if nobody else is in it).
-    Sets are compared as 64-bit hashes. Only the named columns are read; an empty table gives an empty result.
+    are never expanded; repeated rows are copies. Ids are integers; rows that share an id should share the text. Rows with a null id get the component of their class (null if nobody else is in it).
+    Words and n-grams are 64-bit hashes, of which two sets are compared by 40 (and the fragment). Only the named columns are read; an empty table gives an empty result.
 
     Every pair that links shares an n-gram among the first of each (prefix filter; no cap): up to SMALL holders give pairs,
     counted by fragments of the order and summed; more holders are compared in blocks, which emit a spanning forest only.
@@ -266,18 +388,20 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     pairs = small.select(F.explode(F.flatten(F.transform("m", later))).alias("p")).select("p.*").distinct()
     pairs = written(pairs, "pairs")
     wide = written(held.where(F.col("holders") > SMALL).select("token", "id"), "wide")
-    wanted = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).union(wide.select("id")).distinct()
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(wanted, "id", "left_semi")
-    grams = written(_fragments(texts, width).dropDuplicates(["id", "fragment"]), "grams")
-    # partial overlaps by fragment, summed for each pair
-    left = pairs.join(grams.select(F.col("id").alias("a"), "fragment", F.col("grams").alias("ga")), "a")
-    both = left.join(grams.select(F.col("id").alias("b"), "fragment", F.col("grams").alias("gb")), ["b", "fragment"])
-    partial = both.select("a", "b", "na", "nb", F.size(F.array_intersect("ga", "gb")).alias("part"))
-    sums = partial.groupBy("a", "b", "na", "nb").agg(F.sum("part").alias("overlap"))
-    links = sums.where(F.col("overlap") * (100 + percent) >= (F.col("na") + F.col("nb")) * percent).select("a", "b")
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    links = None
     if not wide.isEmpty():
-        links = links.unionByName(_wide_links(wide, grams, percent))
+        # large groups first: pairs inside what they have joined need no look
+        links = written(_wide_links(texts, wide, width, percent), "links")
+        label = components(links)
+        one, two = (label.select(F.col("node").alias(c), F.col("label").alias(f"l{c}")) for c in ("a", "b"))
+        pairs = pairs.join(one, "a", "left").join(two, "b", "left")
+        pairs = written(pairs.where(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "na", "b", "nb"), "pairs")
+    verified = _verified(texts, pairs, width, percent)
+    links = verified if links is None else links.unionByName(verified)
     found = components(links).select(F.col("node").alias("rep"), "label")
+    for table in (held, pairs, wide):
+        discard(table)
     named = classes.select(*keys, "rep").join(found, "rep", "left").select(*keys, F.coalesce("label", "rep").alias("label"))
     out = profiles.select("id", *keys).join(named, keys, "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("label", "id").alias("component_id"))

@@ -54,9 +54,11 @@ def run(spark, rows):
     return {r.doc_id: (r.n_shingles, r.component_id) for r in got}
 
 
-@pytest.mark.parametrize("small,block", [(32, 512), (3, 7)])
-def test_against_brute_force(spark, monkeypatch, small, block):
+@pytest.mark.parametrize("small,block,local,ids", [(32, 512, 1024, 100), (3, 7, 1024, 0), (40, 512, 4, 0)])
+def test_against_brute_force(spark, monkeypatch, small, block, local, ids):
     monkeypatch.setattr(jaccard, "SMALL", small)
+    monkeypatch.setattr(jaccard, "LOCAL", local)
+    monkeypatch.setattr(jaccard, "BROADCAST_IDS", ids)
     monkeypatch.setattr(jaccard, "BLOCK", block)
     rows = rows_of(5, [1, 1, 2, 3, 5, 40, 8])
     assert run(spark, rows) == brute(rows)
