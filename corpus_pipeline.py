@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lamina.llm import decontaminate, jaccard, language, personal, queries
-from lamina.llm.common import ScratchScope, written
+from lamina.llm.common import ScratchScope, lean_batches, written
 
 #: No SQL for run(): language scores, edit matching and SentencePiece ids have none. Tested against a plain version instead.
 ORACLE_SQL = None
@@ -24,6 +24,7 @@ def _stage(f):
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         while _last:
             _last.pop().close(spark)
+        lean_batches(spark)
         with ScratchScope() as scope:
             out = f(spark, docs, sf_dir)
         _last.append(scope)

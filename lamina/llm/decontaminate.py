@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lamina.llm.common import text_slices
+from lamina.llm.common import lean, text_slices
 
 WORD = re.compile(r"\w+")
 #: Edits allowed for each character of an item, and the shortest piece; a short item gets a smaller budget.
@@ -150,7 +150,7 @@ def find_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
 
     item_arrow = to_arrow_type(items.schema[item_id].dataType)
     rows = docs.select(id_col, text_col)
-    parts = [rows.mapInArrow(matcher(block), schema) for block in _item_blocks(items, item_id, item_text, error_rate, least_piece)]
+    parts = [rows.mapInArrow(lean(matcher(block)), schema) for block in _item_blocks(items, item_id, item_text, error_rate, least_piece)]
     return reduce(DataFrame.unionByName, parts) if parts else docs.sparkSession.createDataFrame([], schema)
 
 
@@ -200,5 +200,5 @@ def without_items(docs: DataFrame, items: DataFrame, text_col: str = "text", ite
         return run
 
     for block in _item_blocks(items, item_id, item_text, error_rate, least_piece):
-        docs = docs.mapInArrow(matcher(block), schema)
+        docs = docs.mapInArrow(lean(matcher(block)), schema)
     return docs

@@ -11,14 +11,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lamina.llm.common import text_slices
+from lamina.llm.common import lean, text_slices
 
 MARK = "▁"
 LETTERS = re.compile(r"[^\W\d_]+")
 #: Longest piece and longest run of letters scored at once; a longer word is scored in blocks of WORD letters.
 PIECE, WORD = 8, 31
 FLOOR = 1e-7
-TABLE_WORDS = 300_000
+#: Distinct words that a worker counts before it sums them up, and that it keeps scored.
+COUNT_WORDS, TABLE_WORDS = 300_000, 600_000
 
 
 def held_out(id_col: str = "doc_id") -> Column:
@@ -38,14 +39,22 @@ def vocabulary(tokenizer_path: str) -> list[str]:
 _BASE = np.uint64(0x100000001B3)
 
 
+def mixed(h: np.ndarray) -> np.ndarray:
+    """Spread a polynomial hash over the leading bits."""
+    with np.errstate(over="ignore"):
+        return h * np.uint64(0x9E3779B97F4A7C15)
+
+
 class Lattice:
     """All segmentations of a batch of words: for each end and length, the piece that ends there."""
 
     def __init__(self, pieces: list[str]):
         self.n = len(pieces)
-        keys = np.array([self._key(p) for p in pieces], np.uint64)
+        keys = mixed(np.array([self._key(p) for p in pieces], np.uint64))
         self.order = np.argsort(keys)
         self.keys = keys[self.order]
+        self.known = np.zeros(1 << 20, bool)  # leading bits of any key: most substrings are no piece
+        self.known[(keys >> np.uint64(44)).astype(np.int64)] = True
 
     @staticmethod
     def _key(piece: str) -> int:
@@ -66,8 +75,12 @@ class Lattice:
         with np.errstate(over="ignore"):
             for l in range(1, min(PIECE, wide) + 1):
                 h = h[:, : wide - l + 1] * _BASE + codes[:, l - 1 :]
-                at = np.minimum(np.searchsorted(self.keys, h), self.n - 1)
-                ids = np.where((self.keys[at] == h) & inside[:, l - 1 :], self.order[at], self.n if l == 1 else -1)
+                ids = np.full(h.shape, self.n if l == 1 else -1, np.int64)
+                some = np.nonzero(self.known[(mixed(h) >> np.uint64(44)).astype(np.int64)] & inside[:, l - 1 :])
+                sought = mixed(h[some])
+                at = np.minimum(np.searchsorted(self.keys, sought), self.n - 1)
+                hit = self.keys[at] == sought
+                ids[some[0][hit], some[1][hit]] = self.order[at[hit]]
                 out.append(ids)
         return length, out
 
@@ -132,7 +145,7 @@ def train(docs: DataFrame, pieces: list[str], text_col: str = "text", lang_col:
 
             def flush() -> None:
                 langs = list(counts)
-                words = list(dict.fromkeys(w for c in counts.values() for w in c))
+                words = sorted(dict.fromkeys(w for c in counts.values() for w in c), key=len)  # batches of like length
                 for i in range(0, len(words), 4096):
                     part = words[i : i + 4096]
                     weights = np.array([[counts[g][w] for g in langs] for w in part], float)
@@ -145,7 +158,7 @@ def train(docs: DataFrame, pieces: list[str], text_col: str = "text", lang_col:
                 for rows, texts in text_slices(batch, 1):
                     for g, text in zip(rows.column(0).to_pylist(), texts.to_pylist()):
                         counts.setdefault(g, Counter()).update(_words(text))
-                if sum(map(len, counts.values())) > TABLE_WORDS:
+                if sum(map(len, counts.values())) > COUNT_WORDS:
                     flush()
             if counts:
                 flush()
@@ -153,7 +166,7 @@ def train(docs: DataFrame, pieces: list[str], text_col: str = "text", lang_col:
                 at = np.flatnonzero(s)
                 yield pa.RecordBatch.from_arrays([pa.array([g] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(s[at])], ["lang", "piece", "n"])
 
-        got = rows.mapInArrow(step, "lang string, piece int, n double").groupBy("lang", "piece").agg(F.sum("n").alias("n")).toPandas()
+        got = rows.mapInArrow(lean(step), "lang string, piece int, n double").groupBy("lang", "piece").agg(F.sum("n").alias("n")).toPandas()
         langs = sorted(got["lang"].unique())
         if not langs:
             break
@@ -177,7 +190,7 @@ class _Scorer:
         lists = [_words(t) for t in texts]
         if len(self.index) > TABLE_WORDS:
             self.index.clear()
-        new = list(dict.fromkeys(w for words in lists for w in words if w not in self.index)) if self.langs else []
+        new = sorted({w for words in lists for w in words if w not in self.index}, key=len) if self.langs else []
         while len(self.index) + len(new) > len(self.scores):
             self.scores = np.vstack([self.scores, np.zeros_like(self.scores)])
         for i in range(0, len(new), 4096):
@@ -214,7 +227,7 @@ def predict(docs: DataFrame, pieces: list[str], langs: list[str], p: np.ndarray,
                 names, values = scorer(texts.to_pylist())
                 yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(names, pa.string()), pa.array(values, pa.float64())], [id_col, "lang_pred", "score"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {id_type}, lang_pred string, score double")
+    return docs.select(id_col, text_col).mapInArrow(lean(run), f"`{id_col}` {id_type}, lang_pred string, score double")
 
 
 def in_known_language(docs: DataFrame, pieces: list[str], langs: list[str], p: np.ndarray, least_score: float = 0.5, text_col: str = "text") -> DataFrame:
@@ -229,4 +242,4 @@ def in_known_language(docs: DataFrame, pieces: list[str], langs: list[str], p: n
                 keep = [n != "und" and v >= least_score for n, v in zip(names, values)] if langs else [any(map(str.isalpha, t)) for t in texts.to_pylist()]
                 yield rows.filter(pa.array(keep, pa.bool_())).rename_columns(columns)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)

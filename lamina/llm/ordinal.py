@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lamina.llm.common import _CLASS, class_runs, mix64, run_hashes, text_slices
+from lamina.llm.common import _CLASS, class_runs, lean, mix64, run_hashes, text_slices
 
 #: Buckets of hashed words, and the most labelled rows that a fit reads (taken by hash of the id).
 BUCKETS, MOST_ROWS = 1 << 18, 24_000
@@ -67,7 +67,7 @@ def fit(docs: DataFrame, grades: DataFrame, id_col: str = "doc_id", text_col: st
                 yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(blobs, pa.binary())], ["grade", "x"])
 
     picked = docs.select(id_col, F.col(text_col).alias("_text")).join(F.broadcast(wanted), id_col)  # at most most_rows ids
-    got = picked.select("_grade", "_text").mapInArrow(hashed, "grade int, x binary").collect()
+    got = picked.select("_grade", "_text").mapInArrow(lean(hashed), "grade int, x binary").collect()
     order = np.random.default_rng(seed)
     got = sorted((r["grade"], r["x"]) for r in got)
     y = np.array([g for g, _ in got], int)
@@ -124,4 +124,4 @@ def score(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id", text_col
                 tails = model.tails(np.bincount(owner, model.weights[bucket], len(texts)))
                 yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(tails.sum(1)), pa.array(tails[:, -1]), pa.array(tails[:, 0])], [id_col, "expected_grade", "p_top", "p_pass"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {id_type}, expected_grade double, p_top double, p_pass double")
+    return docs.select(id_col, text_col).mapInArrow(lean(run), f"`{id_col}` {id_type}, expected_grade double, p_top double, p_pass double")

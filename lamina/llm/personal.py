@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lamina.llm.common import text_slices, written
+from lamina.llm.common import lean, text_slices, written
 
 KINDS = ("email", "ip", "card", "phone")
 #: Rounds of scoring, least share of a pattern's instances that are personal, least distinct seeds behind a pattern, least score of a discovered instance.
@@ -133,7 +133,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep:
                     near.append([dict(zip(("value", "start", "stop", "kind", "patterns"), x)) for x in _instances(text, spans)] if spans or _HINT.search(text) else [])
                 yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(found, pa.list_(span)), pa.array(near, pa.list_(seen))], [id_col, "base", "seen"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {id_type}, base array<struct<start:int,kind:int,stop:int>>, seen array<struct<value:string,start:int,stop:int,kind:int,patterns:array<string>>>")
+    return docs.select(id_col, text_col).mapInArrow(lean(run), f"`{id_col}` {id_type}, base array<struct<start:int,kind:int,stop:int>>, seen array<struct<value:string,start:int,stop:int,kind:int,patterns:array<string>>>")
 
 
 def discover(seen: DataFrame, rounds: int = ROUNDS, least_share: float = LEAST_SHARE, least_seeds: int = LEAST_SEEDS, least_score: float = LEAST_SCORE) -> DataFrame:
@@ -211,4 +211,4 @@ def redacted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             arrays[text_at] = pa.array(texts, arrays[text_at].type)
             yield pa.RecordBatch.from_arrays(arrays, columns)
 
-    return joined.mapInArrow(run, docs.schema)
+    return joined.mapInArrow(lean(run), docs.schema)

@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from lamina.llm.common import gather_ragged, text_slices
+from lamina.llm.common import gather_ragged, lean, text_slices
 
 MARK = "▁"
 #: A chunk is a run of markers with what follows up to the next marker or line feed, or one line feed.
@@ -110,7 +110,7 @@ def encode_decode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text
                     decoded.append(table.sp.decode(own.tolist()))
                 yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(outs, pa.binary()), pa.array(decoded, pa.string())], [id_col, "ids", "decoded"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {id_type}, ids binary, decoded string")
+    return docs.select(id_col, text_col).mapInArrow(lean(run), f"`{id_col}` {id_type}, ids binary, decoded string")
 
 
 def ids_of(blob: bytes) -> list[int]:

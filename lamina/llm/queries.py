@@ -18,6 +18,9 @@ def tokenizer_path(name: str) -> str:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    from lamina.llm.common import lean_batches
+
+    lean_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -133,7 +136,32 @@ WITH v AS (
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 20
 """
 
+OP8_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, [x FOR x IN regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+') IF x <> ''] AS words
+  FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, md5(array_to_string(words[i + 1 : i + 4], ' ')) AS s
+  FROM w, unnest(range(0, CASE WHEN len(words) >= 4 THEN len(words) - 3 WHEN len(words) > 0 THEN 1 ELSE 0 END)) AS r(i)
+), n AS (
+  SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), l AS (
+  SELECT a.doc_id AS a, b.doc_id AS b
+  FROM s a JOIN s b ON a.s = b.s AND a.doc_id <> b.doc_id
+  JOIN n na ON na.doc_id = a.doc_id JOIN n nb ON nb.doc_id = b.doc_id
+  GROUP BY a.doc_id, b.doc_id, na.n, nb.n
+  HAVING 100 * count(*) >= 85 * (na.n + nb.n - count(*))
+), c AS (
+  SELECT doc_id, doc_id AS root FROM n
+  UNION
+  SELECT l.b, c.root FROM c JOIN l ON l.a = c.doc_id WHERE c.root < l.b
+)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(m.root, d.doc_id) AS component_id
+FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT doc_id, min(root) AS root FROM c GROUP BY doc_id) m USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     from lamina.llm.licenses import oracle
 
-    return {"op5_topk": OP5_SQL, "op7_licenses": oracle()}
+    return {"op5_topk": OP5_SQL, "op7_licenses": oracle(), "op8_jaccard": OP8_SQL}

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lamina.llm.common import text_slices
+from lamina.llm.common import lean, text_slices
 
 #: Ids in one block.
 BLOCK_IDS = 1 << 18
@@ -40,7 +40,7 @@ def file_blocks(spark: SparkSession, path: str, width: int = 2, block_ids: int =
                     part = raw[b * step : (b + 1) * step].to_pybytes()
                     yield pa.RecordBatch.from_arrays([pa.array([name.as_py()]), pa.array([b], pa.int64()), pa.array([part], pa.binary())], ["file", "block", "payload"])
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(cut, "file string, block long, payload binary")
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(lean(cut), "file string, block long, payload binary")
 
 
 def token_blocks(docs: DataFrame, ranks_path: str, pattern: str, separator: int, id_col: str = "doc_id", text_col: str = "text", block_ids: int = BLOCK_IDS) -> DataFrame:
@@ -88,7 +88,7 @@ def token_blocks(docs: DataFrame, ranks_path: str, pattern: str, separator: int,
         if size:
             yield out(np.concatenate(held), [n for n, _ in names])
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"file int, block long, payload binary, ends array<{id_type.simpleString()}>")
+    return docs.select(id_col, text_col).mapInArrow(lean(run), f"file int, block long, payload binary, ends array<{id_type.simpleString()}>")
 
 
 def scan(blocks: DataFrame, separator: int, width: int = 2, run_blocks: int = RUN_BLOCKS) -> DataFrame:
@@ -113,7 +113,7 @@ def scan(blocks: DataFrame, separator: int, width: int = 2, run_blocks: int = RU
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(head, pa.int64()), pa.array(tail, pa.int64()), pa.array(inner, pa.list_(pa.int64()))], ["file", "block", "n", "head", "tail", "inner"])
 
     file_type = blocks.schema["file"].dataType.simpleString()
-    found = blocks.select("file", "block", "payload").mapInArrow(search, f"file {file_type}, block long, n long, head long, tail long, inner array<long>").withColumn("run", F.floor(F.col("block") / run_blocks))
+    found = blocks.select("file", "block", "payload").mapInArrow(lean(search), f"file {file_type}, block long, n long, head long, tail long, inner array<long>").withColumn("run", F.floor(F.col("block") / run_blocks))
     # Level 2: what lies open before each run of blocks, from the runs' own sums.
     last = F.max_by(F.struct("tail", "block"), F.when(F.col("n") > 0, F.col("block")))
     runs = found.groupBy("file", "run").agg(F.sum("n").alias("rn"), F.sum("tail").alias("all_tail"), last.alias("last"), F.collect_list(F.struct("block", "n", "tail")).alias("sums"))

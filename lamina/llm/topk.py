@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lamina.llm.common import written
+from lamina.llm.common import lean, written
 
 #: Vectors in a bucket, queries in a block, and coordinates looked at when a local threshold is high.
 BUCKET, QUERIES, FOCUS, HIGH = 4096, 512, 4, 0.6
@@ -50,7 +50,7 @@ def _packed(rows: DataFrame, size: int) -> DataFrame:
             yield out()
 
     ordered = rows.repartitionByRange("dim", F.desc("norm2"), "id").sortWithinPartitions("dim", F.desc("norm2"), "id")
-    return ordered.mapInArrow(run, "dim int, longest double, ids binary, vectors binary, norms binary")
+    return ordered.mapInArrow(lean(run), "dim int, longest double, ids binary, vectors binary, norms binary")
 
 
 def _exact(q: np.ndarray, c: np.ndarray, bound: float) -> np.ndarray:
@@ -123,7 +123,7 @@ def _search(pairs: DataFrame, k: int) -> DataFrame:
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], ["query_id", "vec_id", "score"])
 
-    return pairs.mapInArrow(run, "query_id long, vec_id long, score long")
+    return pairs.mapInArrow(lean(run), "query_id long, vec_id long, score long")
 
 
 def top_products(vectors: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
@@ -170,7 +170,7 @@ def _thresholds(asked: DataFrame, least: DataFrame, spark) -> DataFrame:
                 n = len(ids)
                 yield pa.RecordBatch.from_arrays([pa.array([batch.column(0)[i].as_py()] * n, pa.int32()), pa.array([batch.column(1)[i].as_py()] * n, pa.int64()), pa.array(range(n), pa.int32()), pa.array(ids)], ["dim", "block", "at", "query_id"])
 
-    flat = asked.select("dim", "block", "q_ids").mapInArrow(ids_of, "dim int, block long, at int, query_id long").join(least, "query_id", "left")
+    flat = asked.select("dim", "block", "q_ids").mapInArrow(lean(ids_of), "dim int, block long, at int, query_id long").join(least, "query_id", "left")
     rows = flat.groupBy("dim", "block").agg(F.array_sort(F.collect_list(F.struct("at", F.coalesce(F.col("least").cast("double"), F.lit(float("-inf"))).alias("least")))).alias("l"))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,4 +178,4 @@ def _thresholds(asked: DataFrame, least: DataFrame, spark) -> DataFrame:
             lists = [np.array(x, float) for x in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([x.tobytes() for x in lists], pa.binary()), pa.array([float(x.min()) for x in lists], pa.float64())], ["dim", "block", "q_least", "floor"])
 
-    return rows.select("dim", "block", F.col("l.least").alias("l")).mapInArrow(pack, "dim int, block long, q_least binary, floor double")
+    return rows.select("dim", "block", F.col("l.least").alias("l")).mapInArrow(lean(pack), "dim int, block long, q_least binary, floor double")
