@@ -21,7 +21,7 @@ LAST = {
     "en": "Abbott Archer Baker Barlow Bishop Blake Carter Chapman Clayton Cole Cooper Dalton Dixon Drake Eaton Ellis Farmer Fisher Fletcher Foster Gardner Gibson Grant Hale Harper Hobbs Hughes Irwin Jarvis Kemp Kirby Lambert Lawson Marsh Mason Mercer Nash Newton Norris Osborne Parker Pearce Porter Quick Reed Rhodes Sawyer Shaw Slater Tanner Thorne Turner Vance Walsh Ward Weaver Webb York",
 }
 STREETS = {
-    "fr": "rue des Lilas,rue du Moulin,avenue de la Gare,place du Marché,chemin des Vignes,rue de l'Église,boulevard Voltaire,allée des Tilleuls,impasse du Lavoir,quai des Brumes,rue du Puits,cours Gambetta,route de Lyon,rue des Écoles,sentier du Bois,rue Haute",
+    "fr": "rue des Lilas,rue du Moulin,avenue de la Gare,place du Marché,chemin des Vignes,rue de l'Église,boulevard Voltaire,allée des Tilleuls,impasse du Lavoir,quai des Saules,rue du Puits,cours Gambetta,route de Lyon,rue des Écoles,sentier du Bois,rue Haute",
     "en": "Mill Lane,High Street,Station Road,Church Close,Orchard Way,Park Avenue,Bridge Street,Oak Drive,Harbour Row,King Street,Meadow Court,Victoria Road,Elm Grove,Chapel Hill,Green Lane,North Parade",
 }
 CITIES = {
