@@ -19,7 +19,7 @@ LETTERS = re.compile(r"[^\W\d_]+")
 PIECE, WORD = 8, 31
 FLOOR = 1e-7
 #: Distinct words that a worker counts before it sums them up, and that it keeps scored.
-COUNT_WORDS, TABLE_WORDS = 300_000, 600_000
+COUNT_WORDS, TABLE_WORDS = 250_000, 400_000
 
 
 def held_out(id_col: str = "doc_id") -> Column:

@@ -17,7 +17,7 @@ MARK = "▁"
 #: A chunk is a run of markers with what follows up to the next marker or line feed, or one line feed.
 CHUNK = re.compile(rf"[ {MARK}]*[^ {MARK}\n]+|[ {MARK}]+|\n")
 #: Distinct chunks that one Python worker keeps before it starts its table anew.
-TABLE_CHUNKS = 400_000
+TABLE_CHUNKS = 200_000
 
 
 class ChunkTable:
