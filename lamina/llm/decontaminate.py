@@ -1,10 +1,10 @@
-"""Benchmark decontamination: pigeonhole pieces find places, Myers' bit-parallel distance verifies them."""
+"""Benchmark decontamination: pigeonhole pieces find places, Myers' bit-parallel distance verifies them from piece to whole item."""
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import reduce
+from functools import lru_cache, reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from lamina.llm.common import lean, text_slices
 
 WORD = re.compile(r"\w+")
-#: Edits allowed for each character of an item, and the shortest piece; a short item gets a smaller budget.
-ERROR_RATE, LEAST_PIECE = 0.10, 14
+#: Edits allowed for each character of an item.
+ERROR_RATE = 0.10
 #: Characters of items matched in one pass over the documents; more items take more passes.
 BLOCK_CHARS = 1 << 20
 
@@ -24,9 +24,9 @@ def normal(text: str | None) -> str:
     return " ".join(WORD.findall((text or "").lower()))
 
 
-def budget(length: int, error_rate: float = ERROR_RATE, least_piece: int = LEAST_PIECE) -> int:
-    """Edits k so that an item of this length has k + 1 pieces of at least least_piece characters."""
-    return max(0, min(int(error_rate * length), length // least_piece - 1))
+def budget(length: int, error_rate: float = ERROR_RATE) -> int:
+    """Edits allowed in an item of this length: the whole share, rounded down, fewer than would leave a piece empty."""
+    return max(0, min(int(error_rate * length), length - 1))
 
 
 def pieces(item: str, k: int) -> list[tuple[int, str]]:
@@ -65,13 +65,63 @@ def myers(pattern: str, masks: dict[str, int], text: str) -> tuple[int, int]:
     return best, end
 
 
+def _within(pattern: str, masks: dict[str, int], text: str, k: int) -> bool:
+    """Whether myers() would find the pattern with at most k edits; ends as soon as that is known."""
+    m = len(pattern)
+    full, top = (1 << m) - 1, 1 << (m - 1)
+    plus, minus, score = full, 0, m
+    spare = k - m + len(text)  # steps left in which the score may stay
+    for c in text:
+        eq = masks.get(c, 0)
+        xv = eq | minus
+        xh = (((eq & plus) + plus) ^ plus) | eq
+        up = minus | (~(xh | plus) & full)
+        down = plus & xh
+        if down & top:
+            score -= 1
+            if score <= k:
+                return True
+        else:
+            rise = 1 if up & top else 0
+            score += rise
+            spare -= 1 + rise
+            if spare < 0:
+                return False
+        up, down = up << 1 & full, down << 1 & full
+        plus = down | (~(xv | up) & full)
+        minus = up & xv
+    return score <= k
+
+
+@lru_cache(1 << 13)
+def _node_masks(part: str) -> dict[str, int]:
+    return _masks(part)
+
+
+@lru_cache(1 << 13)
+def _shares(part: str, count: int) -> tuple[str, ...]:
+    """part cut into count pieces; count - 1 edits leave one of them whole."""
+    return tuple(part[len(part) * i // count : len(part) * (i + 1) // count] for i in range(count))
+
+
+def _path(leaf: int, count: int) -> list[tuple[int, int]]:
+    """Ranges of pieces around a leaf, smallest first and without the whole, in a tree that halves count pieces."""
+    lo, hi, out = 0, count, []
+    while hi - lo > 1:
+        if hi - lo < count:
+            out.append((lo, hi))
+        mid = (lo + hi) // 2
+        lo, hi = (lo, mid) if leaf < mid else (mid, hi)
+    return out[::-1]
+
+
 def _automaton(items: list[tuple[int, str, int]]):
     import ahocorasick
 
-    places: dict[str, list[tuple[int, int]]] = {}
+    places: dict[str, list[tuple[int, int, int]]] = {}
     for n, (_, text, k) in enumerate(items):
-        for offset, piece in pieces(text, k):
-            places.setdefault(piece, []).append((n, offset))
+        for leaf, (offset, piece) in enumerate(pieces(text, k)):
+            places.setdefault(piece, []).append((n, offset, leaf))
     found = ahocorasick.Automaton()
     for piece, where in places.items():
         found.add_word(piece, (len(piece), where))
@@ -91,8 +141,10 @@ class _Finder:
         text = normal(text)
         seen: dict[int, set[int]] = {}
         for end, (size, where) in self.automaton.iter(text):
-            for n, offset in where:
-                seen.setdefault(n, set()).add(end + 1 - size - offset)
+            for n, offset, leaf in where:
+                begin = end + 1 - size - offset
+                if begin not in seen.get(n, ()) and self._grows(n, leaf, begin, text):
+                    seen.setdefault(n, set()).add(begin)
         for n, begins in seen.items():
             name, item, k = self.block[n]
             if n not in self.masks:
@@ -108,11 +160,34 @@ class _Finder:
                 yield name, distance, stop - _reach(item[::-1], back, text[max(0, stop - len(item) - k) : stop][::-1], distance), stop
 
 
-def _item_blocks(items: DataFrame, item_id: str, item_text: str, error_rate: float, least_piece: int) -> Iterator[list[tuple[int, str, int]]]:
+    def _grows(self, n: int, leaf: int, begin: int, text: str) -> bool:
+        """Whether each range of pieces around a found one also occurs there, with fewer edits than it has pieces.
+
+        Lossless: k edits leave, in one half of any range of j pieces with fewer than j edits, fewer edits than that half
+        has pieces, so an occurrence of the item has a piece for which this holds at every level.
+        """
+        _, item, k = self.block[n]
+        count, size, found = k + 1, len(item), True
+        for lo, hi in _path(leaf, count):
+            a, b, edits = size * lo // count, size * hi // count, hi - lo - 1
+            part = item[a:b]
+            near = text[max(0, begin + a - edits) : max(0, begin + b + edits)]
+            if part in near:
+                continue
+            if found:  # a first test without arithmetic: the piece is whole, so the edits are in the rest of the range
+                start, stop, found = size * leaf // count, size * (leaf + 1) // count, False
+                if not any(x in near for x in _shares(item[stop:b] if start == a else item[a:start], edits + 1)):
+                    return False
+            if not _within(part, _node_masks(part), near, edits):
+                return False
+        return True
+
+
+def _item_blocks(items: DataFrame, item_id: str, item_text: str, error_rate: float) -> Iterator[list[tuple[int, str, int]]]:
     block, size = [], 0
     for name, text in items.select(item_id, item_text).where(F.col(item_id).isNotNull()).toLocalIterator():
         if own := normal(text):
-            block.append((name, own, budget(len(own), error_rate, least_piece)))
+            block.append((name, own, budget(len(own), error_rate)))
             size += len(own)
         if size >= BLOCK_CHARS:
             yield block
@@ -121,7 +196,7 @@ def _item_blocks(items: DataFrame, item_id: str, item_text: str, error_rate: flo
         yield block
 
 
-def find_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", error_rate: float = ERROR_RATE, least_piece: int = LEAST_PIECE) -> DataFrame:
+def find_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", error_rate: float = ERROR_RATE) -> DataFrame:
     """Benchmark items inside whole document texts, within each item's edit budget.
 
     Returns one row for each document row and item found: (id_col, item_id, distance int, start int, stop int), with
@@ -150,7 +225,7 @@ def find_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
 
     item_arrow = to_arrow_type(items.schema[item_id].dataType)
     rows = docs.select(id_col, text_col)
-    parts = [rows.mapInArrow(lean(matcher(block)), schema) for block in _item_blocks(items, item_id, item_text, error_rate, least_piece)]
+    parts = [rows.mapInArrow(lean(matcher(block)), schema) for block in _item_blocks(items, item_id, item_text, error_rate)]
     return reduce(DataFrame.unionByName, parts) if parts else docs.sparkSession.createDataFrame([], schema)
 
 
@@ -186,7 +261,7 @@ def _reach(pattern: str, masks: dict[str, int], text: str, distance: int) -> int
     return len(text)
 
 
-def without_items(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", error_rate: float = ERROR_RATE, least_piece: int = LEAST_PIECE) -> DataFrame:
+def without_items(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", error_rate: float = ERROR_RATE) -> DataFrame:
     """The rows of docs, with all columns, in whose text find_items() would find nothing; nothing is shuffled."""
     at, columns, schema = docs.columns.index(text_col), docs.columns, docs.schema
 
@@ -199,6 +274,6 @@ def without_items(docs: DataFrame, items: DataFrame, text_col: str = "text", ite
 
         return run
 
-    for block in _item_blocks(items, item_id, item_text, error_rate, least_piece):
+    for block in _item_blocks(items, item_id, item_text, error_rate):
         docs = docs.mapInArrow(lean(matcher(block)), schema)
     return docs

@@ -60,3 +60,25 @@ def test_empty_tables(spark):
     items = spark.createDataFrame([], "item_id long, text string")
     assert d.find_items(docs, items).count() == 0
     assert d.without_items(spark.createDataFrame([(1, "x"), (None, None)], "doc_id long, text string"), items).count() == 2
+
+
+def test_whole_edit_share(spark):
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choices("abcdefghij", k=rng.randint(2, 9)))
+    items, docs = [], []
+    for size in (10, 20, 27, 30, 60, 113, 200, 240, 340) * 3:
+        text = " ".join(word() for _ in range(size))[:size].strip()
+        n, k = len(items), int(0.10 * len(text))
+        items.append((n, text))
+        put = list(text)
+        for i in rng.sample(range(len(text)), k):  # substitutions spread over the item: the most that a tenth allows
+            put[i] = "z"
+        filler = " ".join(word() for _ in range(20))
+        docs.append((n, f"{filler} {''.join(put)} {filler}"))
+        docs.append((1000 + n, f"{filler} {edited(rng, text, k)} {filler}"))
+    found = d.find_items(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    got = {r.doc_id: r.distance for r in found.where("doc_id % 1000 = item_id").collect()}
+    own = {i: (d.normal(items[i % 1000][1]), d.normal(t)) for i, t in docs}
+    want = {i: best for i, (x, t) in own.items() if (best := distance_in(x, t)) <= int(0.10 * len(x))}
+    assert got == want
+    assert sum(got[n] == int(0.10 * len(x)) for n, x in items if n in got) > 15
