@@ -188,11 +188,13 @@ def spelled(spans: str) -> F.Column:
 def redacted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with every found span replaced by its kind in brackets; overlapping spans are replaced together under the first one's kind.
 
-    All columns stay; a null text stays null. Ids must be distinct, as spans are put back by id.
+    All columns stay; a null text stays null. Spans are put back by a row key made in a written copy of docs, so rows
+    with a null or repeated id get their own, discovered ones too; id_col is not read for it.
     """
-    spans = find_personal(docs, id_col, text_col).select(F.col(id_col).alias("_id"), "spans").where(F.size("spans") > 0)
     columns = docs.columns
-    joined = docs.join(spans, docs[id_col] == spans["_id"], "left").drop("_id")
+    keyed = written(docs.withColumn("_row", F.monotonically_increasing_id()), "keyed")
+    spans = find_personal(keyed, "_row", text_col).select("_row", "spans").where(F.size("spans") > 0)
+    joined = keyed.join(spans, "_row", "left").select(*columns, "spans")
     text_at, id_types = columns.index(text_col), joined.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -43,3 +43,12 @@ def test_stages_keep_columns_and_take_odd_rows(spark, sf_dir):
     assert sorted(r.doc_id or 0 for r in kept.collect()) == [0, 1, 2, 3, 4]
     kept = corpus_pipeline.language_stage(spark, spark.createDataFrame(odd, schema), sf_dir)
     assert {r.doc_id for r in kept.collect()} == {3, None}
+
+
+def test_rows_without_own_id_are_redacted(spark, sf_dir):
+    schema = spark.read.parquet(f"{sf_dir}/documents.parquet").schema
+    texts = [(None, "write to a.b@example.com now"), (None, "call +44 20 7946 0958 or 10.1.2.3"), (7, "ask c@d.org"), (7, "of plain words, then e@f.org"), (8, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in texts], schema)
+    out = corpus_pipeline.personal_stage(spark, docs, sf_dir).collect()
+    assert sorted((r.doc_id or 0, r.text or "") for r in out) == [(0, "call [PHONE] or [IP]"), (0, "write to [EMAIL] now"), (7, "ask [EMAIL]"), (7, "of plain words, then [EMAIL]"), (8, "")]
+    assert all(r.n_chars == len(r.text) for r in out if r.text)
