@@ -16,6 +16,8 @@ from lamina.llm.common import _CLASS, class_runs, lean, mix64, run_hashes, text_
 BUCKETS, MOST_ROWS = 1 << 18, 24_000
 #: Bytes of a run's beginning that are a feature of their own.
 PREFIX = 5
+#: Share of the fitted rows that must hold a feature for it to have a weight, and the least and most rows that this can ask for.
+DF_SHARE, LEAST_DF, MOST_DF = 0.002, 4, 20
 REPEATS = (1, 2, 4, 8, 16, 32)
 
 
@@ -48,11 +50,11 @@ def _features(texts: pa.Array, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     return key // buckets, key % buckets
 
 
-def fit(docs: DataFrame, grades: DataFrame, id_col: str = "doc_id", text_col: str = "text", grade_col: str = "grade", buckets: int = BUCKETS, most_rows: int = MOST_ROWS, epochs: int = 12, least_df: int = 20, seed: int = 7) -> OrdinalModel:
+def fit(docs: DataFrame, grades: DataFrame, id_col: str = "doc_id", text_col: str = "text", grade_col: str = "grade", buckets: int = BUCKETS, most_rows: int = MOST_ROWS, epochs: int = 12, least_df: int | None = None, seed: int = 7) -> OrdinalModel:
     """Fit on at most most_rows labelled rows, chosen by hash of the id; grades has (id_col, grade_col: 0, 1, ... as integers).
 
     Rows with a null id or grade are left out; a null text counts as empty; of repeated ids the lowest grade counts.
-    Features seen in fewer than least_df fitted rows keep weight 0. With fewer than two grades all weights are 0.
+    Features seen in fewer than least_df fitted rows (none given: DF_SHARE of them, from LEAST_DF to MOST_DF) keep weight 0. With fewer than two grades all weights are 0.
     The fit is stochastic gradient descent with per-weight step sizes on the negative log-likelihood, on the driver.
     """
     wanted = grades.where(F.col(id_col).isNotNull() & F.col(grade_col).isNotNull()).groupBy(id_col).agg(F.min(grade_col).cast("int").alias("_grade"))
@@ -76,6 +78,8 @@ def fit(docs: DataFrame, grades: DataFrame, id_col: str = "doc_id", text_col: st
     if len(set(y.tolist())) < 2:
         top = int(y.max()) if len(y) else 1
         return OrdinalModel(weights, np.arange(max(top, 1), dtype=float) - 100.0)
+    if least_df is None:
+        least_df = min(MOST_DF, max(LEAST_DF, int(DF_SHARE * len(y))))
     df = np.bincount(np.concatenate(xs), minlength=buckets)
     xs = [x[df[x] >= least_df] for x in xs]
     n_cuts = int(y.max())

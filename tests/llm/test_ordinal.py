@@ -27,6 +27,13 @@ def test_query(spark, sf_dir):
     assert np.mean([got[r.doc_id].keep for r in labels.where("grade = 2").collect()]) >= 0.99
 
 
+def test_small_table_rejects_toxic_rows(spark, sf_dir):
+    docs, labels = labelled(spark, sf_dir)
+    got = {r.doc_id: r.keep for r in queries.op4_quality(spark, sf_dir).collect()}
+    toxic = [r.doc_id for r in labels.where("grade = 0").collect() if r.doc_id in got]
+    assert toxic and not any(got[i] for i in toxic)
+
+
 def test_tails_fall_with_the_cut():
     model = OrdinalModel(np.zeros(4), np.array([-1.0, 0.0, 2.0]))
     tails = model.tails(np.array([-3.0, 0.5, 9.0]))
