@@ -6,14 +6,20 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lamina.llm.common import lean, text_slices, written
 
 KINDS = ("email", "ip", "card", "phone")
-#: Rounds of scoring, least share of a pattern's instances that are personal, least distinct seeds behind a pattern, least score of a discovered instance.
-ROUNDS, LEAST_SHARE, LEAST_SEEDS, LEAST_SCORE = 3, 0.8, 4, 0.8
+#: Rounds at most, least share of a pattern's values that are personal, least accepted values behind a pattern, least score of an accepted value.
+ROUNDS, LEAST_SHARE, LEAST_SEEDS, LEAST_SCORE = 6, 0.8, 4, 0.8
+#: Characters of a word next to a value that belong to its pattern, the nearest ones: a word may be a whole text.
+CONTEXT = 24
+#: Parts that the rows of one pattern, or of one value, are dealt to: either may hold a third of all.
+SALTS = 16
+#: Rows with discovered spans, and such spans, up to which they are broadcast; more are joined by a shuffle.
+BROADCAST_ROWS, BROADCAST_SPANS = 100_000, 1_000_000
 
 _HINT = re.compile(r"[0-9@]")
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -88,8 +94,7 @@ def _instances(text: str, spans: list[tuple[int, int, int]]) -> Iterator[tuple[s
     def patterns(i: int, j: int, lead: str, start: int, end: int) -> list[str]:
         left = [text[a:b].lower() for a, b in tokens[max(0, i - 2) : i]] + ([lead.lower()] if lead else [])
         right = text[end : tokens[j][1]].lower() + (" " + text[slice(*tokens[j + 1])].lower() if j + 1 < len(tokens) else "")
-        # long tokens stand for themselves by their ends
-        left, right = [w[-24:] for w in left[-2:]], right.strip()[:24]
+        left, right = [w[-CONTEXT:] for w in left[-2:]], right.strip()[:CONTEXT]
         return ([f"L {' '.join(left)}"] if len(left) == 2 else []) + ([f"B {left[-1]} _ {right}"] if left and right else [])
 
     k = 0
@@ -117,9 +122,8 @@ def _instances(text: str, spans: list[tuple[int, int, int]]) -> Iterator[tuple[s
                 yield text[s:e], s, e, -1, patterns(i, i, text[a:s].rstrip("\"'"), s, e)
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """Base spans and context instances of every whole text (null: empty): (id_col, base array of (start, kind, stop), seen array of (value, start, stop, kind, patterns))."""
-    id_type = docs.schema[id_col].dataType.simpleString()
+def scan(rows: DataFrame) -> DataFrame:
+    """Base spans and context instances of the whole texts (null: empty) of rows (row, text): (row, base array of (start, kind, stop), seen array of (value, start, stop, kind, patterns))."""
     span = pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("stop", pa.int32())])
     seen = pa.struct([("value", pa.string()), ("start", pa.int32()), ("stop", pa.int32()), ("kind", pa.int32()), ("patterns", pa.list_(pa.string()))])
 
@@ -131,86 +135,128 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep:
                     spans = base_spans(text)
                     found.append([dict(zip(("start", "kind", "stop"), s)) for s in spans])
                     near.append([dict(zip(("value", "start", "stop", "kind", "patterns"), x)) for x in _instances(text, spans)] if spans or _HINT.search(text) else [])
-                yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(found, pa.list_(span)), pa.array(near, pa.list_(seen))], [id_col, "base", "seen"])
+                yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(found, pa.list_(span)), pa.array(near, pa.list_(seen))], ["row", "base", "seen"])
 
-    return docs.select(id_col, text_col).mapInArrow(lean(run), f"`{id_col}` {id_type}, base array<struct<start:int,kind:int,stop:int>>, seen array<struct<value:string,start:int,stop:int,kind:int,patterns:array<string>>>")
+    row_type = rows.schema["row"].dataType.simpleString()
+    return rows.select("row", "text").mapInArrow(lean(run), f"row {row_type}, base array<struct<start:int,kind:int,stop:int>>, seen array<struct<value:string,start:int,stop:int,kind:int,patterns:array<string>>>")
+
+
+def _salted(many: DataFrame, by: str, one: DataFrame) -> DataFrame:
+    """many joined with one (a row or a few for each key `by`), each key's rows dealt to SALTS parts."""
+    spread = one.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    dealt = many.withColumn("salt", F.pmod(F.xxhash64(*(c for c in many.columns if c != by)), F.lit(SALTS)).cast("int"))
+    return dealt.join(spread, [by, "salt"]).drop("salt")
 
 
 def discover(seen: DataFrame, rounds: int = ROUNDS, least_share: float = LEAST_SHARE, least_seeds: int = LEAST_SEEDS, least_score: float = LEAST_SCORE) -> DataFrame:
     """Values that high-confidence patterns mark as personal: (value, kind int).
 
-    seen has rows (value, kind or -1, pattern). Base matches are seeds of score 1. In each round a pattern's score for a kind is the
-    mean score of its distinct values, counted only with least_seeds seeds of that kind behind it; a value's score is
-    one minus the product of (1 - score) over its patterns of at least least_share. Ties take the kind listed first.
+    seen has rows (value, kind or -1, pattern). Base matches are seeds of score 1 and accepted from the start. A round induces patterns
+    anew from all values accepted so far: a pattern counts for a kind with least_seeds accepted values of that kind behind it, and its score is
+    the sum of their scores over all its distinct values. A value's score is one minus the product of (1 - score) over its
+    patterns of at least least_share; from least_score on it is accepted, and in the next round speaks for its other patterns.
+    Ties take the kind listed first. Rounds end when no value is new, or after `rounds` of them.
     """
-    edges = seen.groupBy("pattern", "value").agg(F.max("kind").alias("kind"))
-    edges = written(edges, "contexts")
+    edges = written(seen.where("value is not null and pattern is not null").groupBy("pattern", "value").agg(F.max("kind").alias("kind")), "contexts")
     sizes = edges.groupBy("pattern").agg(F.count("*").alias("n"))
-    seeds = edges.where("kind >= 0").groupBy("pattern", "kind").agg(F.count("*").alias("seeds")).where(F.col("seeds") >= least_seeds)
-    usable = seeds.join(sizes, "pattern")
     open_edges = edges.where("kind < 0").select("pattern", "value")
-    scores = None
+    seeds = edges.where("kind >= 0").groupBy("pattern", "kind").agg(F.count("*").alias("behind"), F.count("*").cast("double").alias("got"))
+    accepted, known = None, -1
     for _ in range(rounds):
-        gained = usable.withColumn("got", F.col("seeds").cast("double"))
-        if scores is not None:
-            extra = open_edges.join(scores, "value").groupBy("pattern", "kind").agg(F.sum("score").alias("extra"))
-            gained = gained.join(extra, ["pattern", "kind"], "left").withColumn("got", F.col("got") + F.coalesce("extra", F.lit(0.0)))
-        trusted = gained.withColumn("share", F.col("got") / F.col("n")).where(F.col("share") >= least_share).select("pattern", "kind", "share")
-        scores = open_edges.join(trusted, "pattern").groupBy("value", "kind").agg((1 - F.exp(F.sum(F.log(1 - F.least("share", F.lit(0.999)))))).alias("score"))
-    best = scores.where(F.col("score") >= least_score).groupBy("value").agg(F.max(F.struct("score", -F.col("kind"))).alias("top"))
-    return best.select("value", (-F.col("top.col2")).alias("kind"))
+        support = seeds
+        if accepted is not None:
+            more = _salted(open_edges, "value", accepted).groupBy("pattern", "kind").agg(F.count("*").alias("behind"), F.sum("score").alias("got"))
+            support = seeds.unionByName(more).groupBy("pattern", "kind").agg(F.sum("behind").alias("behind"), F.sum("got").alias("got"))
+        trusted = support.where(F.col("behind") >= least_seeds).join(sizes, "pattern").withColumn("share", F.col("got") / F.col("n"))
+        trusted = trusted.where(F.col("share") >= least_share).select("pattern", "kind", "share")
+        scores = _salted(open_edges, "pattern", trusted).groupBy("value", "kind").agg((1 - F.exp(F.sum(F.log(1 - F.least("share", F.lit(0.999)))))).alias("score"))
+        best = scores.where(F.col("score") >= least_score).groupBy("value").agg(F.max(F.struct("score", (-F.col("kind")).alias("order"))).alias("top"))
+        accepted = written(best.select("value", (-F.col("top.order")).alias("kind"), F.col("top.score").alias("score")), "accepted")
+        was, known = known, accepted.count()
+        if known in (0, was):  # scores only rise, so as many values are the same values
+            break
+    return accepted.select("value", "kind")
+
+
+def _found(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """For rows (row, text): (row, base), and for rows with discovered spans (row, more)."""
+    scanned = written(scan(rows), "personal")
+    seen = scanned.select("row", F.explode("seen").alias("s")).select("row", "s.*")
+    values = discover(seen.select("value", "kind", F.explode("patterns").alias("pattern")))
+    places = _salted(seen.where("kind < 0").select("row", "value", "start", "stop"), "value", values)
+    more = places.groupBy("row").agg(F.collect_set(F.struct("start", "kind", "stop")).alias("more"))
+    return scanned.select("row", "base"), written(more, "discovered")
+
+
+def _with_more(left: DataFrame, more: DataFrame) -> DataFrame:
+    """left (row, ...) with the discovered spans of its rows (null: none); only a large number of them moves left's rows."""
+    rows, spans = more.agg(F.count("*"), F.coalesce(F.sum(F.size("more")), F.lit(0))).first()
+    if not rows:
+        return left.withColumn("more", F.lit(None).cast(more.schema["more"].dataType))
+    return left.join(F.broadcast(more) if rows <= BROADCAST_ROWS and spans <= BROADCAST_SPANS else more, "row", "left")
+
+
+def _every(base: Column, more: Column) -> Column:
+    return F.when(more.isNull(), base).otherwise(F.array_sort(F.concat(base, more)))
 
 
 def find_personal(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Spans of personal data in every whole text: (id_col, base, spans), arrays of (start int, kind int, stop int) in code points.
+    """Spans of personal data in every whole text, one row for each input row: (id_col, base, spans), arrays of (start int, kind int, stop int) in code points.
 
     kind counts KINDS; base holds the fixed patterns' matches, spans those and the discovered ones, by start and
-    then kind. Null and empty texts give empty arrays, as does an empty table no rows. Repeated rows are kept and
-    rows with a null id too, though discovered spans go by id and so need one. Only the named columns are read.
-    What is shuffled are contexts of tokens with a digit or an @, first summed to distinct (pattern, value) pairs.
+    then kind. Null and empty texts give empty arrays, an empty table gives no rows. Rows are told apart by a key of their own,
+    so repeated rows, rows that share an id and rows with a null id each keep their own spans. Only the named columns are read,
+    so others may have any name. Texts of any length are searched whole. What is shuffled are contexts of tokens with a digit
+    or an @, first summed to distinct (pattern, value) pairs; the rows of one pattern or value are dealt to SALTS parts.
     """
-    rows = written(scan(docs, id_col, text_col), "personal")
-    seen = rows.select(id_col, F.explode("seen").alias("s")).select(id_col, "s.*")
-    values = discover(seen.select("value", "kind", F.explode("patterns").alias("pattern")))
-    places = seen.where("kind < 0").select(id_col, "value", "start", "stop").join(values, "value")
-    found = places.groupBy(id_col).agg(F.collect_set(F.struct("start", "kind", "stop")).alias("more"))
-    out = rows.select(id_col, "base").join(found, id_col, "left")
-    every = F.when(F.col("more").isNull(), F.col("base")).otherwise(F.array_sort(F.concat("base", "more")))
-    return out.select(id_col, "base", every.alias("spans"))
+    rows = docs.select(F.struct(F.monotonically_increasing_id().alias("key"), F.col(id_col).alias("id")).alias("row"), F.col(text_col).alias("text"))
+    base, more = _found(rows)
+    return _with_more(base, more).select(F.col("row.id").alias(id_col), "base", _every(F.col("base"), F.col("more")).alias("spans"))
+
 
+def of_kind(spans: str, kind: int) -> Column:
+    """Number of spans of one kind."""
+    return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
 
-def spelled(spans: str) -> F.Column:
+
+def spelled(spans: str) -> Column:
     """kind:start:end of each span, comma-joined."""
     names = F.array(*(F.lit(k) for k in KINDS))
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(names, s["kind"] + 1), s["start"].cast("string"), s["stop"].cast("string"))), ",")
 
 
-def redacted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def blanked(text: str, spans: list[tuple[int, int, int]]) -> str:
+    """text with each (start, kind, stop), in order, replaced by its kind in brackets; spans that overlap go together under the first one's kind."""
+    out, done = [], 0
+    for start, kind, stop in spans:
+        if start >= done:
+            out += [text[done:start], f"[{KINDS[kind].upper()}]"]
+        done = max(done, stop)
+    return "".join(out) + text[done:]
+
+
+def redacted(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs with every found span replaced by its kind in brackets; overlapping spans are replaced together under the first one's kind.
 
-    All columns stay; a null text stays null. Spans are put back by a row key made in a written copy of docs, so rows
-    with a null or repeated id get their own, discovered ones too; id_col is not read for it.
+    All columns stay as they are, whatever their names; a null text stays null and no row is added or lost. Base spans are searched again in
+    the row's own text and discovered ones come back by a key made in a written copy of the rows, so ids play no part: rows
+    with a null or repeated id are redacted like any other. An empty table gives an empty table.
     """
-    columns = docs.columns
-    keyed = written(docs.withColumn("_row", F.monotonically_increasing_id()), "keyed")
-    spans = find_personal(keyed, "_row", text_col).select("_row", "spans").where(F.size("spans") > 0)
-    joined = keyed.join(spans, "_row", "left").select(*columns, "spans")
-    text_at, id_types = columns.index(text_col), joined.schema
+    keyed = written(docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc")), "keyed")
+    _, more = _found(keyed.select("row", F.col(f"doc.`{text_col}`").alias("text")))
+    fields = [F.col(f"doc.`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)]
+    flat = _with_more(keyed, more).select(*fields, F.col("more").alias("more"))
+    text_at, width, names = docs.columns.index(text_col), len(docs.columns), docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = []
-            for text, spans in zip(batch.column(text_at).to_pylist(), batch.column(len(columns)).to_pylist()):
-                if text is not None and spans:
-                    out, done = [], 0
-                    for s in spans:
-                        if s["start"] >= done:
-                            out += [text[done : s["start"]], f"[{KINDS[s['kind']].upper()}]"]
-                        done = max(done, s["stop"])
-                    text = "".join(out) + text[done:]
+            for text, more in zip(batch.column(text_at).to_pylist(), batch.column(width).to_pylist()):
+                if text is not None and (more or _HINT.search(text)):
+                    text = blanked(text, sorted([*base_spans(text), *((s["start"], s["kind"], s["stop"]) for s in more or ())]))
                 texts.append(text)
-            arrays = [batch.column(i) for i in range(len(columns))]
+            arrays = [batch.column(i) for i in range(width)]
             arrays[text_at] = pa.array(texts, arrays[text_at].type)
-            yield pa.RecordBatch.from_arrays(arrays, columns)
+            yield pa.RecordBatch.from_arrays(arrays, names)
 
-    return joined.mapInArrow(lean(run), docs.schema)
+    return flat.mapInArrow(lean(run), docs.schema)

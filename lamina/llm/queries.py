@@ -31,10 +31,10 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_personal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from lamina.llm.personal import KINDS, find_personal, spelled
+    from lamina.llm.personal import KINDS, find_personal, of_kind, spelled
 
     found = find_personal(table(spark, sf_dir, "documents"))
-    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS)]
+    counts = [of_kind("base", k).alias(f"n_{name}") for k, name in enumerate(KINDS)]
     return found.select("doc_id", *counts, F.sha2(spelled("base").cast("binary"), 256).alias("base_sha256"), spelled("spans").alias("spans"))
 
 
