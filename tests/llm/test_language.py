@@ -24,7 +24,7 @@ def test_forward_and_expected_sum_all_segmentations():
     p = rng.random((len(PIECES) + 1, 2))
     words = ["".join(w) for n in range(1, 6) for w in itertools.product("abz", repeat=n)]
     lattice = Lattice(PIECES)
-    total = lattice.forward(words, p)[2]
+    total = np.exp(lattice.log_totals(words, p))
     weights = rng.random((len(words), 2))
     counts = np.zeros((len(PIECES) + 1, 2))
     for i, w in enumerate(words):
@@ -37,9 +37,59 @@ def test_forward_and_expected_sum_all_segmentations():
     assert np.allclose(lattice.expected(words, weights, p[:, :1]), counts)
 
 
-def test_vocabulary_is_fixed_and_lower():
+def plain_log_total(pieces, p, word):
+    """log of the forward probability, one position after another with logarithms."""
+    number = {x: i for i, x in enumerate(pieces)}
+    longest = max(map(len, pieces))
+    marked = MARK + word
+    alpha = [np.zeros(p.shape[1])]
+    for j in range(1, len(marked) + 1):
+        ways = []
+        for l in range(1, min(j, longest) + 1):
+            at = number.get(marked[j - l : j], len(pieces) if l == 1 else None)
+            if at is not None:
+                ways.append(alpha[j - l] + np.log(p[at]))
+        alpha.append(np.logaddexp.reduce(ways))
+    return alpha[-1]
+
+
+def test_long_words_and_whole_vocabulary():
+    """Words of any length over all pieces of any length, where a product would underflow."""
+    rng = np.random.default_rng(3)
+    pieces = vocabulary(public_tokenizers.path("piece_bpe_32k.model"))
+    p = rng.dirichlet(np.full(len(pieces) + 1, 0.3), 2).T + 1e-10
+    lattice = Lattice(pieces)
+    runs = [x.strip(MARK) for x in pieces if len(x) > 11]
+    words = ["a", "zu", "internationalization", "漢字" * 30, "".join(runs[:40]), "x" * 700] + ["".join(rng.choice(list("abcdeäñ"), n)) for n in (23, 24, 25, 47, 48, 49, 96, 300)] + runs[:60]
+    words = list(dict.fromkeys(words))
+    got = {w: x for part in language.batches_of(words) for w, x in zip(part, lattice.log_totals(part, p))}
+    assert got.keys() == set(words)
+    for w in words:
+        assert np.allclose(got[w], plain_log_total(pieces, p, w), rtol=1e-9), w
+
+
+def test_expected_counts_of_long_words():
+    """Every segmentation covers the marked word once, so expected counts weighted by piece length give its length; a word's counts do not depend on its batch."""
+    rng = np.random.default_rng(4)
     pieces = vocabulary(public_tokenizers.path("piece_bpe_32k.model"))
-    assert len(pieces) == len(set(pieces)) > 5000 and all(len(p) <= language.PIECE and p == p.lower() for p in pieces)
+    p = (rng.dirichlet(np.full(len(pieces) + 1, 0.5)) + 1e-9)[:, None]
+    lattice = Lattice(pieces)
+    sizes = np.array([*map(len, pieces), 1])
+    words = ["the", "x" * 23, "y" * 24, "z" * 25, "wörter" * 30, "ab" * 24, "q" * 500, "a"]
+    every = lattice.expected(words, np.eye(len(words)), p)
+    assert np.allclose(sizes @ every, [len(w) + 1 for w in words])
+    for i, w in enumerate(words):
+        assert np.allclose(lattice.expected([w], np.ones((1, 1)), p)[:, 0], every[:, i])
+
+
+def test_vocabulary_is_whole():
+    import sentencepiece
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    sp = sentencepiece.SentencePieceProcessor(model_file=path)
+    pieces = vocabulary(path)
+    able = {x for x in map(sp.id_to_piece, range(sp.get_piece_size())) if (x.strip(MARK) or x == MARK) and x == x.lower() and (x == MARK or language.LETTERS.fullmatch(x.removeprefix(MARK)))}
+    assert len(pieces) == len(set(pieces)) and able - {"<unk>", "<s>", "</s>"} == set(pieces) and max(map(len, pieces)) > 12
 
 
 def test_held_out_accuracy_and_contract(spark, sf_dir):
