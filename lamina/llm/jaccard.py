@@ -41,7 +41,7 @@ def shingles(texts: pa.Array, width: int = WIDTH) -> tuple[np.ndarray, np.ndarra
     with np.errstate(over="ignore"):
         h = np.zeros(max(0, len(words) - width + 1), np.uint64)
         for k in range(width):
-            h = mix64(h + words[k : len(words) - width + 1 + k] * salt[k])
+            h = mix64(h + words[k : k + len(h)] * salt[k])
         whole = owner[: len(h)] == owner[width - 1 :] if len(h) else np.zeros(0, bool)
         h, at = h[whole], owner[: len(h)][whole]
         few = np.flatnonzero((counts > 0) & (counts < width))

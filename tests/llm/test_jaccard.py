@@ -84,3 +84,13 @@ def test_overlaps_by_fragments():
     b = [np.unique(rng.integers(0, 60, 30)) for _ in range(4)]
     want = [[len(set(x) & set(y)) for y in b] for x in a]
     assert jaccard.overlaps(a, b, columns=7).tolist() == want
+
+
+@pytest.mark.parametrize("width", [1, 2, 5, 9])
+def test_few_words_for_the_width(width):
+    import pyarrow as pa
+
+    for texts in (["a b"], ["a"], [""], ["a b c", "", "d"], ["a b c d e f g h i j"], []):
+        h, ends = jaccard.shingles(pa.array(texts, pa.large_string()), width)
+        counts = [len(t.split()) for t in texts]
+        assert (ends[1:] - ends[:-1]).tolist() == [n - width + 1 if n >= width else min(n, 1) for n in counts] and len(h) == ends[-1]
