@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: File names in the folder of public tokenizers; the folder is found through its package.
@@ -38,12 +38,16 @@ def op2_personal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(spelled("base").cast("binary"), 256).alias("base_sha256"), spelled("spans").alias("spans"))
 
 
-def op3_sentencepiece(spark: SparkSession, sf_dir: str, docs: DataFrame | None = None) -> DataFrame:
+def piece_digests() -> list[Column]:
+    """n_tokens, ids_sha256 and decoded_sha256 of encode_decode()'s columns."""
+    n = F.floor(F.octet_length("ids") / 4).cast("long")
+    return [n.alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256")]
+
+
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lamina.llm.pieces import encode_decode
 
-    docs = table(spark, sf_dir, "documents") if docs is None else docs
-    out = encode_decode(docs, tokenizer_path(PIECE_MODEL))
-    return out.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+    return encode_decode(table(spark, sf_dir, "documents"), tokenizer_path(PIECE_MODEL)).select("doc_id", *piece_digests())
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,10 +86,10 @@ def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_components(table(spark, sf_dir, "documents"))
 
 
-def op9_language(spark: SparkSession, sf_dir: str, docs: DataFrame | None = None) -> DataFrame:
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lamina.llm.language import held_out, predict, train, vocabulary
 
-    docs = table(spark, sf_dir, "documents") if docs is None else docs
+    docs = table(spark, sf_dir, "documents")
     pieces = vocabulary(tokenizer_path(PIECE_MODEL))
     langs, p = train(docs.where(~held_out()), pieces)
     return predict(docs, pieces, langs, p).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")

@@ -57,8 +57,16 @@ def test_query(spark, sf_dir):
     assert {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in got} == {i: digest_reference(t, SP) for i, t in texts.items()}
 
 
-@pytest.mark.parametrize("limit", [1, 10])
-def test_slices(monkeypatch, limit, spark):
-    monkeypatch.setattr(pieces, "TABLE_CHUNKS", limit)
-    docs = spark.createDataFrame([(i, f"w{i} v{i % 3}") for i in range(50)], "doc_id long, text string")
-    assert all(r.decoded == f"w{r.doc_id} v{r.doc_id % 3}" for r in encode_decode(docs, PATH).collect())
+@pytest.mark.parametrize("most", [1, 2000])
+def test_table_starts_anew(most):
+    table = ChunkTable(open(PATH, "rb").read(), most)
+    for i in range(0, 60, 3):
+        assert exact([f"w{k} v{k % 3} " + "y" * (600 if k % 7 == 0 else 5) for k in range(i, i + 3)], table)
+        assert table.size <= most + 10 * (pieces.CHUNK_COST + 700)
+
+
+def test_kept_columns(spark):
+    docs = spark.createDataFrame([(1, "a b", "s", [1]), (2, None, None, None)], "doc_id long, text string, _text string, n array<int>")
+    out = encode_decode(docs, PATH, keep=("text", "_text", "n"))
+    assert out.columns == ["doc_id", "text", "_text", "n", "ids", "decoded"]
+    assert sorted((r.doc_id, r.text, r._text, r.decoded) for r in out.collect()) == [(1, "a b", "s", "a b"), (2, None, None, "")]
