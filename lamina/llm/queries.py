@@ -128,12 +128,14 @@ WITH v AS (
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
     AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
 ), e AS (
-  SELECT vec_id, unnest(range(1, len(e) + 1)) AS i, unnest(e) AS x FROM v
+  SELECT vec_id, len(e) AS dim, unnest(range(1, len(e) + 1)) AS i, unnest(e) AS x FROM v
 ), s AS (
   SELECT q.vec_id AS query_id, c.vec_id, CAST(sum(q.x * c.x) AS BIGINT) AS score
-  FROM e q JOIN e c ON q.i = c.i AND q.vec_id <> c.vec_id
+  FROM e q JOIN e c ON q.i = c.i AND q.dim = c.dim AND q.vec_id <> c.vec_id
   WHERE q.vec_id % 20 = 0
   GROUP BY ALL
+  UNION ALL
+  SELECT q.vec_id, c.vec_id, 0 FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0 AND len(q.e) = 0 AND len(c.e) = 0
 ), r AS (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s
 )

@@ -11,8 +11,12 @@ from pyspark.sql import functions as F
 
 from lamina.llm.common import lean, written
 
-#: Vectors in a bucket, queries in a block, and coordinates looked at when a local threshold is high.
+#: Vectors in a bucket and queries in a block, coordinates looked at when a local threshold is high, and the cosine from which it is.
 BUCKET, QUERIES, FOCUS, HIGH = 4096, 512, 4, 0.6
+#: Bytes of buckets that one task holds (a shard: buckets that follow each other by length), and query blocks that it meets them with.
+SHARD_BYTES, TASK_BLOCKS = 16 << 20, 256
+#: Parts that the rows of one dimension are dealt to: all vectors may have the same.
+SALTS = 32
 
 
 def quantised(table: DataFrame, scale: float = 64.0, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -28,18 +32,39 @@ def quantised(table: DataFrame, scale: float = 64.0, id_col: str = "vec_id", vec
     return rows.select("id", F.size("v").alias("dim"), "v", F.aggregate("v", F.lit(0.0), lambda a, c: a + c.cast("double") * c.cast("double")).alias("norm2"))
 
 
-def _packed(rows: DataFrame, size: int) -> DataFrame:
-    """Rows packed by falling length into (dim, longest double, ids binary, vectors binary, norms binary): a range partition holds its blocks."""
+def _small(v: np.ndarray) -> np.ndarray:
+    """v in the narrowest integers that hold it."""
+    kinds = (np.int8, np.int16, np.int32, np.int64)
+    return v.astype(next(t for t in kinds if not v.size or (np.iinfo(t).min <= v.min() and v.max() <= np.iinfo(t).max)))
+
+
+_PACKED = "dim int, shard long, bucket int, longest double, ids binary, vectors binary, width int, norms binary"
+
+
+def _packed(rows: DataFrame, size: int, shard_bytes: int) -> DataFrame:
+    """Rows (id, dim, v, norm2) packed by falling length: a row for each bucket of at most `size` vectors of one dimension, norms falling inside.
+
+    Columns are _PACKED; buckets that follow each other share a shard of about shard_bytes. A range partition packs its own rows.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        shard, held_bytes, bucket, last = TaskContext.get().partitionId() << 24, 0, 0, None
         held: list[tuple] = []
 
         def out() -> pa.RecordBatch:
+            nonlocal shard, held_bytes, bucket, last
             dim = held[0][1]
-            ids, v = np.array([h[0] for h in held], np.int64), np.array([h[2] for h in held], np.int64).reshape(len(held), dim)
+            ids, v = np.array([h[0] for h in held], np.int64), _small(np.array([h[2] for h in held], np.int64).reshape(len(held), dim))
             norms = np.sqrt(np.array([h[3] for h in held]))
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array([dim], pa.int32()), pa.array([float(norms.max())]), *(pa.array([x.tobytes()], pa.binary()) for x in (ids, v, norms))], ["dim", "longest", "ids", "vectors", "norms"])
+            if last is not None and (last != dim or held_bytes >= shard_bytes):
+                shard, held_bytes, bucket = shard + 1, 0, 0
+            last, held_bytes, bucket = dim, held_bytes + v.nbytes + 16 * len(ids), bucket + 1
+            numbers = [pa.array([x], t) for x, t in ((dim, pa.int32()), (shard, pa.int64()), (bucket, pa.int32()), (float(norms.max()), pa.float64()))]
+            blobs = [pa.array([x.tobytes()], pa.binary()) for x in (ids, v, norms)]
+            return pa.RecordBatch.from_arrays([*numbers, blobs[0], blobs[1], pa.array([v.itemsize], pa.int32()), blobs[2]], ["dim", "shard", "bucket", "longest", "ids", "vectors", "width", "norms"])
 
         for batch in batches:
             for row in zip(*(batch.column(i).to_pylist() for i in range(4))):
@@ -50,7 +75,7 @@ def _packed(rows: DataFrame, size: int) -> DataFrame:
             yield out()
 
     ordered = rows.repartitionByRange("dim", F.desc("norm2"), "id").sortWithinPartitions("dim", F.desc("norm2"), "id")
-    return ordered.mapInArrow(lean(run), "dim int, longest double, ids binary, vectors binary, norms binary")
+    return ordered.mapInArrow(lean(run), _PACKED)
 
 
 def _exact(q: np.ndarray, c: np.ndarray, bound: float) -> np.ndarray:
@@ -93,89 +118,122 @@ def candidates(q: np.ndarray, length: float, least: float, c: np.ndarray, norms:
     return np.flatnonzero(keep)
 
 
-def _search(pairs: DataFrame, k: int) -> DataFrame:
-    """Best k of each query in each (query block, bucket): (query_id, vec_id, score)."""
+class _Block:
+    """Packed vectors of one dimension as arrays."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                dim, q_ids, q_vectors, q_norms, q_least, ids, vectors, norms = (batch.column(j)[i] for j in range(8))
-                dim = dim.as_py()
-                read = lambda x, kind: np.frombuffer(x.as_buffer(), kind)
-                q_ids, ids, q_norms, norms = read(q_ids, np.int64), read(ids, np.int64), read(q_norms, float), read(norms, float)
-                q, c = read(q_vectors, np.int64).reshape(len(q_ids), dim), read(vectors, np.int64).reshape(len(ids), dim)
-                least = read(q_least, float) if q_least.is_valid else np.full(len(q_ids), -np.inf)
-                bound = float(q_norms.max() * norms[0]) * 1.01 + 1
-                found = [candidates(q[n].astype(float), q_norms[n], least[n], c, norms) for n in range(len(q_ids))]
-                many = np.array([len(f) * 4 > len(c) for f in found], bool)
-                until = max([int(f[-1]) + 1 for f, m in zip(found, many) if m], default=0)
-                dense = _exact(q[many], c[:until], bound) if until else None
-                row = np.cumsum(many) - 1
-                out = []
-                for n, at in enumerate(found):
-                    if not len(at):
-                        continue
-                    score = dense[row[n], at] if many[n] else _exact(q[n : n + 1], c[at], bound)[0]
-                    fit = (ids[at] != q_ids[n]) & (score >= least[n])
-                    at, score = at[fit], score[fit]
-                    best = _best(score, ids[at], k)
-                    out.append((np.full(len(best), q_ids[n]), ids[at][best], score[best]))
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], ["query_id", "vec_id", "score"])
-
-    return pairs.mapInArrow(lean(run), "query_id long, vec_id long, score long")
+    def __init__(self, row: dict):
+        self.ids, self.norms = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["norms"], float)
+        self.vectors = np.frombuffer(row["vectors"], f"<i{row['width']}").reshape(len(self.ids), row["dim"])
 
 
-def top_products(vectors: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
-    """The k highest integer inner products of each query row with every row but its own id: (query_id, rank int, vec_id, score).
+def _meet(block: _Block, least: np.ndarray, buckets: list[_Block], k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each query of block the (ids, scores) of its best k in the buckets that reach its least score, best first."""
+    found: list[list] = [[] for _ in block.ids]
+    for bucket in buckets:
+        bound = float(block.norms.max() * bucket.norms[0]) * 1.01 + 1
+        near = [candidates(block.vectors[n].astype(float), block.norms[n], least[n], bucket.vectors, bucket.norms) for n in range(len(block.ids))]
+        many = np.array([len(at) * 4 > len(bucket.ids) for at in near], bool)
+        until = max([int(at[-1]) + 1 for at, m in zip(near, many) if m], default=0)
+        dense = _exact(block.vectors[many], bucket.vectors[:until], bound) if until else None
+        row = np.cumsum(many) - 1
+        for n, at in enumerate(near):
+            if len(at):
+                score = dense[row[n], at] if many[n] else _exact(block.vectors[n : n + 1], bucket.vectors[at], bound)[0]
+                fit = (bucket.ids[at] != block.ids[n]) & (score >= least[n])
+                at, score = at[fit], score[fit]
+                best = _best(score, bucket.ids[at], k)
+                found[n].append((bucket.ids[at][best], score[best]))
+    out = []
+    for parts in found:
+        ids, score = (np.concatenate(x) if parts else np.zeros(0, np.int64) for x in (zip(*parts) if parts else ((), ())))
+        best = _best(score, ids, k)
+        out.append((ids[best], score[best]))
+    return out
 
-    vectors comes from quantised(); is_query is a condition on id. Ties go to the smaller vec_id; fewer than k other
-    rows give all. Vectors of another dimension are no candidates. Rows that repeat an id are one candidate each, and one
-    query; with the query's own id they are left out. Empty tables give no rows. Products must fit 63 bits.
 
-    Buckets hold BUCKET vectors of like length (equal ones go by id, so a hot vector spreads); each block of queries first
-    meets the longest bucket, which gives every query a score to beat, and then only buckets whose length can reach it.
-    """
-    spark = vectors.sparkSession
-    buckets = written(_packed(vectors.select("id", "dim", "v", "norm2"), BUCKET), "buckets")
-    blocks = written(_packed(vectors.where(is_query).dropDuplicates(["id"]).select("id", "dim", "v", "norm2"), QUERIES), "queries")
-    # ids of buckets, longest first in each dimension: one small row for each BUCKET vectors
-    order = Window.partitionBy("dim").orderBy(F.desc("longest"), F.xxhash64("ids"))
-    keyed = written(buckets.withColumn("bucket", F.row_number().over(order) - 1), "buckets")
-    head = keyed.where("bucket = 0").select("dim", "ids", "vectors", "norms")
-    sides = ["dim", "q_ids", "q_vectors", "q_norms", "q_least", "ids", "vectors", "norms"]
-    asked = blocks.select("dim", F.col("longest").alias("q_longest"), F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"), F.col("norms").alias("q_norms"))
-    asked = asked.withColumn("block", F.xxhash64("q_ids"))
-    pilot = asked.join(head, "dim").withColumn("q_least", F.lit(None).cast("binary"))
-    first = written(_search(pilot.select(*sides), k), "pilot")
-    least = first.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("least")).where(F.col("n") == k).select("query_id", "least")
-    thresholds = _thresholds(asked, least, first.sparkSession)
-    asked = asked.join(thresholds, ["dim", "block"])
-    sizes = keyed.groupBy("dim").agg(F.max("bucket").alias("last"), F.collect_list(F.struct("bucket", "longest")).alias("lengths"))
-    reach = F.filter("lengths", lambda b: (b["bucket"] > 0) & ((F.col("floor") <= 0) | (b["longest"] * F.col("q_longest") * (1 + 1e-9) >= F.col("floor"))))
-    pairs = asked.join(sizes, "dim").withColumn("b", F.explode(reach)).withColumn("bucket", F.col("b.bucket")).drop("b", "lengths")
-    pairs = pairs.join(keyed.select("dim", "bucket", "ids", "vectors", "norms"), ["dim", "bucket"])
-    rest = _search(pairs.select(*sides).repartition(max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))), k)
-    ranked = first.unionByName(rest).withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
-    return ranked.where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+def _hits(block: _Block, best: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    lengths = [len(ids) for ids, _ in best]
+    ids, scores = (np.concatenate([x[i] for x in best]) for i in (0, 1))
+    return pa.RecordBatch.from_arrays([pa.array(np.repeat(block.ids, lengths)), pa.array(ids), pa.array(scores)], ["query_id", "vec_id", "score"])
 
 
-def _thresholds(asked: DataFrame, least: DataFrame, spark) -> DataFrame:
-    """(dim, block, q_least binary in the block's order, floor double: the smallest): minus infinity where the pilot gave fewer than k."""
+_HITS = "query_id long, vec_id long, score long"
 
-    def ids_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _pilot(pairs: DataFrame, k: int) -> DataFrame:
+    """For rows of a query block (q_ columns) with the longest bucket: the block, each query's score to beat (minus infinity below k hits), the least of them, and the hits."""
+    head = ["block", "dim", "q_longest", "q_ids", "q_vectors", "q_width", "q_norms"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                ids = np.frombuffer(batch.column(2)[i].as_buffer(), np.int64)
-                n = len(ids)
-                yield pa.RecordBatch.from_arrays([pa.array([batch.column(0)[i].as_py()] * n, pa.int32()), pa.array([batch.column(1)[i].as_py()] * n, pa.int64()), pa.array(range(n), pa.int32()), pa.array(ids)], ["dim", "block", "at", "query_id"])
+                row = {name: batch.column(name)[i].as_py() for name in batch.schema.names}
+                block = _Block({"dim": row["dim"], "ids": row["q_ids"], "vectors": row["q_vectors"], "width": row["q_width"], "norms": row["q_norms"]})
+                best = _meet(block, np.full(len(block.ids), -np.inf), [_Block(row)], k)
+                least = np.array([s[-1] if len(s) == k else -np.inf for _, s in best], float)
+                hits = pa.array([_hits(block, best).to_pylist()], pa.list_(pa.struct([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])))
+                yield pa.RecordBatch.from_arrays([*(batch.column(name).slice(i, 1) for name in head), pa.array([least.tobytes()], pa.binary()), pa.array([float(least.min())]), hits], [*head, "least", "floor", "hits"])
+
+    return pairs.mapInArrow(lean(run), "block long, dim int, q_longest double, q_ids binary, q_vectors binary, q_width int, q_norms binary, least binary, floor double, hits array<struct<query_id:long,vec_id:long,score:long>>")
 
-    flat = asked.select("dim", "block", "q_ids").mapInArrow(lean(ids_of), "dim int, block long, at int, query_id long").join(least, "query_id", "left")
-    rows = flat.groupBy("dim", "block").agg(F.array_sort(F.collect_list(F.struct("at", F.coalesce(F.col("least").cast("double"), F.lit(float("-inf"))).alias("least")))).alias("l"))
 
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _search(rows: DataFrame, k: int) -> DataFrame:
+    """Hits of tasks whose rows stand together, buckets (no least) before query blocks: a task's buckets are held, blocks pass by."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, buckets = None, []
         for batch in batches:
-            lists = [np.array(x, float) for x in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([x.tobytes() for x in lists], pa.binary()), pa.array([float(x.min()) for x in lists], pa.float64())], ["dim", "block", "q_least", "floor"])
+            for i in range(batch.num_rows):
+                row = {name: batch.column(name)[i].as_py() for name in batch.schema.names}
+                if (row["shard"], row["part"]) != task:
+                    task, buckets = (row["shard"], row["part"]), []
+                if row["least"] is None:
+                    buckets.append(_Block(row))
+                else:
+                    block = _Block(row)
+                    hits = _hits(block, _meet(block, np.frombuffer(row["least"], float), buckets, k))
+                    if hits.num_rows:
+                        yield hits
+
+    return rows.mapInArrow(lean(run), _HITS)
 
-    return rows.select("dim", "block", F.col("l.least").alias("l")).mapInArrow(lean(pack), "dim int, block long, q_least binary, floor double")
+
+def top_products(vectors: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
+    """The k highest integer inner products of each query row with every row but its own id: (query_id, rank int, vec_id, score).
+
+    vectors comes from quantised(); is_query is a condition on id. Ties go to the smaller vec_id; fewer than k other
+    rows give all. Vectors of another dimension are no candidates; empty vectors meet each other with score 0. Rows that repeat an
+    id are one candidate each, and one query (the smallest vector, component by component); with the query's own id they are left out.
+    Empty tables give no rows. Products must fit 63 bits.
+
+    Buckets hold BUCKET vectors of like length (equal ones go by id, so a hot vector spreads), packed where a range sort by dimension and
+    length leaves them. Each block of queries first meets the longest bucket of its dimension, which gives every query a score to beat, and then
+    only shards of buckets whose length can reach it. A task holds one shard (SHARD_BYTES) and TASK_BLOCKS blocks pass by it, so neither
+    a hot dimension nor a shard that every query reaches goes to one task. What goes by dimension are small rows without vectors, or dealt to SALTS parts.
+    """
+    buckets = written(_packed(vectors.select("id", "dim", "v", "norm2"), BUCKET, SHARD_BYTES), "buckets")
+    queries = vectors.where(is_query).groupBy("id").agg(F.min(F.struct("dim", "v", "norm2")).alias("q")).select("id", "q.*")
+    blocks = written(_packed(queries, QUERIES, SHARD_BYTES), "queries")
+    salt = lambda key: F.pmod(F.xxhash64(key), F.lit(SALTS)).cast("int").alias("salt")
+    every_salt = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+    asked = blocks.select((F.col("shard") * (1 << 16) + F.col("bucket")).alias("block"), "dim", F.col("longest").alias("q_longest"), F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"), F.col("width").alias("q_width"), F.col("norms").alias("q_norms"))
+    # the longest bucket of each dimension: found on rows without vectors, then fetched, one copy for each part
+    first = buckets.groupBy("dim").agg(F.max(F.struct("longest", "shard", "bucket")).alias("m")).select("m.shard", "m.bucket")
+    head = buckets.join(first, ["shard", "bucket"]).select("*", every_salt)
+    pilot = written(_pilot(asked.select("*", salt("block")).join(head.drop("shard", "bucket", "longest"), ["dim", "salt"]).drop("salt"), k), "pilot")
+    # which block can reach which shard: rows without vectors
+    shards = buckets.join(first.withColumn("head", F.lit(True)), ["shard", "bucket"], "left").where("head is null").groupBy("dim", "shard").agg(F.max("longest").alias("longest"))
+    wants = pilot.select("dim", "block", "floor", "q_longest", salt("block"))
+    reach = (F.col("floor") <= 0) | (F.col("longest") * F.col("q_longest") * (1 + 1e-9) >= F.col("floor"))
+    pairs = wants.join(shards.select("*", every_salt), ["dim", "salt"]).where(reach)
+    parts = F.ceil(F.lit(pilot.count()) / TASK_BLOCKS).cast("long")
+    pairs = written(pairs.select("shard", "block", F.pmod(F.xxhash64("block", F.lit(1)), parts).alias("part")), "pairs")
+    # payloads: a shard's buckets once for each of its tasks, a block once for each shard it reaches
+    columns = ["shard", "part", "bucket", "dim", "ids", "vectors", "width", "norms", "least"]
+    held = buckets.join(first.withColumn("head", F.lit(True)), ["shard", "bucket"], "left").where("head is null").join(pairs.select("shard", "part").distinct(), "shard")
+    passing = pilot.select("block", "dim", F.col("q_ids").alias("ids"), F.col("q_vectors").alias("vectors"), F.col("q_width").alias("width"), F.col("q_norms").alias("norms"), "least").join(pairs, "block")
+    rows = held.withColumn("least", F.lit(None).cast("binary")).select(*columns).unionByName(passing.withColumn("bucket", F.lit(1 << 30)).select(*columns))
+    rest = _search(rows.repartition("shard", "part").sortWithinPartitions("shard", "part", "bucket"), k)
+    hits = pilot.select(F.explode("hits").alias("h")).select("h.*").unionByName(rest)
+    ranked = hits.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
+    return ranked.where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

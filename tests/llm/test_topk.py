@@ -19,6 +19,8 @@ def brute(rows, k):
 def test_against_brute_force(spark, monkeypatch, kind):
     monkeypatch.setattr(topk, "BUCKET", 50)
     monkeypatch.setattr(topk, "QUERIES", 7)
+    monkeypatch.setattr(topk, "SHARD_BYTES", 2000)
+    monkeypatch.setattr(topk, "TASK_BLOCKS", 2)
     rng = np.random.default_rng(4)
     x = rng.normal(size=(8 if kind == "few" else 400, 6)) * rng.lognormal(0, 1.2, size=(8 if kind == "few" else 400, 1))
     if kind == "hot":
@@ -46,3 +48,43 @@ def test_pruning_loses_nothing():
 def test_empty(spark):
     table = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert topk.top_products(topk.quantised(table), F.col("id") % 20 == 0).count() == 0
+
+
+def test_dimensions_repeats_and_sql(spark, tmp_path):
+    """Vectors of several dimensions, empty ones and repeated ids; the SQL agrees where ids are distinct."""
+    import duckdb
+
+    from lamina.llm.queries import OP5_SQL, op5_topk
+
+    rows = [(i, [float(i % 7) / 3 - 1 + j for j in range(i % 4)], "x") for i in range(130)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, ids string").write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = sorted(map(tuple, op5_topk(spark, str(tmp_path)).collect()))
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    assert got == sorted(db.execute(OP5_SQL).fetchall()) and {q for q, *_ in got} == {0, 20, 40, 60, 80, 100, 120}
+    twice = spark.createDataFrame([(20, [1.0, 0.0]), (20, [0.5, 1.0]), (7, [1.0, 1.0]), (7, [2.0, 0.0])], "vec_id long, embedding array<double>")
+    got = sorted(map(tuple, topk.top_products(topk.quantised(twice), F.col("id") % 20 == 0).collect()))
+    assert got == [(20, 1, 7, 96 * 64), (20, 2, 7, 64 * 64)]
+
+
+def test_one_hot_dimension_fills_many_tasks(spark, monkeypatch):
+    """All vectors have one dimension and like lengths, so every query reaches every shard: no task gets more than a shard and some blocks."""
+    monkeypatch.setattr(topk, "BUCKET", 20)
+    monkeypatch.setattr(topk, "QUERIES", 5)
+    monkeypatch.setattr(topk, "SHARD_BYTES", 1000)
+    monkeypatch.setattr(topk, "TASK_BLOCKS", 2)
+    seen = {}
+    search = topk._search
+
+    def watched(rows, k):
+        seen["tasks"] = rows.groupBy("shard", "part").agg(F.sum(F.when(F.col("least").isNull(), 1)).alias("buckets"), F.count("least").alias("blocks")).collect()
+        return search(rows, k)
+
+    monkeypatch.setattr(topk, "_search", watched)
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(600, 4))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    table = spark.createDataFrame([(int(i), [float(c) for c in r]) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    got = topk.top_products(topk.quantised(table), F.col("id") % 20 == 0, 20).collect()
+    assert len(got) == 30 * 20 and len(seen["tasks"]) > 15
+    assert max(r.blocks for r in seen["tasks"]) < 6 and max(r.buckets for r in seen["tasks"]) <= 3
