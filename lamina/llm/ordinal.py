@@ -10,14 +10,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lamina.llm.common import _CLASS, class_runs, lean, mix64, run_hashes, text_slices
+from lamina.llm.common import _CLASS, class_runs, lean, mix64, run_hashes, text_slices, written
 
-#: Buckets of hashed words, and the most labelled rows that a fit reads (taken by hash of the id).
-BUCKETS, MOST_ROWS = 1 << 18, 24_000
+#: Buckets of hashed words, and the most labelled rows and features of rows that a fit reads (taken by hash of the id).
+BUCKETS, MOST_ROWS, MOST_FEATURES = 1 << 18, 24_000, 10_000_000
 #: Bytes of a run's beginning that are a feature of their own.
 PREFIX = 5
-#: Share of the fitted rows that must hold a feature for it to have a weight, and the least and most rows that this can ask for.
-DF_SHARE, LEAST_DF, MOST_DF = 0.002, 4, 20
+#: A feature that n fitted rows hold counts n / (n + SHRINK): the rarer, the less one row can say about it.
+SHRINK = 10.0
+#: Least distance of two thresholds.
+GAP = 1e-3
 REPEATS = (1, 2, 4, 8, 16, 32)
 
 
@@ -50,45 +52,63 @@ def _features(texts: pa.Array, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     return key // buckets, key % buckets
 
 
-def fit(docs: DataFrame, grades: DataFrame, id_col: str = "doc_id", text_col: str = "text", grade_col: str = "grade", buckets: int = BUCKETS, most_rows: int = MOST_ROWS, epochs: int = 12, least_df: int | None = None, seed: int = 7) -> OrdinalModel:
-    """Fit on at most most_rows labelled rows, chosen by hash of the id; grades has (id_col, grade_col: 0, 1, ... as integers).
+def likelihood(z: np.ndarray, cuts: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Cumulative link: logarithm of P(grade = y) = P(> y - 1) - P(> y) for scores z, and its slopes by z and by each cut (row, cut)."""
+    above = 1 / (1 + np.exp(np.clip(cuts[None, :] - z[:, None], -50, 50)))
+    full = np.hstack([np.ones((len(z), 1)), above, np.zeros((len(z), 1))])
+    row = np.arange(len(z))
+    low, high = full[row, y], full[row, y + 1]
+    p = np.maximum(low - high, 1e-12)
+    by_cut = np.zeros((len(z), len(cuts) + 2))
+    by_cut[row, y] -= low * (1 - low) / p
+    by_cut[row, y + 1] += high * (1 - high) / p
+    return np.log(p), 1 - low - high, by_cut[:, 1:-1]
 
-    Rows with a null id or grade are left out; a null text counts as empty; of repeated ids the lowest grade counts.
-    Features seen in fewer than least_df fitted rows (none given: DF_SHARE of them, from LEAST_DF to MOST_DF) keep weight 0. With fewer than two grades all weights are 0.
-    The fit is stochastic gradient descent with per-weight step sizes on the negative log-likelihood, on the driver.
+
+def fit(docs: DataFrame, grades: DataFrame, id_col: str = "doc_id", text_col: str = "text", grade_col: str = "grade", buckets: int = BUCKETS, most_rows: int = MOST_ROWS, most_features: int = MOST_FEATURES, epochs: int = 12, shrink: float = SHRINK, seed: int = 7) -> OrdinalModel:
+    """Fit on at most most_rows labelled rows with at most most_features features, taken by hash of the id; grades has (id_col, grade_col: 0, 1, ... as integers).
+
+    Rows with a null id or grade are left out; a null text counts as empty; of repeated ids the lowest grade counts, and of
+    repeated document rows one (the smallest set of features, as bytes). With fewer than two grades all weights are 0.
+    The fit is stochastic gradient descent with per-weight step sizes on the negative logarithm of the cumulative-link likelihood, on
+    the driver. No feature is left out: one that n rows hold counts n / (n + shrink), in the fit as in the weights.
     """
-    wanted = grades.where(F.col(id_col).isNotNull() & F.col(grade_col).isNotNull()).groupBy(id_col).agg(F.min(grade_col).cast("int").alias("_grade"))
-    wanted = wanted.orderBy(F.xxhash64(id_col), id_col).limit(most_rows)
+    wanted = grades.where(F.col(id_col).isNotNull() & F.col(grade_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.min(grade_col).cast("int").alias("grade"))
+    wanted = wanted.withColumn("place", F.xxhash64("id")).orderBy("place", "id").limit(most_rows)
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for rows, texts in text_slices(batch, 1):
+            for rows, texts in text_slices(batch, 2):
                 owner, bucket = _features(texts, buckets)
                 cuts = np.searchsorted(owner, np.arange(len(texts) + 1))
                 blobs = [bucket[a:b].astype("<i4").tobytes() for a, b in zip(cuts[:-1], cuts[1:])]
-                yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(blobs, pa.binary())], ["grade", "x"])
+                yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(blobs, pa.binary())], ["id", "grade", "x"])
 
-    picked = docs.select(id_col, F.col(text_col).alias("_text")).join(F.broadcast(wanted), id_col)  # at most most_rows ids
-    got = picked.select("_grade", "_text").mapInArrow(lean(hashed), "grade int, x binary").collect()
+    picked = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(wanted), "id")  # at most most_rows ids
+    id_type = docs.schema[id_col].dataType.simpleString()
+    found = picked.select("id", "grade", "text").mapInArrow(lean(hashed), f"id {id_type}, grade int, x binary")
+    found = written(found.groupBy("id", "grade").agg(F.min("x").alias("x")).withColumn("place", F.xxhash64("id")), "features")
+    sizes = found.select("place", (F.octet_length("x") / 4).cast("long").alias("n")).orderBy("place").collect()
+    total = np.cumsum([r["n"] for r in sizes])
+    until = int(np.searchsorted(total, most_features, "right"))
+    if until < len(sizes):
+        found = found.where(F.col("place") < sizes[until]["place"])
     order = np.random.default_rng(seed)
-    got = sorted((r["grade"], r["x"]) for r in got)
+    got = sorted((r["grade"], r["x"]) for r in found.select("grade", "x").collect())
     y = np.array([g for g, _ in got], int)
     xs = [np.frombuffer(x, "<i4") for _, x in got]
     weights = np.zeros(buckets)
     if len(set(y.tolist())) < 2:
         top = int(y.max()) if len(y) else 1
         return OrdinalModel(weights, np.arange(max(top, 1), dtype=float) - 100.0)
-    if least_df is None:
-        least_df = min(MOST_DF, max(LEAST_DF, int(DF_SHARE * len(y))))
     df = np.bincount(np.concatenate(xs), minlength=buckets)
-    xs = [x[df[x] >= least_df] for x in xs]
+    value = df / (df + shrink)
     n_cuts = int(y.max())
     share = np.clip([(y > k).mean() for k in range(n_cuts)], 1e-4, 1 - 1e-4)
-    cuts = -np.log(share / (1 - share))
-    cuts = np.maximum.accumulate(cuts + np.arange(n_cuts) * 1e-3)
+    levels = GAP * np.arange(n_cuts)
+    cuts = np.maximum.accumulate(-np.log(share / (1 - share)) - levels) + levels
     g2, c2 = np.ones(buckets), np.ones(n_cuts)
     mean, mean_cuts, steps = np.zeros(buckets), np.zeros(n_cuts), 0
-    levels = np.arange(n_cuts)
     for epoch in range(epochs):
         todo = order.permutation(len(y))
         for i in range(0, len(todo), 32):
@@ -96,20 +116,18 @@ def fit(docs: DataFrame, grades: DataFrame, id_col: str = "doc_id", text_col: st
             size = np.array([len(xs[j]) for j in part])
             at = np.concatenate([xs[j] for j in part])
             owner = np.repeat(np.arange(len(part)), size)
-            z = np.bincount(owner, weights[at], len(part))
-            upper = 1 / (1 + np.exp(np.clip(cuts[None, :] - z[:, None], -50, 50)))
-            # the cumulative link as a sum of binary splits "above cut k", all with the same weights
-            err = upper - (y[part][:, None] > levels[None, :])
-            g = np.bincount(at, err.sum(1)[owner], buckets)
+            z = np.bincount(owner, weights[at] * value[at], len(part))
+            _, by_score, by_cut = likelihood(z, cuts, y[part])
+            g = np.bincount(at, -by_score[owner] * value[at], buckets)
             some = np.flatnonzero(g)
             g2[some] += g[some] ** 2
             weights[some] -= 0.1 * (g[some] + 0.2 * weights[some]) / np.sqrt(g2[some])
-            gc = -err.sum(0)
+            gc = -by_cut.sum(0)
             c2 += gc**2
-            cuts = np.maximum.accumulate(cuts - 0.1 * gc / np.sqrt(c2))
+            cuts = np.maximum.accumulate(cuts - 0.1 * gc / np.sqrt(c2) - levels) + levels
             if 2 * epoch >= epochs:  # the mean of the later steps is steadier than the last
                 mean, mean_cuts, steps = mean + weights, mean_cuts + cuts, steps + 1
-    return OrdinalModel(mean / steps, mean_cuts / steps)
+    return OrdinalModel(mean / steps * value, mean_cuts / steps)
 
 
 def score(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -1,7 +1,7 @@
 import numpy as np
 
 from lamina.llm import queries
-from lamina.llm.ordinal import OrdinalModel, fit, score
+from lamina.llm.ordinal import OrdinalModel, fit, likelihood, score
 
 
 def labelled(spark, folder):
@@ -43,7 +43,7 @@ def test_tails_fall_with_the_cut():
 def test_odd_rows(spark):
     docs = spark.createDataFrame([(1, "good words here", 5), (2, None, 5), (3, "", 5), (3, "", 5), (None, "bad thing", 5), (5, "bad thing " * 9000, 5)], "doc_id long, text string, grade int")
     grades = spark.createDataFrame([(1, 2), (5, 0), (5, 1), (None, 1), (2, None), (9, 1)], "doc_id long, grade int")
-    out = score(docs, fit(docs, grades, least_df=1)).collect()
+    out = score(docs, fit(docs, grades)).collect()
     assert len(out) == 6 and {r.doc_id for r in out} == {1, 2, 3, 5, None}
     by = {r.doc_id: r.expected_grade for r in out}
     assert by[1] > by[5]
@@ -51,3 +51,29 @@ def test_odd_rows(spark):
         model = fit(docs, empty)
         assert not model.weights.any() and score(docs, model).where("p_pass > 0.99").count() == 6
     assert score(docs.limit(0), fit(docs, grades)).count() == 0
+
+
+def test_cumulative_link_likelihood():
+    """Probabilities of the grades sum to one, and the slopes are those of small steps."""
+    rng = np.random.default_rng(2)
+    cuts, z = np.array([-1.3, 0.2, 1.1]), rng.normal(size=40) * 2
+    total = sum(np.exp(likelihood(z, cuts, np.full(40, k))[0]) for k in range(4))
+    assert np.allclose(total, 1)
+    y, step = rng.integers(0, 4, 40), 1e-6
+    _, by_score, by_cut = likelihood(z, cuts, y)
+    assert np.allclose(by_score, (likelihood(z + step, cuts, y)[0] - likelihood(z - step, cuts, y)[0]) / 2 / step, atol=1e-6)
+    for k in range(3):
+        move = step * (np.arange(3) == k)
+        assert np.allclose(by_cut[:, k], (likelihood(z, cuts + move, y)[0] - likelihood(z, cuts - move, y)[0]) / 2 / step, atol=1e-6)
+
+
+def test_bounds_and_repeats(spark):
+    docs = spark.createDataFrame([(i % 40, f"{'good fine' if i % 2 else 'bad awful'} w{i}") for i in range(40)] * 3, "doc_id long, text string")
+    grades = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, grade int")
+    model = fit(docs, grades)
+    assert np.allclose(fit(docs.dropDuplicates(), grades).weights, model.weights)
+    assert (np.diff(fit(docs, grades.selectExpr("doc_id", "grade * 3 as grade")).thresholds) > 0).all()
+    got = {r.doc_id: r.p_top for r in score(docs, model).collect()}
+    assert min(got[i] for i in got if i % 2) > max(got[i] for i in got if not i % 2)
+    few = fit(docs, grades, most_features=20)
+    assert 0 < np.count_nonzero(few.weights) <= 20
