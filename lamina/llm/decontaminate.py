@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lamina.llm.common import lean, text_slices
+from lamina.llm.common import lean, text_slices, written
 
 WORD = re.compile(r"\w+")
 #: Edits allowed for each character of an item.
@@ -143,7 +143,9 @@ class _Finder:
         for end, (size, where) in self.automaton.iter(text):
             for n, offset, leaf in where:
                 begin = end + 1 - size - offset
-                if begin not in seen.get(n, ()) and self._grows(n, leaf, begin, text):
+                if begin in seen.get(n, ()):
+                    continue
+                if self._grows(n, leaf, begin, text) if self.block[n][2] else _whole_words(text, begin, end + 1):
                     seen.setdefault(n, set()).add(begin)
         for n, begins in seen.items():
             name, item, k = self.block[n]
@@ -159,7 +161,6 @@ class _Finder:
                 distance, stop = best
                 yield name, distance, stop - _reach(item[::-1], back, text[max(0, stop - len(item) - k) : stop][::-1], distance), stop
 
-
     def _grows(self, n: int, leaf: int, begin: int, text: str) -> bool:
         """Whether each range of pieces around a found one also occurs there, with fewer edits than it has pieces.
 
@@ -183,17 +184,25 @@ class _Finder:
         return True
 
 
-def _item_blocks(items: DataFrame, item_id: str, item_text: str, error_rate: float) -> Iterator[list[tuple[int, str, int]]]:
-    block, size = [], 0
+def _whole_words(text: str, start: int, stop: int) -> bool:
+    return (start == 0 or text[start - 1] == " ") and (stop == len(text) or text[stop] == " ")
+
+
+def _item_blocks(items: DataFrame, item_id: str, item_text: str, error_rate: float) -> Iterator[tuple[list[tuple[int, str, int]], bool]]:
+    """Blocks of items and whether each is the last; the driver holds two blocks at most."""
+    block, size, ready = [], 0, None
     for name, text in items.select(item_id, item_text).where(F.col(item_id).isNotNull()).toLocalIterator():
         if own := normal(text):
+            if size >= BLOCK_CHARS:
+                if ready:
+                    yield ready, False
+                ready, block, size = block, [], 0
             block.append((name, own, budget(len(own), error_rate)))
             size += len(own)
-        if size >= BLOCK_CHARS:
-            yield block
-            block, size = [], 0
+    if ready:
+        yield ready, False
     if block:
-        yield block
+        yield block, True
 
 
 def find_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", error_rate: float = ERROR_RATE) -> DataFrame:
@@ -202,9 +211,11 @@ def find_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
     Returns one row for each document row and item found: (id_col, item_id, distance int, start int, stop int), with
     the closest occurrence (ties: the first) as code points of the normalised text (words in lower case, single
     spaces). Null and empty texts or items, and items with a null id, match nothing; an item repeated under another id is reported under each;
-    repeated document rows each get their rows. Only the named columns are read. Items pass over the documents in
-    blocks of BLOCK_CHARS characters, so neither a worker's automaton nor the driver's share follows their number;
-    documents are never shuffled.
+    repeated document rows each get their rows. An item too short for an edit is found as whole words only. Only the named columns are read.
+
+    Documents are never shuffled. Items pass through the driver in blocks of BLOCK_CHARS characters, each of which is sent with the tasks
+    of one pass over the documents; with more than one block each pass is written before the next begins. So memory of
+    driver and workers holds a block or two, while the number of passes is that of the blocks: benchmarks are small beside the corpus.
     """
     id_type, item_type = docs.schema[id_col].dataType.simpleString(), items.schema[item_id].dataType.simpleString()
     schema = f"`{id_col}` {id_type}, `{item_id}` {item_type}, distance int, start int, stop int"
@@ -225,7 +236,10 @@ def find_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
 
     item_arrow = to_arrow_type(items.schema[item_id].dataType)
     rows = docs.select(id_col, text_col)
-    parts = [rows.mapInArrow(lean(matcher(block)), schema) for block in _item_blocks(items, item_id, item_text, error_rate)]
+    parts = []
+    for block, last in _item_blocks(items, item_id, item_text, error_rate):
+        part = rows.mapInArrow(lean(matcher(block)), schema)
+        parts.append(part if last else written(part, "items"))
     return reduce(DataFrame.unionByName, parts) if parts else docs.sparkSession.createDataFrame([], schema)
 
 
@@ -262,7 +276,11 @@ def _reach(pattern: str, masks: dict[str, int], text: str, distance: int) -> int
 
 
 def without_items(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", error_rate: float = ERROR_RATE) -> DataFrame:
-    """The rows of docs, with all columns, in whose text find_items() would find nothing; nothing is shuffled."""
+    """The rows of docs, with all columns, in whose text find_items() would find nothing; nothing is shuffled.
+
+    Null and empty texts hold nothing and stay, as do repeated rows and rows with a null id; columns may have any name. Blocks of
+    items pass as in find_items(): what a pass keeps is written before the next one.
+    """
     at, columns, schema = docs.columns.index(text_col), docs.columns, docs.schema
 
     def matcher(block: list[tuple[int, str, int]]):
@@ -274,6 +292,7 @@ def without_items(docs: DataFrame, items: DataFrame, text_col: str = "text", ite
 
         return run
 
-    for block in _item_blocks(items, item_id, item_text, error_rate):
+    for block, last in _item_blocks(items, item_id, item_text, error_rate):
         docs = docs.mapInArrow(lean(matcher(block)), schema)
+        docs = docs if last else written(docs, "decontaminated")
     return docs

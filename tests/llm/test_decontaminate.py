@@ -46,7 +46,7 @@ def test_matches_brute_force(spark):
     for i, t in docs:
         for n, x in items:
             p, text = d.normal(x), d.normal(t)
-            if p and n is not None and (best := distance_in(p, text)) <= d.budget(len(p)):
+            if p and n is not None and (best := distance_in(p, text)) <= d.budget(len(p)) and (d.budget(len(p)) or f" {p} " in f" {text} "):
                 want.append((i, n, best))
     assert sorted((r[0], r[1], r.distance) for r in got) == sorted(want)
     names, texts = dict((n, d.normal(x)) for n, x in items), dict(docs)
@@ -82,3 +82,23 @@ def test_whole_edit_share(spark):
     want = {i: best for i, (x, t) in own.items() if (best := distance_in(x, t)) <= int(0.10 * len(x))}
     assert got == want
     assert sum(got[n] == int(0.10 * len(x)) for n, x in items if n in got) > 15
+
+
+def test_blocks_of_items_and_short_items(spark, monkeypatch):
+    """Many blocks find what one block finds; an item without edits needs whole words; odd rows and columns stay."""
+    rng = random.Random(33)
+    word = lambda: "".join(rng.choices("abcdefghij", k=rng.randint(2, 9)))
+    items = [(i, " ".join(word() for _ in range(rng.choice([1, 8, 20])))) for i in range(30)] + [(30, "x"), (31, None), (None, "zzz")]
+    docs = [(i, " ".join(word() for _ in range(30)) + f" {edited(rng, items[i % 30][1], i % 3)} end") for i in range(90)]
+    docs += [(100, "axa xa ax"), (101, "a x b"), (102, None), (103, ""), (None, "X"), (104, "a x b"), (104, "a x b"), (105, "long " * 50_000 + "x.")]
+    docs = spark.createDataFrame([(i, t, i, "k") for i, t in docs], "doc_id long, text string, item_id long, distance string")
+    items = spark.createDataFrame(items, "item_id long, text string")
+    one = sorted(map(tuple, d.find_items(docs, items).collect()), key=str)
+    stay = sorted(map(tuple, d.without_items(docs, items).collect()), key=str)
+    monkeypatch.setattr(d, "BLOCK_CHARS", 200)
+    assert len(list(d._item_blocks(items, "item_id", "text", 0.1))) > 3
+    assert sorted(map(tuple, d.find_items(docs, items).collect()), key=str) == one
+    assert sorted(map(tuple, d.without_items(docs, items).collect()), key=str) == stay
+    by = {r[0] for r in one if r[1] == 30}
+    assert by == {101, 104, None, 105} and sum(r[0] == 104 and r[1] == 30 for r in one) == 2
+    assert {r[0] for r in stay} >= {100, 102, 103} and all(r[3] == "k" for r in stay)
