@@ -7,6 +7,7 @@ It is held as rows (file, block, payload), which is how a scan cuts it anyway; a
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -15,38 +16,64 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lamina.llm.common import lean, text_slices
+from lamina.llm.common import lean, text_slices, written
 
 #: Ids in one block.
 BLOCK_IDS = 1 << 18
+#: Bytes of a file that one task reads, and schemes that Arrow opens by itself.
+RANGE_BYTES, ARROW_STORES = 64 << 20, ("file", "hdfs", "s3", "gs")
 #: Blocks that one task of the prefix scan sums before the scan goes over the sums.
 RUN_BLOCKS = 1024
 
 
 def file_blocks(spark: SparkSession, path: str, width: int = 2, block_ids: int = BLOCK_IDS) -> DataFrame:
-    """Blocks (file string, block long, payload binary) of flat token files in any store Spark reads.
+    """Blocks (file string, block long, payload binary) of the flat token files in a folder.
 
-    Each file is one shard of at most 2 GB, Spark's limit for a binary row; a trailing part of an id is an error.
+    Tasks read byte ranges, each of a whole number of blocks, so a file may have any length and is never held whole; the driver sees names
+    and lengths only. A trailing part of an id is an error; files whose names begin with _ or . are left out, an empty folder gives no rows. Stores
+    that Arrow's own file systems cannot open are read through Spark, whose binary rows limit a file to 2 GB.
     """
+    step = block_ids * width
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    listed = folder.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(folder)
+    files = [(f.getPath().toString(), f.getLen()) for f in listed if f.isFile() and f.getPath().getName()[0] not in "_."]
+    for name, length in files:
+        if length % width:
+            raise ValueError(f"{name}: {length} bytes are no whole number of {width}-byte ids")
+
+    def cut(name: str, first: int, raw: pa.Buffer) -> Iterator[pa.RecordBatch]:
+        for b in range(-(-len(raw) // step)):
+            part = raw[b * step : (b + 1) * step].to_pybytes()
+            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([first + b], pa.int64()), pa.array([part], pa.binary())], ["file", "block", "payload"])
+
+    def ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        step = block_ids * width
+        for batch in batches:
+            for row in batch.to_pylist():
+                store, at = fs.FileSystem.from_uri(row["uri"])
+                with store.open_input_file(at) as f:
+                    f.seek(row["first"] * step)
+                    yield from cut(row["file"], row["first"], f.read_buffer(row["blocks"] * step))
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, blob in zip(batch.column(0), batch.column(1)):
-                raw = blob.as_buffer()
-                if len(raw) % width:
-                    raise ValueError(f"{name}: {len(raw)} bytes are no whole number of {width}-byte ids")
-                for b in range(0, -(-len(raw) // step)):
-                    part = raw[b * step : (b + 1) * step].to_pybytes()
-                    yield pa.RecordBatch.from_arrays([pa.array([name.as_py()]), pa.array([b], pa.int64()), pa.array([part], pa.binary())], ["file", "block", "payload"])
+                yield from cut(name.as_py(), 0, blob.as_buffer())
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(lean(cut), "file string, block long, payload binary")
+    schema = "file string, block long, payload binary"
+    if files and files[0][0].split(":")[0] not in ARROW_STORES:
+        return spark.read.format("binaryFile").load(path).where(~F.col("path").rlike(r"/[_.][^/]*$")).select("path", "content").mapInArrow(lean(whole), schema)
+    count = max(1, RANGE_BYTES // step)
+    parts = [(name, re.sub("^file:/+", "file:///", name), first, count) for name, length in files for first in range(0, -(-length // step), count)]
+    return spark.createDataFrame(parts, "file string, uri string, first long, blocks long").repartition(max(1, len(parts))).mapInArrow(lean(ranges), schema)
 
 
 def token_blocks(docs: DataFrame, ranks_path: str, pattern: str, separator: int, id_col: str = "doc_id", text_col: str = "text", block_ids: int = BLOCK_IDS) -> DataFrame:
-    """Tokenise every whole text (null: empty) into flat 16-bit files, one for each input partition: (file int, block long, payload binary, ends array of id).
+    """Tokenise every whole text (null: empty) into flat 16-bit files, one for each input partition: (file int, block long, payload binary, first long, names array of id).
 
-    ends names the documents whose separator lies in the block, in order; the scan itself never reads it.
+    Rows with a block hold the file itself, which knows nothing of documents. Rows without one (block and payload null) name the documents in their
+    order in the file, from number `first` on: what a file's writer knew, kept beside it and never read by the scan.
     """
     raw = Path(ranks_path).read_bytes()
     id_type = docs.schema[id_col].dataType
@@ -59,36 +86,35 @@ def token_blocks(docs: DataFrame, ranks_path: str, pattern: str, separator: int,
         if max([separator, *ranks.values()]) > 0xFFFF:
             raise ValueError("ids do not fit 16 bits")
         codec = tiktoken.Encoding("flat", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        file, block = TaskContext.get().partitionId(), 0
-        held, names, size = [], [], 0
+        file, block, held, size, first = TaskContext.get().partitionId(), 0, [], 0, 0
+        head = ["file", "block", "payload", "first", "names"]
 
-        def out(part: np.ndarray, own: list) -> pa.RecordBatch:
+        def put(part: np.ndarray) -> pa.RecordBatch:
             nonlocal block
             block += 1
-            return pa.RecordBatch.from_arrays([pa.array([file], pa.int32()), pa.array([block - 1], pa.int64()), pa.array([part.tobytes()], pa.binary()), pa.array([own], pa.list_(batch_type))], ["file", "block", "payload", "ends"])
+            return pa.RecordBatch.from_arrays([pa.array([file], pa.int32()), pa.array([block - 1], pa.int64()), pa.array([part.tobytes()], pa.binary()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.list_(name_type))], head)
 
-        batch_type = None
+        name_type = None
         for batch in batches:
-            batch_type = batch.column(0).type
+            name_type = batch.column(0).type
             for rows, texts in text_slices(batch, 1):
-                for name, text in zip(rows.column(0).to_pylist(), texts.to_pylist()):
+                names = pa.ListArray.from_arrays(pa.array([0, rows.num_rows], pa.int32()), rows.column(0))
+                yield pa.RecordBatch.from_arrays([pa.array([file], pa.int32()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([first], pa.int64()), names], head)
+                first += rows.num_rows
+                for text in texts.to_pylist():
                     ids = np.array([*codec.encode_ordinary(text), separator], "<u2")
                     held.append(ids)
                     size += len(ids)
-                    names.append((name, size))  # where it ends, counted from the start of what is held
                     if size >= block_ids:
-                        flat, cut = np.concatenate(held), 0
-                        while size - cut >= block_ids:
-                            own = [n for n, e in names if e <= cut + block_ids]
-                            names = names[len(own) :]
-                            yield out(flat[cut : cut + block_ids], own)
-                            cut += block_ids
-                        held, size = [flat[cut:]], size - cut
-                        names = [(n, e - cut) for n, e in names]
+                        flat = np.concatenate(held)
+                        until = size - size % block_ids
+                        for cut in range(0, until, block_ids):
+                            yield put(flat[cut : cut + block_ids])
+                        held, size = [flat[until:]], size - until
         if size:
-            yield out(np.concatenate(held), [n for n, _ in names])
+            yield put(np.concatenate(held))
 
-    return docs.select(id_col, text_col).mapInArrow(lean(run), f"file int, block long, payload binary, ends array<{id_type.simpleString()}>")
+    return docs.select(id_col, text_col).mapInArrow(lean(run), f"file int, block long, payload binary, first long, names array<{id_type.simpleString()}>")
 
 
 def scan(blocks: DataFrame, separator: int, width: int = 2, run_blocks: int = RUN_BLOCKS) -> DataFrame:
@@ -113,7 +139,8 @@ def scan(blocks: DataFrame, separator: int, width: int = 2, run_blocks: int = RU
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(head, pa.int64()), pa.array(tail, pa.int64()), pa.array(inner, pa.list_(pa.int64()))], ["file", "block", "n", "head", "tail", "inner"])
 
     file_type = blocks.schema["file"].dataType.simpleString()
-    found = blocks.select("file", "block", "payload").mapInArrow(lean(search), f"file {file_type}, block long, n long, head long, tail long, inner array<long>").withColumn("run", F.floor(F.col("block") / run_blocks))
+    found = blocks.select("file", "block", "payload").mapInArrow(lean(search), f"file {file_type}, block long, n long, head long, tail long, inner array<long>")
+    found = written(found, "summaries").withColumn("run", F.floor(F.col("block") / run_blocks))  # the levels of the scan read these, not the tokens
     # Level 2: what lies open before each run of blocks, from the runs' own sums.
     last = F.max_by(F.struct("tail", "block"), F.when(F.col("n") > 0, F.col("block")))
     runs = found.groupBy("file", "run").agg(F.sum("n").alias("rn"), F.sum("tail").alias("all_tail"), last.alias("last"), F.collect_list(F.struct("block", "n", "tail")).alias("sums"))
@@ -142,11 +169,12 @@ def scan(blocks: DataFrame, separator: int, width: int = 2, run_blocks: int = RU
     return ended.unionByName(rest)
 
 
-def named_counts(blocks: DataFrame, separator: int, id_col: str = "doc_id") -> DataFrame:
-    """scan() of token_blocks() output with each document's id put back: (id_col, n_tokens)."""
-    counts = scan(blocks, separator)
-    firsts = blocks.select("file", "block", F.size("ends").alias("n"), "ends")
-    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    at = firsts.select("file", "block", "n").withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0))).select("file", "block", "base")
-    names = firsts.join(at, ["file", "block"]).select("file", "base", F.posexplode("ends").alias("k", id_col)).select("file", (F.col("base") + F.col("k")).alias("ordinal"), id_col)
+def named_counts(tokens: DataFrame, separator: int, id_col: str = "doc_id") -> DataFrame:
+    """scan() of written token_blocks() output with each document's id put back by file and number: (id_col, n_tokens).
+
+    Every document has its row: null and empty texts count 0, repeated ids and null ids are kept, an empty table gives no rows.
+    """
+    counts = scan(tokens.where("block is not null"), separator)
+    names = tokens.where("block is null").select("file", "first", F.posexplode("names").alias("k", "name"))
+    names = names.select("file", (F.col("first") + F.col("k")).alias("ordinal"), F.col("name").alias(id_col))
     return names.join(counts, ["file", "ordinal"]).select(id_col, "n_tokens")

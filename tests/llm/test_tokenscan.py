@@ -43,13 +43,18 @@ def test_null_payload_and_empty(spark):
     assert scan(blocks.limit(0), SEP).count() == 0
 
 
-@pytest.mark.parametrize("width", [2, 4])
-def test_files(spark, tmp_path, width):
+@pytest.mark.parametrize("width,arrow", [(2, True), (4, True), (2, False)])
+def test_files(spark, tmp_path, width, arrow, monkeypatch):
+    monkeypatch.setattr(tokenscan, "RANGE_BYTES", 12)
+    if not arrow:
+        monkeypatch.setattr(tokenscan, "ARROW_STORES", ())
     files = {"a.bin": [8, 9, SEP, SEP, 10], "b.bin": list(range(8, 40)) + [SEP], "c.bin": []}
     for name, ids in files.items():
         (tmp_path / name).write_bytes(np.array(ids, f"<u{width}").tobytes())
     got = scan(file_blocks(spark, str(tmp_path), width, block_ids=3), SEP, width).collect()
     assert sorted((r.file.rsplit("/", 1)[1], r.ordinal, r.n_tokens, r.terminated) for r in got) == plain(files)
+    assert scan(file_blocks(spark, str(tmp_path), width, block_ids=3), SEP, width).count() == len(plain(files))
+    (tmp_path / "_SUCCESS").write_bytes(b"x")
     (tmp_path / "d.bin").write_bytes(b"x")
     with pytest.raises(Exception, match="no whole number"):
         file_blocks(spark, str(tmp_path), width).collect()
@@ -70,10 +75,11 @@ def test_documents_round_trip(spark, sf_dir):
 
 
 @pytest.mark.parametrize("block", [1, 5, 1 << 18])
-def test_odd_documents(spark, block):
+def test_odd_documents(spark, block, monkeypatch):
     rows = [(1, None), (2, ""), (3, "one two three"), (3, "one two three"), (None, "<|endoftext|> is text"), (4, "x" * 20_000)]
     docs = spark.createDataFrame([(i, t, 0) for i, t in rows], "doc_id long, text string, file int").repartition(2)
     enc = codec()
+    monkeypatch.setattr(tokenscan, "RUN_BLOCKS", 2)
     blocks = token_blocks(docs, public_tokenizers.path(queries.BYTE_RANKS), public_tokenizers.PATTERN, queries.BYTE_SEPARATOR, block_ids=block)
     got = named_counts(blocks, queries.BYTE_SEPARATOR).collect()
     assert sorted(map(tuple, got), key=str) == sorted(((i, len(enc.encode_ordinary(t or ""))) for i, t in rows), key=str)
