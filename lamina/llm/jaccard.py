@@ -1,7 +1,8 @@
 """N-gram Jaccard join by vertical partitioning of the global n-gram order.
 
-The order puts n-grams from rare to frequent (by a count sketch over all rows) and then by hash. It is used twice:
-a document's first n-grams in it are enough to meet every partner, and its fragments are counted apart and summed.
+The order puts n-grams from rare to frequent and then by hash: frequent ones are known by name with their level, all others are rare.
+It is used twice: a document's first n-grams in it are enough to meet every partner, and the order is cut into fragments whose
+overlaps are counted apart and summed for each pair.
 """
 
 from __future__ import annotations
@@ -18,16 +19,18 @@ from lamina.llm.common import discard, lean, mix64, text_slices, word_hashes, wr
 from lamina.llm.graph import components
 
 WIDTH, PERCENT = 4, 85
-#: Cells of the count sketch (a fixed 4 MB of levels) and rows it travels in.
-CELLS, PARTS = 1 << 22, 64
-#: Fragments of the order; members up to which a prefix n-gram gives pairs; members that one task compares with as many others beyond.
-FRAGMENTS, SMALL, BLOCK = 4, 32, 512
-#: Documents in a cluster of pairs up to which it is verified in place, and in a task that verifies clusters.
-LOCAL, TOGETHER = 8192, 256
+#: Frequent n-grams that the order knows by name (a fixed 2 MB); n-grams of its rows that a task counts at once to find them, and how often one must occur there.
+HEAVY, COUNTED, OFTEN = 1 << 18, 1 << 22, 8
+#: Fragments of the order; holders up to which a prefix n-gram gives pairs.
+FRAGMENTS, SMALL = 4, 32
+#: Documents, and n-grams of documents, that one task compares with as many others where more hold a prefix n-gram.
+BLOCK, BLOCK_GRAMS = 512, 2_000_000
+#: N-grams of a cluster of pairs up to which it is verified in one place, and of the clusters that one place takes.
+LOCAL_GRAMS, PLACE_GRAMS = 4_000_000, 200_000
 #: Wanted ids (a few bytes each) that are broadcast; more are joined by a shuffle of the texts that pass the bit filter.
 BROADCAST_IDS = 200_000
-#: Bits of the filter that keeps most unwanted texts out of a shuffle (a fixed 4 MB).
-FILTER_BITS = 1 << 25
+#: Bits of the filter that keeps most unwanted texts out of a shuffle (a fixed 4 MB), and rows it travels in.
+FILTER_BITS, PARTS = 1 << 25, 64
 
 
 def shingles(texts: pa.Array, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
@@ -90,30 +93,62 @@ def _merged(rows: DataFrame, tally, size: int, kind: str, finish) -> np.ndarray:
     return out.ravel()
 
 
-def frequency_levels(docs: DataFrame, text_col: str, width: int) -> np.ndarray:
-    """Level (bit length of the count) of every sketch cell over all rows."""
+class Order:
+    """The global order of n-grams: by level (0 for all but the frequent ones), then by hash; and its fragments."""
 
-    def tally(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
-        total = np.zeros(CELLS, np.uint32)
+    def __init__(self, frequent: np.ndarray, levels: np.ndarray):
+        by = np.argsort(frequent)
+        self.frequent, self.levels = frequent[by], levels[by].astype(np.uint8)
+
+    def level(self, grams: np.ndarray) -> np.ndarray:
+        if not len(self.frequent):
+            return np.zeros(len(grams), np.uint8)
+        at = np.minimum(np.searchsorted(self.frequent, grams), len(self.frequent) - 1)
+        return np.where(self.frequent[at] == grams, self.levels[at], 0).astype(np.uint8)
+
+    def fragment(self, grams: np.ndarray, fragments: int) -> np.ndarray:
+        """Cut of the order that each n-gram lies in: equal stretches of the rare ones by hash, then all frequent ones."""
+        if fragments == 1:
+            return np.zeros(len(grams), np.int64)
+        rare = (grams >> np.uint64(32)).astype(np.int64) * (fragments - 1) >> 32
+        return np.where(self.level(grams) > 0, fragments - 1, rare)
+
+
+def frequent_grams(docs: DataFrame, text_col: str, width: int) -> Order:
+    """The order of all n-grams of docs: a task counts its own rows by runs of COUNTED n-grams and names those met OFTEN; at most HEAVY of the most frequent are kept.
+
+    Counts too low are no harm: any order is a right one, and a better one meets fewer wrong partners.
+    """
+
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
 
-        def flush() -> None:
-            if held:
-                np.add(total, np.bincount((np.concatenate(held) & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS).astype(np.uint32), out=total)
-                held.clear()
+        def flush() -> pa.RecordBatch:
+            grams, n = np.unique(np.concatenate(held), return_counts=True)
+            held.clear()
+            keep = n >= OFTEN
+            return pa.RecordBatch.from_arrays([pa.array(grams[keep].view(np.int64)), pa.array(n[keep].astype(np.int64))], ["gram", "n"])
 
         for batch in batches:
             for _, texts in text_slices(batch, 0):
                 h, _ = shingles(texts, width)
                 held.append(h)
                 size += len(h)
-                if size > CELLS:
-                    flush()
+                if size > COUNTED:
+                    yield flush()
                     size = 0
-        flush()
-        return np.minimum(total, 0xFFFF)
+        if held:
+            yield flush()
 
-    return _merged(docs.select(text_col), tally, CELLS, "<u2", lambda s: np.ceil(np.log2(s + 1)))
+    found = docs.select(text_col).mapInArrow(lean(tally), "gram long, n long").groupBy("gram").agg(F.floor(F.log2(F.sum("n"))).cast("int").alias("level"))
+    found = written(found, "frequent")
+    sizes = {r["level"]: r["k"] for r in found.groupBy("level").agg(F.count("*").alias("k")).collect()}
+    least, total = 64, 0
+    while least > 0 and total + sizes.get(least - 1, 0) <= HEAVY:
+        least -= 1
+        total += sizes.get(least, 0)
+    kept = found.where(F.col("level") >= least).toPandas()
+    return Order(kept["gram"].to_numpy(np.int64).view(np.uint64), kept["level"].to_numpy(np.int64))
 
 
 def _bit(ids: pa.Array) -> np.ndarray:
@@ -143,49 +178,42 @@ def _texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return some
 
 
-def _profiles(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int, levels: np.ndarray) -> DataFrame:
-    """(id, n, s1, s2: order-free hashes of the set, first: the n-grams in front that no partner can miss)."""
+def _profiles(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int, order: Order) -> DataFrame:
+    """(id, n, s1, s2: order-free hashes of the set, first: its first n-grams in the order, frequent: how many of these, at the end, are frequent ones)."""
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, texts in text_slices(batch, 1):
                 h, ends = shingles(texts, width)
-                n, s1, s2, first = [], [], [], []
+                n, s1, s2, first, often = [], [], [], [], []
                 for a, b in zip(ends[:-1], ends[1:]):
                     own = np.unique(h[a:b])
-                    level = levels[(own & np.uint64(CELLS - 1)).astype(np.int64)]
-                    front = len(own) + (-percent * len(own)) // 100 + 1 if len(own) else 0
                     n.append(len(own))
                     with np.errstate(over="ignore"):
                         s1.append(mix64(own).sum(dtype=np.uint64).astype(np.int64))
                         s2.append(mix64(own ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64).astype(np.int64))
-                    first.append(own[np.argsort(level, kind="stable")[:front]].astype(np.int64))
-                yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(n, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.array(first, pa.list_(pa.int64()))], ["id", "n", "s1", "s2", "first"])
+                    level = order.level(own)
+                    at = np.argsort(level, kind="stable")[: len(own) + (-percent * len(own)) // 100 + 1 if len(own) else 0]
+                    first.append(own[at].astype(np.int64))
+                    often.append(np.count_nonzero(level[at]))
+                yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(n, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.array(first, pa.list_(pa.int64())), pa.array(often, pa.int32())], ["id", "n", "s1", "s2", "first", "frequent"])
 
-    return docs.select(id_col, text_col).mapInArrow(lean(run), f"id {id_type}, n long, s1 long, s2 long, first array<long>")
-
-
-#: Bytes of an n-gram's hash that travel inside a fragment: two documents' sets are compared, not all documents'.
-GRAM_BYTES = 5
+    return docs.select(id_col, text_col).mapInArrow(lean(run), f"id {id_type}, n long, s1 long, s2 long, first array<long>, frequent int")
 
 
 def _packed(grams: np.ndarray) -> bytes:
-    """The low bytes of each hash: the leading bits already say the fragment."""
-    return np.ascontiguousarray(grams.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :GRAM_BYTES]).tobytes()
+    return grams.astype("<u8").tobytes()
 
 
 def _unpacked(blob: bytes) -> np.ndarray:
-    out = np.zeros((len(blob) // GRAM_BYTES, 8), np.uint8)
-    out[:, :GRAM_BYTES] = np.frombuffer(blob, np.uint8).reshape(-1, GRAM_BYTES)
-    return out.view("<u8").ravel()
+    return np.frombuffer(blob, "<u8")
 
 
-def _fragments(docs: DataFrame, width: int, fragments: int = FRAGMENTS) -> DataFrame:
-    """Sets of docs (id, text, more columns), cut by the leading bits of the hash: (more columns, id, fragment, grams binary)."""
+def _fragments(docs: DataFrame, width: int, order: Order, fragments: int = FRAGMENTS) -> DataFrame:
+    """Sets of docs (id, text, more columns), cut into the fragments of the order, each by hash: (more columns, id, fragment, grams binary)."""
     more = [c for c in docs.columns if c not in ("id", "text")]
     kinds = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in [*more, "id"])
-    bits = (fragments - 1).bit_length()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -194,12 +222,11 @@ def _fragments(docs: DataFrame, width: int, fragments: int = FRAGMENTS) -> DataF
                 at, number, grams = [], [], []
                 for i, (a, b) in enumerate(zip(ends[:-1], ends[1:])):
                     own = np.unique(h[a:b])
-                    lead = own >> np.uint64(64 - bits) if bits else np.zeros(len(own), np.uint64)
-                    cuts = np.searchsorted(lead, np.arange(fragments + 1))
+                    cut = order.fragment(own, fragments)
                     for f in range(fragments):
                         at.append(i)
                         number.append(f)
-                        grams.append(_packed(own[cuts[f] : cuts[f + 1]]))
+                        grams.append(_packed(own[cut == f]))
                 at = pa.array(at, pa.int64())
                 yield pa.RecordBatch.from_arrays([*(rows.column(k + 1).take(at) for k in range(len(more) + 1)), pa.array(number, pa.int32()), pa.array(grams, pa.binary())], [*more, "id", "fragment", "grams"])
 
@@ -211,7 +238,7 @@ def _partial_overlaps(grams: DataFrame, pairs: DataFrame) -> DataFrame:
     kind = pairs.schema["a"].dataType.simpleString()
 
     def run(sets: pa.Table, wanted: pa.Table) -> pa.Table:
-        own = {i: np.unique(_unpacked(g)) for i, g in zip(sets["id"].to_pylist(), sets["grams"].to_pylist())}
+        own = {i: _unpacked(g) for i, g in zip(sets["id"].to_pylist(), sets["grams"].to_pylist())}
         part = [len(np.intersect1d(own[a], own[b], assume_unique=True)) for a, b in zip(wanted["a"].to_pylist(), wanted["b"].to_pylist())]
         return pa.table([wanted[c] for c in ("a", "b", "na", "nb")] + [pa.array(part, pa.int64())], names=["a", "b", "na", "nb", "part"])
 
@@ -225,32 +252,33 @@ def _pair_overlaps(rows: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = zip(batch.column(4).to_pylist(), batch.column(5).to_pylist())
-            part = [len(np.intersect1d(_unpacked(x), _unpacked(y))) for x, y in sets]
+            part = [len(np.intersect1d(_unpacked(x), _unpacked(y), assume_unique=True)) for x, y in sets]
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(4)), pa.array(part, pa.int64())], ["a", "b", "na", "nb", "part"])
 
     return rows.mapInArrow(lean(run), f"a {kind}, b {kind}, na long, nb long, part long")
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
+def _verified(docs: DataFrame, pairs: DataFrame, width: int, percent: int, order: Order) -> DataFrame:
     """Pairs (a, b, na, nb) that link: partial overlaps of each fragment, counted apart and summed.
 
-    Pairs are dealt by the cluster they are in, so that a document's fragments travel once; pairs of a cluster of more than LOCAL
-    documents, which no task should hold, each fetch their two sets instead.
+    Pairs are dealt by the cluster they are in, so that a document's fragments travel once; pairs of a cluster of more than
+    LOCAL_GRAMS n-grams, which no task should hold, each fetch their two sets instead.
     """
-    label = components(pairs.select("a", "b"))
-    size = label.groupBy("label").agg(F.count("*").alias("size"))
-    tasks = max(1, -(-label.count() // TOGETHER))
-    label = label.join(size, "label").select(F.col("node").alias("id"), F.when(F.col("size") <= LOCAL, F.pmod(F.xxhash64("label"), F.lit(tasks))).alias("place"))
+    sizes = pairs.select(F.col("a").alias("node"), F.col("na").alias("n")).unionByName(pairs.select(F.col("b").alias("node"), F.col("nb").alias("n"))).groupBy("node").agg(F.max("n").alias("n"))
+    label = written(components(pairs.select("a", "b")).join(sizes, "node"), "labels")
+    weight = label.groupBy("label").agg(F.sum("n").alias("weight"))
+    places = max(1, -(-(label.agg(F.sum("n")).first()[0] or 0) // PLACE_GRAMS))
+    label = label.join(weight, "label").select(F.col("node").alias("id"), F.when(F.col("weight") <= LOCAL_GRAMS, F.pmod(F.xxhash64("label"), F.lit(places))).alias("place"))
     label = written(label, "places")
     placed = pairs.join(label.select(F.col("id").alias("a"), "place"), "a")
-    grams = _fragments(_texts_of(docs, label.where("place is not null")), width)
+    grams = _fragments(_texts_of(docs, label.where("place is not null")), width, order)
     key = lambda fragment: (F.col("place") * FRAGMENTS + fragment).alias("key")
     each = F.explode(F.array(*map(F.lit, range(FRAGMENTS)))).alias("f")
     near = placed.where("place is not null").select("*", each)
     parts = _partial_overlaps(grams.select(key(F.col("fragment")), "id", "grams"), near.select(key(F.col("f")), "a", "b", "na", "nb"))
     wide = label.where("place is null")
     if not wide.isEmpty():
-        grams = _fragments(_texts_of(docs, wide.select("id")), width)
+        grams = _fragments(_texts_of(docs, wide.select("id")), width, order)
         grams = written(grams.select("id", "fragment", "grams").dropDuplicates(["id", "fragment"]), "grams")
         left = placed.where("place is null").join(grams.select(F.col("id").alias("a"), "fragment", F.col("grams").alias("ga")), "a")
         both = left.join(grams.select(F.col("id").alias("b"), "fragment", F.col("grams").alias("gb")), ["b", "fragment"])
@@ -317,7 +345,7 @@ def _block_links(rows: DataFrame, percent: int) -> DataFrame:
         left, right = sides[0], sides[1] if len(sides[1]) else sides[0]
         if not len(left) or not len(right):
             return pd.DataFrame({"a": [], "b": []})
-        x, y = [[np.unique(_unpacked(g)) for g in s.grams] for s in (left, right)]
+        x, y = [[_unpacked(g) for g in s.grams] for s in (left, right)]
         n, m = np.array([len(g) for g in x]), np.array([len(g) for g in y])
         linked = overlaps(x, y) * (100 + percent) >= percent * (n[:, None] + m[None, :])
         linked &= left.label.to_numpy()[:, None] != right.label.to_numpy()[None, :]
@@ -329,21 +357,22 @@ def _block_links(rows: DataFrame, percent: int) -> DataFrame:
     return rows.groupBy("key").applyInPandas(run, f"a {id_type}, b {id_type}")
 
 
-def _wide_links(docs: DataFrame, wide: DataFrame, width: int, percent: int) -> DataFrame:
+def _wide_links(docs: DataFrame, wide: DataFrame, width: int, percent: int, order: Order) -> DataFrame:
     """Links among documents that share a prefix n-gram with many others: (a, b).
 
-    wide has (token, id). Those that share such n-grams form clusters; a cluster is dealt into blocks by hash and each block
-    compared within itself, which joins nearly all that link at all. What then stands outside a cluster's largest component
-    is compared, block by block, with the whole cluster: every pair of unlike labels has such a document on one side.
-    A cluster of one block is done after the first step.
+    wide has (token, id, n: size, leads: whether the n-gram leads the document to partners of its size or more, hub: the smallest holder that it leads). Documents
+    that share such n-grams form clusters; a cluster is dealt into blocks by hash and each block compared within itself, which joins nearly all
+    that link at all. A pair of unlike labels that is left has a document outside the cluster's largest component, and one that leads: so
+    those outside that lead meet the whole cluster, block by block, and the others outside meet those that lead. A cluster of one block is done after the first step.
     """
-    star = wide.join(wide.groupBy("token").agg(F.min("id").alias("hub")), "token").select(F.col("hub").alias("a"), F.col("id").alias("b"))
-    cluster = components(star).withColumnRenamed("node", "id").withColumnRenamed("label", "cluster")
-    sized = cluster.join(cluster.groupBy("cluster").agg(F.count("*").alias("size")), "cluster")
-    dealt = written(sized.select("id", "cluster", "size", F.pmod(F.xxhash64("id"), F.ceil(F.col("size") / BLOCK)).alias("block")), "dealt")
-    inner = _fragments(_texts_of(docs, dealt.select("id", F.concat_ws("/", "cluster", "block").alias("key"))), width, 1)
+    cluster = components(wide.select(F.col("hub").alias("a"), F.col("id").alias("b"))).withColumnRenamed("node", "id").withColumnRenamed("label", "cluster")
+    cluster = cluster.join(wide.groupBy("id").agg(F.max("n").alias("n"), F.max("leads").alias("leads")), "id")
+    blocks = F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_GRAMS))
+    sized = cluster.join(cluster.groupBy("cluster").agg(blocks.alias("blocks")), "cluster")
+    dealt = written(sized.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks"))), "dealt")
+    inner = _fragments(_texts_of(docs, dealt.select("id", F.concat_ws("/", "cluster", "block").alias("key"))), width, order, 1)
     links = written(_block_links(inner.select("key", F.lit(0).alias("side"), "id", F.col("id").alias("label"), "grams"), percent), "links")
-    large = dealt.where(F.col("size") > BLOCK)
+    large = dealt.where(F.col("blocks") > 1)
     if large.isEmpty():
         return links
     labels = components(links).withColumnRenamed("node", "id")
@@ -352,15 +381,39 @@ def _wide_links(docs: DataFrame, wide: DataFrame, width: int, percent: int) -> D
     main = sizes.groupBy("cluster").agg(F.max(F.struct("k", "label")).alias("m"), F.count("*").alias("labels")).where("labels > 1")
     open_ = large.join(main.select("cluster", F.col("m.label").alias("main")), "cluster")
     apart = open_.where("label <> main")
-    counts = apart.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).alias("sides"))
-    apart = apart.join(counts, "cluster").withColumn("mine", F.pmod(F.xxhash64("id", F.lit(1)), F.col("sides")))
-    pair = lambda x, y: F.concat_ws("/", "cluster", x, y).alias("key")
-    upto = lambda n: F.sequence(F.lit(0).cast("long"), n.cast("long") - 1)
-    first = apart.select(F.explode(upto(F.ceil(F.col("size") / BLOCK))).alias("other"), "*").select("id", "label", pair("mine", "other"), F.lit(0).alias("side"))
-    second = open_.join(counts, "cluster").select(F.explode(upto(F.col("sides"))).alias("mine"), "*").select("id", "label", pair("mine", "block"), F.lit(1).alias("side"))
+
+    def met(first: DataFrame, second: DataFrame, name: str) -> DataFrame:
+        """Rows of the groups that compare all of first with all of second, cluster by cluster and block by block."""
+        count = lambda rows, number: rows.groupBy("cluster").agg(blocks.alias(number))
+        both = count(first, "firsts").join(count(second, "seconds"), "cluster")
+        upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n).cast("long") - 1))
+        key = F.concat_ws("/", F.lit(name), "cluster", "one", "two").alias("key")
+        one = first.join(both, "cluster").withColumn("one", F.pmod(F.xxhash64("id", F.lit(1)), F.col("firsts"))).withColumn("two", upto("seconds"))
+        two = second.join(both, "cluster").withColumn("two", F.pmod(F.xxhash64("id"), F.col("seconds"))).withColumn("one", upto("firsts"))
+        return one.select("id", "label", key, F.lit(0).alias("side")).unionByName(two.select("id", "label", key, F.lit(1).alias("side")))
+
+    tasks = met(apart.where("leads"), open_, "a").unionByName(met(apart.where("not leads"), open_.where("leads"), "b"))
     # each document's set once, then to the tasks that compare it
-    sets = _fragments(_texts_of(docs, open_.select("id").distinct()), width, 1).select("id", "grams").dropDuplicates(["id"])
-    return links.unionByName(_block_links(first.unionByName(second).join(sets, "id").select("key", "side", "id", "label", "grams"), percent))
+    sets = _fragments(_texts_of(docs, open_.select("id").distinct()), width, order, 1).select("id", "grams").dropDuplicates(["id"])
+    return links.unionByName(_block_links(tasks.join(sets, "id").select("key", "side", "id", "label", "grams"), percent))
+
+
+def _holders(classes: DataFrame) -> DataFrame:
+    """(token, id, n, leads, holders, hub) for the prefix n-grams that two classes share and that lead at least one of them to partners of its size or more.
+
+    n-grams known as frequent are counted by aggregation, as one may stand in most classes (at most HEAVY of them, so their counts are broadcast);
+    of the others none stands in more than a few rows for each COUNTED n-grams of input, and a window counts them.
+    """
+    rows = classes.select(F.posexplode("first").alias("place", "token"), "n", F.col("rep").alias("id"), "lead", F.size("first").alias("size"), "frequent")
+    rows = rows.select("token", "n", "id", (F.col("place") < F.col("lead")).alias("leads"), (F.col("place") >= F.col("size") - F.col("frequent")).alias("often"))
+    counts = [F.count("*"), F.min(F.when(F.col("leads"), F.col("id")))]
+    rare = rows.where("not often").drop("often")
+    for name, count in zip(("holders", "hub"), counts):
+        rare = rare.withColumn(name, count.over(Window.partitionBy("token")))
+    often = rows.where("often").drop("often")
+    hubs = often.groupBy("token").agg(*(c.alias(name) for c, name in zip(counts, ("holders", "hub")))).where("holders > 1 and hub is not null")
+    found = rare.where("holders > 1 and hub is not null").unionByName(often.join(F.broadcast(hubs), "token").select(*rare.columns))
+    return found
 
 
 def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
@@ -370,34 +423,34 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     link when 100 * intersection >= percent * union; component_id is the smallest id reachable by links, the document's own
     included. Null texts and texts without words have no n-grams and link with nothing. Equal sets are one class from the start, so copies
     are never expanded; repeated rows are copies. Ids are integers; rows that share an id should share the text. Rows with a null id get the component of their class (null if nobody else is in it).
-    Words and n-grams are 64-bit hashes, of which two sets are compared by 40 (and the fragment). Only the named columns are read; an empty table gives an empty result.
+    Words and n-grams are compared as 64-bit hashes. Only the named columns are read; an empty table gives an empty result.
 
-    Every pair that links shares an n-gram among the first of each (prefix filter; no cap): up to SMALL holders give pairs,
-    counted by fragments of the order and summed; more holders are compared in blocks, which emit a spanning forest only.
+    Every pair that links shares an n-gram among the first of each, and among the fewer that lead the smaller one to partners of its size or more (prefix
+    filters; no cap): up to SMALL holders give pairs, counted by fragments of the order and summed; more holders are compared in blocks, which emit a
+    spanning forest only. Documents that merely share a passage do not meet: its n-grams are frequent and come last in their order.
     """
-    levels = frequency_levels(docs, text_col, width)
-    profiles = written(_profiles(docs, id_col, text_col, width, percent, levels), "profiles")
+    order = frequent_grams(docs, text_col, width)
+    profiles = written(_profiles(docs, id_col, text_col, width, percent, order), "profiles")
     keys = ["n", "s1", "s2"]
-    classes = profiles.where("n > 0").groupBy(*keys).agg(F.min("id").alias("rep"), F.first("first").alias("first"))
-    tokens = classes.where("rep is not null").select(F.explode("first").alias("token"), "n", F.col("rep").alias("id"))
-    held = tokens.withColumn("holders", F.count("*").over(Window.partitionBy("token"))).where("holders > 1")
-    held = written(held, "tokens")
-    small = held.where(F.col("holders") <= SMALL).groupBy("token").agg(F.array_sort(F.collect_list(F.struct("n", "id"))).alias("m")).select("m").distinct()
-    later = lambda x, i: F.transform(F.filter("m", lambda y, j: (j > i) & (x["n"] * 100 >= y["n"] * percent)), lambda y: F.struct(x["id"].alias("a"), x["n"].alias("na"), y["id"].alias("b"), y["n"].alias("nb")))
+    classes = profiles.where("n > 0").groupBy(*keys).agg(F.min("id").alias("rep"), F.first("first").alias("first"), F.first("frequent").alias("frequent"))
+    lead = F.expr(f"n - (2 * {percent} * n + {99 + percent}) div {100 + percent} + 1")
+    held = written(_holders(classes.where("rep is not null").withColumn("lead", lead)), "tokens")
+    small = held.where(F.col("holders") <= SMALL).groupBy("token").agg(F.array_sort(F.collect_list(F.struct("n", "id", "leads"))).alias("m")).select("m").distinct()
+    later = lambda x, i: F.transform(F.filter("m", lambda y, j: (j > i) & x["leads"] & (x["n"] * 100 >= y["n"] * percent)), lambda y: F.struct(x["id"].alias("a"), x["n"].alias("na"), y["id"].alias("b"), y["n"].alias("nb")))
     # m is by n: a partner further on is at least as large, and must not be too large
     pairs = small.select(F.explode(F.flatten(F.transform("m", later))).alias("p")).select("p.*").distinct()
     pairs = written(pairs, "pairs")
-    wide = written(held.where(F.col("holders") > SMALL).select("token", "id"), "wide")
+    wide = written(held.where(F.col("holders") > SMALL).select("token", "id", "n", "leads", "hub"), "wide")
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     links = None
     if not wide.isEmpty():
         # large groups first: pairs inside what they have joined need no look
-        links = written(_wide_links(texts, wide, width, percent), "links")
+        links = written(_wide_links(texts, wide, width, percent, order), "links")
         label = components(links)
         one, two = (label.select(F.col("node").alias(c), F.col("label").alias(f"l{c}")) for c in ("a", "b"))
         pairs = pairs.join(one, "a", "left").join(two, "b", "left")
         pairs = written(pairs.where(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "na", "b", "nb"), "pairs")
-    verified = _verified(texts, pairs, width, percent)
+    verified = _verified(texts, pairs, width, percent, order)
     links = verified if links is None else links.unionByName(verified)
     found = components(links).select(F.col("node").alias("rep"), "label")
     for table in (held, pairs, wide):

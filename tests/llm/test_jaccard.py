@@ -54,16 +54,72 @@ def run(spark, rows):
     return {r.doc_id: (r.n_shingles, r.component_id) for r in got}
 
 
-@pytest.mark.parametrize("small,block,local,ids", [(32, 512, 1024, 100), (3, 7, 1024, 0), (40, 512, 4, 0)])
-def test_against_brute_force(spark, monkeypatch, small, block, local, ids):
+@pytest.mark.parametrize("small,block,local,ids,often", [(32, 512, 10**6, 100, 8), (3, 7, 10**6, 0, 2), (40, 512, 100, 0, 3), (2, 5, 50, 100, 10**6)])
+def test_against_brute_force(spark, monkeypatch, small, block, local, ids, often):
     monkeypatch.setattr(jaccard, "SMALL", small)
-    monkeypatch.setattr(jaccard, "LOCAL", local)
+    monkeypatch.setattr(jaccard, "LOCAL_GRAMS", local)
     monkeypatch.setattr(jaccard, "BROADCAST_IDS", ids)
     monkeypatch.setattr(jaccard, "BLOCK", block)
+    monkeypatch.setattr(jaccard, "OFTEN", often)
     rows = rows_of(5, [1, 1, 2, 3, 5, 40, 8])
     assert run(spark, rows) == brute(rows)
 
 
+@pytest.mark.parametrize("percent,width", [(80, 5), (50, 2), (100, 4), (67, 3)])
+def test_other_thresholds(spark, monkeypatch, percent, width):
+    """Sizes that differ as much as the threshold allows, where the prefix filters are tight."""
+    monkeypatch.setattr(jaccard, "SMALL", 4)
+    rng = random.Random(percent)
+    texts = []
+    for _ in range(12):
+        base = [f"v{rng.randrange(60)}" for _ in range(rng.randint(6, 40))]
+        texts += [" ".join(base[: len(base) - k] + [f"t{rng.randrange(9)}" for _ in range(rng.randint(0, 2))]) for k in range(5)]
+    rows = list(enumerate(texts))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.link_components(docs, width=width, percent=percent).collect()}
+    assert got == brute(rows, width, percent)
+
+
+def test_documents_that_share_a_passage_do_not_meet(spark, monkeypatch):
+    """Thousands of unlinked documents around one passage: nothing is compared in blocks, and the one near copy is found."""
+    rng = random.Random(12)
+    passage = " ".join(f"p{i}" for i in range(60))
+    texts = [" ".join(f"u{rng.randrange(10**7)}" for _ in range(30)) + " " + passage for _ in range(3000)]
+    texts.append(texts[7] + " one")
+    met = []
+    monkeypatch.setattr(jaccard, "_block_links", lambda rows, percent: met.append(rows) or rows.select(rows["id"].alias("a"), rows["id"].alias("b")))
+    got = run(spark, list(enumerate(texts)))
+    assert not met and {i: c for i, (_, c) in got.items() if c != i} == {3000: 7}
+
+
+def test_fragments_cut_the_order():
+    import numpy as np
+
+    rng = np.random.default_rng(7)
+    grams = np.unique(rng.integers(0, 2**64, 5000, dtype=np.uint64))
+    order = jaccard.Order(grams[::50], np.full(len(grams[::50]), 5))
+    key = np.lexsort([grams, order.level(grams)])
+    cut = order.fragment(grams, 4)[key]
+    assert (np.diff(cut) >= 0).all() and set(cut) == {0, 1, 2, 3} and np.bincount(cut)[:3].min() > 1000
+
+
+@pytest.mark.parametrize("one_task", [0, 5, 100_000])
+def test_components(spark, monkeypatch, one_task):
+    from lamina.llm import graph
+
+    monkeypatch.setattr(graph, "ONE_TASK", one_task)
+    rng = random.Random(one_task)
+    edges = [(rng.randrange(60), rng.randrange(60)) for _ in range(35)] + [(100 + i, 101 + i) for i in range(30)] + [(None, 3), (4, None), (5, 5)]
+    label = {n: n for e in edges if None not in e and e[0] != e[1] for n in e}
+    for _ in range(200):
+        for a, b in edges:
+            if a in label and b in label:
+                label[a] = label[b] = min(label[a], label[b])
+    got = graph.components(spark.createDataFrame(edges, "a long, b long")).collect()
+    assert len(got) == len(label) and dict(map(tuple, got)) == label
+    assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
 def test_whole_table_against_brute_force(spark, sf_dir):
     rows = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()]
     assert run(spark, rows) == brute(rows)
