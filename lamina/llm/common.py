@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text that a Python worker turns into numpy arrays at once; one longer text stands alone.
 SLICE_BYTES = 1 << 20
@@ -215,3 +216,74 @@ def class_runs(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     keep = kind[starts] > 0
     starts, stops = starts[keep], stops[keep]
     return _LOWER[data], starts, stops, np.searchsorted(ends, starts, "right") - 1
+
+
+#: Bytes of text in a block, and the id that a document without one has in it.
+BLOCK_BYTES, NO_ID = 4 << 20, np.iinfo(np.int64).max
+
+
+def codec(level: int = 3):
+    import zstandard
+
+    return zstandard.ZstdCompressor(level=level), zstandard.ZstdDecompressor()
+
+
+def packed_blocks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Whole documents in blocks of about BLOCK_BYTES: (block, ids, ends, data compressed)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        squeeze, _ = codec(6)
+        number = TaskContext.get().partitionId() << 32
+        ids, parts, lengths, size = [], [], [], 0
+
+        def out() -> pa.RecordBatch:
+            nonlocal number, size
+            ends = np.concatenate([[0], np.cumsum(np.concatenate(lengths))]).astype(np.int64)
+            row = [pa.array([number], pa.int64()), pa.array([[i for x in ids for i in x]], pa.list_(pa.int64())), pa.array([ends], pa.list_(pa.int64())), pa.array([squeeze.compress(b"".join(parts))], pa.binary())]
+            ids.clear(), parts.clear(), lengths.clear()
+            number, size = number + 1, 0
+            return pa.RecordBatch.from_arrays(row, ["block", "ids", "ends", "data"])
+
+        for batch in batches:
+            for rows, texts in text_slices(batch, 1):
+                data, ends = byte_view(texts)
+                ids.append(rows.column(0).to_pylist())
+                parts.append(data.tobytes())
+                lengths.append(np.diff(ends))
+                size += len(data)
+                if size >= BLOCK_BYTES:
+                    yield out()
+        if ids:
+            yield out()
+
+    return docs.select(F.col(id_col).cast("long").alias("id"), text_col).mapInArrow(lean(run), "block long, ids array<long>, ends array<long>, data binary")
+
+
+def unpacked_block(row: dict, loose) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes of a block's texts end to end, their n + 1 offsets, and their ids (NO_ID for none)."""
+    data = np.frombuffer(loose.decompress(row["data"], max_output_size=max(1, row["ends"][-1])) if row["ends"][-1] else b"", np.uint8)
+    ids = np.array([NO_ID if i is None else i for i in row["ids"]], np.int64)
+    return data, np.array(row["ends"], np.int64), ids
+
+
+def by_part(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[dict]]]:
+    """Rows of one part after another, from rows sorted by part."""
+    part, held = None, []
+    for batch in batches:
+        for row in batch.to_pylist():
+            if held and row["part"] != part:
+                yield part, held
+                held = []
+            part = row["part"]
+            held.append(row)
+    if held:
+        yield part, held
+
+
+def salted(many: DataFrame, by: str, one: DataFrame, salts: int = 16) -> DataFrame:
+    """many joined with one (a row or a few for each key `by`), each key's rows dealt to so many parts: one key may hold a third of all rows."""
+    spread = one.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    dealt = many.withColumn("salt", F.pmod(F.xxhash64(*(c for c in many.columns if c != by)), F.lit(salts)).cast("int"))
+    return dealt.join(spread, [by, "salt"]).drop("salt")

@@ -1,8 +1,7 @@
 """N-gram Jaccard join by vertical partitioning of the global n-gram order.
 
-The order puts n-grams from rare to frequent and then by hash: frequent ones are known by name with their level, all others are rare.
-It is used twice: a document's first n-grams in it are enough to meet every partner, and the order is cut into fragments whose
-overlaps are counted apart and summed for each pair.
+Two orders of all n-grams are used. By how often they occur, counted exactly over all rows, and then by hash: a document's first n-grams in this
+order are enough to meet every partner. By hash alone: this one is cut into fragments, whose overlaps are counted apart and summed for each pair.
 """
 
 from __future__ import annotations
@@ -15,12 +14,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lamina.llm.common import discard, lean, mix64, text_slices, word_hashes, written
+from lamina.llm.common import by_part, codec, discard, lean, mix64, packed_blocks, salted, text_slices, unpacked_block, word_hashes, written
 from lamina.llm.graph import components
 
 WIDTH, PERCENT = 4, 85
-#: Frequent n-grams that the order knows by name (a fixed 2 MB); n-grams of its rows that a task counts at once to find them, and how often one must occur there.
-HEAVY, COUNTED, OFTEN = 1 << 18, 1 << 22, 8
+#: Bytes of text behind one range of n-gram hashes, and the level (logarithm of the occurrences) from which an n-gram is hot.
+RANGE_BYTES, HOT_LEVEL = 16 << 20, 12
 #: Fragments of the order; holders up to which a prefix n-gram gives pairs.
 FRAGMENTS, SMALL = 4, 32
 #: Documents, and n-grams of documents, that one task compares with as many others where more hold a prefix n-gram.
@@ -93,62 +92,55 @@ def _merged(rows: DataFrame, tally, size: int, kind: str, finish) -> np.ndarray:
     return out.ravel()
 
 
-class Order:
-    """The global order of n-grams: by level (0 for all but the frequent ones), then by hash; and its fragments."""
+def _keys(grams: np.ndarray, ranges: int) -> np.ndarray:
+    """Range (in front) and the 32 bits of each n-gram's hash by which its occurrences are counted; two n-grams that share them count together."""
+    return ((grams >> np.uint64(33)) % np.uint64(ranges)) << np.uint64(32) | (grams & np.uint64(0xFFFFFFFF))
 
-    def __init__(self, frequent: np.ndarray, levels: np.ndarray):
-        by = np.argsort(frequent)
-        self.frequent, self.levels = frequent[by], levels[by].astype(np.uint8)
 
-    def level(self, grams: np.ndarray) -> np.ndarray:
-        if not len(self.frequent):
-            return np.zeros(len(grams), np.uint8)
-        at = np.minimum(np.searchsorted(self.frequent, grams), len(self.frequent) - 1)
-        return np.where(self.frequent[at] == grams, self.levels[at], 0).astype(np.uint8)
+def _block_grams(row: dict, loose, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """N-grams of a block's texts in order, the offsets of the texts in them, and the ids."""
+    data, ends, ids = unpacked_block(row, loose)
+    texts = pa.LargeStringArray.from_buffers(len(ids), pa.py_buffer(ends), pa.py_buffer(data))
+    return *shingles(texts, width), ids
 
-    def fragment(self, grams: np.ndarray, fragments: int) -> np.ndarray:
-        """Cut of the order that each n-gram lies in: equal stretches of the rare ones by hash, then all frequent ones."""
-        if fragments == 1:
-            return np.zeros(len(grams), np.int64)
-        rare = (grams >> np.uint64(32)).astype(np.int64) * (fragments - 1) >> 32
-        return np.where(self.level(grams) > 0, fragments - 1, rare)
 
+def _offers(blocks: DataFrame, width: int, ranges: int) -> DataFrame:
+    """Each block's distinct n-grams by hash range, with how often they occur in it: (part, block, grams, counts)."""
 
-def frequent_grams(docs: DataFrame, text_col: str, width: int) -> Order:
-    """The order of all n-grams of docs: a task counts its own rows by runs of COUNTED n-grams and names those met OFTEN; at most HEAVY of the most frequent are kept.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        squeeze, loose = codec()
+        for batch in batches:
+            for row in batch.to_pylist():
+                keys, n = np.unique(_keys(_block_grams(row, loose, width)[0], ranges), return_counts=True)
+                cuts = np.searchsorted(keys >> np.uint64(32), np.arange(ranges + 1))
+                n = np.minimum(n, 255).astype(np.uint8)
+                parts, grams, counts = np.flatnonzero(np.diff(cuts)), [], []
+                for p in parts:
+                    steps = np.diff(keys[cuts[p] : cuts[p + 1]].astype("<u4"), prepend=np.zeros(1, "<u4")).astype("<u4")
+                    grams.append(squeeze.compress(np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 4).T).tobytes()))
+                    counts.append(squeeze.compress(n[cuts[p] : cuts[p + 1]].tobytes()))
+                yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int64()), pa.array([row["block"]] * len(parts), pa.int64()), pa.array(grams, pa.binary()), pa.array(counts, pa.binary())], ["part", "block", "grams", "counts"])
 
-    Counts too low are no harm: any order is a right one, and a better one meets fewer wrong partners.
-    """
+    return blocks.mapInArrow(lean(run), "part long, block long, grams binary, counts binary")
 
-    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
 
-        def flush() -> pa.RecordBatch:
-            grams, n = np.unique(np.concatenate(held), return_counts=True)
-            held.clear()
-            keep = n >= OFTEN
-            return pa.RecordBatch.from_arrays([pa.array(grams[keep].view(np.int64)), pa.array(n[keep].astype(np.int64))], ["gram", "n"])
+def _levels(offers: DataFrame, ranges: int) -> DataFrame:
+    """For each offer the level of its n-grams over all blocks, 0 for those that occur once: (block, part, levels)."""
 
-        for batch in batches:
-            for _, texts in text_slices(batch, 0):
-                h, _ = shingles(texts, width)
-                held.append(h)
-                size += len(h)
-                if size > COUNTED:
-                    yield flush()
-                    size = 0
-        if held:
-            yield flush()
-
-    found = docs.select(text_col).mapInArrow(lean(tally), "gram long, n long").groupBy("gram").agg(F.floor(F.log2(F.sum("n"))).cast("int").alias("level"))
-    found = written(found, "frequent")
-    sizes = {r["level"]: r["k"] for r in found.groupBy("level").agg(F.count("*").alias("k")).collect()}
-    least, total = 64, 0
-    while least > 0 and total + sizes.get(least - 1, 0) <= HEAVY:
-        least -= 1
-        total += sizes.get(least, 0)
-    kept = found.where(F.col("level") >= least).toPandas()
-    return Order(kept["gram"].to_numpy(np.int64).view(np.uint64), kept["level"].to_numpy(np.int64))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        squeeze, loose = codec()
+        for part, rows in by_part(batches):
+            grams = [np.cumsum(np.frombuffer(loose.decompress(r["grams"]), np.uint8).reshape(4, -1).T.copy().view("<u4").ravel(), dtype=np.uint32) for r in rows]
+            counts = np.concatenate([np.frombuffer(loose.decompress(r["counts"]), np.uint8) for r in rows])
+            cuts = np.cumsum([len(g) for g in grams])
+            _, back = np.unique(np.concatenate(grams), return_inverse=True)
+            level = np.log2(np.bincount(back, counts)).astype(np.uint8)[back]
+            for row, own in zip(rows, np.split(level, cuts[:-1])):
+                if own.any():
+                    yield pa.RecordBatch.from_arrays([pa.array([row["block"]], pa.int64()), pa.array([part], pa.int64()), pa.array([squeeze.compress(own.tobytes())], pa.binary())], ["block", "part", "levels"])
+
+    dealt = offers.repartition(ranges, "part").sortWithinPartitions("part", "block")
+    return dealt.mapInArrow(lean(run), "block long, part long, levels binary")
 
 
 def _bit(ids: pa.Array) -> np.ndarray:
@@ -178,28 +170,46 @@ def _texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return some
 
 
-def _profiles(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int, order: Order) -> DataFrame:
-    """(id, n, s1, s2: order-free hashes of the set, first: its first n-grams in the order, frequent: how many of these, at the end, are frequent ones)."""
-    id_type = docs.schema[id_col].dataType.simpleString()
+def _profiles(blocks: DataFrame, width: int, percent: int, ranges: int) -> DataFrame:
+    """Of blocks with the levels of their n-grams: (id, n, s1, s2: order-free hashes of the set, first: those of its first n-grams in the order that occur elsewhere, lead: how many of these lead, hot: how many, at the end, are hot)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _, loose = codec()
         for batch in batches:
-            for rows, texts in text_slices(batch, 1):
-                h, ends = shingles(texts, width)
-                n, s1, s2, first, often = [], [], [], [], []
+            for row in batch.to_pylist():
+                h, ends, ids = _block_grams(row, loose, width)
+                keys = _keys(h, ranges)
+                known = np.unique(keys)
+                levels = np.zeros(len(known), np.uint8)
+                for m in row["marks"] or ():
+                    at = np.searchsorted(known, np.uint64(m["part"] << 32))
+                    own = np.frombuffer(loose.decompress(m["levels"]), np.uint8)
+                    levels[at : at + len(own)] = own
+                every = levels[np.searchsorted(known, keys)]
+                n, s1, s2, first, lead, hot = [], [], [], [], [], []
                 for a, b in zip(ends[:-1], ends[1:]):
-                    own = np.unique(h[a:b])
+                    own, at = np.unique(h[a:b], return_index=True)
+                    level = every[a:b][at]
                     n.append(len(own))
                     with np.errstate(over="ignore"):
                         s1.append(mix64(own).sum(dtype=np.uint64).astype(np.int64))
                         s2.append(mix64(own ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64).astype(np.int64))
-                    level = order.level(own)
-                    at = np.argsort(level, kind="stable")[: len(own) + (-percent * len(own)) // 100 + 1 if len(own) else 0]
-                    first.append(own[at].astype(np.int64))
-                    often.append(np.count_nonzero(level[at]))
-                yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(n, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.array(first, pa.list_(pa.int64())), pa.array(often, pa.int32())], ["id", "n", "s1", "s2", "first", "frequent"])
+                    probe, index = fronts(len(own), percent)
+                    front = np.argsort(level, kind="stable")[:probe]
+                    shared = level[front] > 0
+                    first.append(own[front[shared]].astype(np.int64))
+                    lead.append(np.count_nonzero(shared[:index]))
+                    hot.append(np.count_nonzero(level[front] >= HOT_LEVEL))
+                yield pa.RecordBatch.from_arrays([pa.array(row["ids"], pa.int64()), pa.array(n, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.array(first, pa.list_(pa.int64())), pa.array(lead, pa.int32()), pa.array(hot, pa.int32())], ["id", "n", "s1", "s2", "first", "lead", "hot"])
+
+    return blocks.mapInArrow(lean(run), "id long, n long, s1 long, s2 long, first array<long>, lead int, hot int")
+
 
-    return docs.select(id_col, text_col).mapInArrow(lean(run), f"id {id_type}, n long, s1 long, s2 long, first array<long>, frequent int")
+def fronts(n: int, percent: int) -> tuple[int, int]:
+    """How many n-grams in front of a set of size n no partner can miss: any partner, and one at least as large."""
+    if not n:
+        return 0, 0
+    return n - -(-percent * n // 100) + 1, n - -(-2 * percent * n // (100 + percent)) + 1
 
 
 def _packed(grams: np.ndarray) -> bytes:
@@ -210,8 +220,8 @@ def _unpacked(blob: bytes) -> np.ndarray:
     return np.frombuffer(blob, "<u8")
 
 
-def _fragments(docs: DataFrame, width: int, order: Order, fragments: int = FRAGMENTS) -> DataFrame:
-    """Sets of docs (id, text, more columns), cut into the fragments of the order, each by hash: (more columns, id, fragment, grams binary)."""
+def _fragments(docs: DataFrame, width: int, fragments: int = FRAGMENTS) -> DataFrame:
+    """Sets of docs (id, text, more columns), cut into equal stretches of the hash order: (more columns, id, fragment, grams binary)."""
     more = [c for c in docs.columns if c not in ("id", "text")]
     kinds = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in [*more, "id"])
 
@@ -222,11 +232,11 @@ def _fragments(docs: DataFrame, width: int, order: Order, fragments: int = FRAGM
                 at, number, grams = [], [], []
                 for i, (a, b) in enumerate(zip(ends[:-1], ends[1:])):
                     own = np.unique(h[a:b])
-                    cut = order.fragment(own, fragments)
+                    cuts = np.searchsorted((own >> np.uint64(32)) * np.uint64(fragments) >> np.uint64(32), np.arange(fragments + 1))
                     for f in range(fragments):
                         at.append(i)
                         number.append(f)
-                        grams.append(_packed(own[cut == f]))
+                        grams.append(_packed(own[cuts[f] : cuts[f + 1]]))
                 at = pa.array(at, pa.int64())
                 yield pa.RecordBatch.from_arrays([*(rows.column(k + 1).take(at) for k in range(len(more) + 1)), pa.array(number, pa.int32()), pa.array(grams, pa.binary())], [*more, "id", "fragment", "grams"])
 
@@ -258,7 +268,7 @@ def _pair_overlaps(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(lean(run), f"a {kind}, b {kind}, na long, nb long, part long")
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, width: int, percent: int, order: Order) -> DataFrame:
+def _verified(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
     """Pairs (a, b, na, nb) that link: partial overlaps of each fragment, counted apart and summed.
 
     Pairs are dealt by the cluster they are in, so that a document's fragments travel once; pairs of a cluster of more than
@@ -271,14 +281,14 @@ def _verified(docs: DataFrame, pairs: DataFrame, width: int, percent: int, order
     label = label.join(weight, "label").select(F.col("node").alias("id"), F.when(F.col("weight") <= LOCAL_GRAMS, F.pmod(F.xxhash64("label"), F.lit(places))).alias("place"))
     label = written(label, "places")
     placed = pairs.join(label.select(F.col("id").alias("a"), "place"), "a")
-    grams = _fragments(_texts_of(docs, label.where("place is not null")), width, order)
+    grams = _fragments(_texts_of(docs, label.where("place is not null")), width)
     key = lambda fragment: (F.col("place") * FRAGMENTS + fragment).alias("key")
     each = F.explode(F.array(*map(F.lit, range(FRAGMENTS)))).alias("f")
     near = placed.where("place is not null").select("*", each)
     parts = _partial_overlaps(grams.select(key(F.col("fragment")), "id", "grams"), near.select(key(F.col("f")), "a", "b", "na", "nb"))
     wide = label.where("place is null")
     if not wide.isEmpty():
-        grams = _fragments(_texts_of(docs, wide.select("id")), width, order)
+        grams = _fragments(_texts_of(docs, wide.select("id")), width)
         grams = written(grams.select("id", "fragment", "grams").dropDuplicates(["id", "fragment"]), "grams")
         left = placed.where("place is null").join(grams.select(F.col("id").alias("a"), "fragment", F.col("grams").alias("ga")), "a")
         both = left.join(grams.select(F.col("id").alias("b"), "fragment", F.col("grams").alias("gb")), ["b", "fragment"])
@@ -357,7 +367,7 @@ def _block_links(rows: DataFrame, percent: int) -> DataFrame:
     return rows.groupBy("key").applyInPandas(run, f"a {id_type}, b {id_type}")
 
 
-def _wide_links(docs: DataFrame, wide: DataFrame, width: int, percent: int, order: Order) -> DataFrame:
+def _wide_links(docs: DataFrame, wide: DataFrame, width: int, percent: int) -> DataFrame:
     """Links among documents that share a prefix n-gram with many others: (a, b).
 
     wide has (token, id, n: size, leads: whether the n-gram leads the document to partners of its size or more, hub: the smallest holder that it leads). Documents
@@ -370,7 +380,7 @@ def _wide_links(docs: DataFrame, wide: DataFrame, width: int, percent: int, orde
     blocks = F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_GRAMS))
     sized = cluster.join(cluster.groupBy("cluster").agg(blocks.alias("blocks")), "cluster")
     dealt = written(sized.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks"))), "dealt")
-    inner = _fragments(_texts_of(docs, dealt.select("id", F.concat_ws("/", "cluster", "block").alias("key"))), width, order, 1)
+    inner = _fragments(_texts_of(docs, dealt.select("id", F.concat_ws("/", "cluster", "block").alias("key"))), width, 1)
     links = written(_block_links(inner.select("key", F.lit(0).alias("side"), "id", F.col("id").alias("label"), "grams"), percent), "links")
     large = dealt.where(F.col("blocks") > 1)
     if large.isEmpty():
@@ -394,26 +404,24 @@ def _wide_links(docs: DataFrame, wide: DataFrame, width: int, percent: int, orde
 
     tasks = met(apart.where("leads"), open_, "a").unionByName(met(apart.where("not leads"), open_.where("leads"), "b"))
     # each document's set once, then to the tasks that compare it
-    sets = _fragments(_texts_of(docs, open_.select("id").distinct()), width, order, 1).select("id", "grams").dropDuplicates(["id"])
+    sets = _fragments(_texts_of(docs, open_.select("id").distinct()), width, 1).select("id", "grams").dropDuplicates(["id"])
     return links.unionByName(_block_links(tasks.join(sets, "id").select("key", "side", "id", "label", "grams"), percent))
 
 
 def _holders(classes: DataFrame) -> DataFrame:
     """(token, id, n, leads, holders, hub) for the prefix n-grams that two classes share and that lead at least one of them to partners of its size or more.
 
-    n-grams known as frequent are counted by aggregation, as one may stand in most classes (at most HEAVY of them, so their counts are broadcast);
-    of the others none stands in more than a few rows for each COUNTED n-grams of input, and a window counts them.
+    A hot n-gram may stand in a third of all classes: those are counted by aggregation and the counts joined to salted rows. Any other occurs
+    less than 2 ** HOT_LEVEL times, and a window counts it.
     """
-    rows = classes.select(F.posexplode("first").alias("place", "token"), "n", F.col("rep").alias("id"), "lead", F.size("first").alias("size"), "frequent")
-    rows = rows.select("token", "n", "id", (F.col("place") < F.col("lead")).alias("leads"), (F.col("place") >= F.col("size") - F.col("frequent")).alias("often"))
-    counts = [F.count("*"), F.min(F.when(F.col("leads"), F.col("id")))]
-    rare = rows.where("not often").drop("often")
-    for name, count in zip(("holders", "hub"), counts):
-        rare = rare.withColumn(name, count.over(Window.partitionBy("token")))
-    often = rows.where("often").drop("often")
-    hubs = often.groupBy("token").agg(*(c.alias(name) for c, name in zip(counts, ("holders", "hub")))).where("holders > 1 and hub is not null")
-    found = rare.where("holders > 1 and hub is not null").unionByName(often.join(F.broadcast(hubs), "token").select(*rare.columns))
-    return found
+    rows = classes.select(F.posexplode("first").alias("place", "token"), "n", F.col("rep").alias("id"), "lead", F.size("first").alias("size"), "hot")
+    rows = rows.select("token", "n", "id", (F.col("place") < F.col("lead")).alias("leads"), (F.col("place") >= F.col("size") - F.col("hot")).alias("hot"))
+    counts = {"holders": F.count("*"), "hub": F.min(F.when(F.col("leads"), F.col("id")))}
+    few, hot = rows.where("not hot").drop("hot"), rows.where("hot").drop("hot")
+    for name, count in counts.items():
+        few = few.withColumn(name, count.over(Window.partitionBy("token")))
+    hubs = hot.groupBy("token").agg(*(count.alias(name) for name, count in counts.items())).where("holders > 1 and hub is not null")
+    return few.where("holders > 1 and hub is not null").unionByName(salted(hot, "token", hubs).select(*few.columns))
 
 
 def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
@@ -427,34 +435,39 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Every pair that links shares an n-gram among the first of each, and among the fewer that lead the smaller one to partners of its size or more (prefix
     filters; no cap): up to SMALL holders give pairs, counted by fragments of the order and summed; more holders are compared in blocks, which emit a
-    spanning forest only. Documents that merely share a passage do not meet: its n-grams are frequent and come last in their order.
+    spanning forest only. Documents that merely share a passage do not meet: its n-grams are frequent and come last in the order. Blocks offer their n-grams by hash range and get
+    back how often each occurs; those that occur once lead to nobody and never travel again.
     """
-    order = frequent_grams(docs, text_col, width)
-    profiles = written(_profiles(docs, id_col, text_col, width, percent, order), "profiles")
+    spark = docs.sparkSession
+    blocks = written(packed_blocks(docs, id_col, text_col), "texts")
+    total = blocks.agg(F.sum(F.element_at("ends", -1))).first()[0] or 0
+    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // RANGE_BYTES))
+    marks = _levels(_offers(blocks, width, ranges), ranges).groupBy("block").agg(F.collect_list(F.struct("part", "levels")).alias("marks"))
+    profiles = written(_profiles(blocks.join(marks, "block", "left"), width, percent, ranges), "profiles")
+    discard(blocks)
     keys = ["n", "s1", "s2"]
-    classes = profiles.where("n > 0").groupBy(*keys).agg(F.min("id").alias("rep"), F.first("first").alias("first"), F.first("frequent").alias("frequent"))
-    lead = F.expr(f"n - (2 * {percent} * n + {99 + percent}) div {100 + percent} + 1")
-    held = written(_holders(classes.where("rep is not null").withColumn("lead", lead)), "tokens")
+    classes = profiles.where("n > 0").groupBy(*keys).agg(F.min("id").alias("rep"), *(F.first(c).alias(c) for c in ("first", "lead", "hot")))
+    held = written(_holders(classes.where("rep is not null")), "tokens")
     small = held.where(F.col("holders") <= SMALL).groupBy("token").agg(F.array_sort(F.collect_list(F.struct("n", "id", "leads"))).alias("m")).select("m").distinct()
     later = lambda x, i: F.transform(F.filter("m", lambda y, j: (j > i) & x["leads"] & (x["n"] * 100 >= y["n"] * percent)), lambda y: F.struct(x["id"].alias("a"), x["n"].alias("na"), y["id"].alias("b"), y["n"].alias("nb")))
     # m is by n: a partner further on is at least as large, and must not be too large
     pairs = small.select(F.explode(F.flatten(F.transform("m", later))).alias("p")).select("p.*").distinct()
     pairs = written(pairs, "pairs")
     wide = written(held.where(F.col("holders") > SMALL).select("token", "id", "n", "leads", "hub"), "wide")
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     links = None
     if not wide.isEmpty():
         # large groups first: pairs inside what they have joined need no look
-        links = written(_wide_links(texts, wide, width, percent, order), "links")
+        links = written(_wide_links(texts, wide, width, percent), "links")
         label = components(links)
         one, two = (label.select(F.col("node").alias(c), F.col("label").alias(f"l{c}")) for c in ("a", "b"))
         pairs = pairs.join(one, "a", "left").join(two, "b", "left")
         pairs = written(pairs.where(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "na", "b", "nb"), "pairs")
-    verified = _verified(texts, pairs, width, percent, order)
+    verified = _verified(texts, pairs, width, percent)
     links = verified if links is None else links.unionByName(verified)
     found = components(links).select(F.col("node").alias("rep"), "label")
     for table in (held, pairs, wide):
         discard(table)
     named = classes.select(*keys, "rep").join(found, "rep", "left").select(*keys, F.coalesce("label", "rep").alias("label"))
     out = profiles.select("id", *keys).join(named, keys, "left")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("label", "id").alias("component_id"))
+    return out.select(F.col("id").cast(docs.schema[id_col].dataType).alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("label", "id").cast(docs.schema[id_col].dataType).alias("component_id"))

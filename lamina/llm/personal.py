@@ -9,15 +9,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lamina.llm.common import lean, text_slices, written
+from lamina.llm.common import lean, salted, text_slices, written
 
 KINDS = ("email", "ip", "card", "phone")
 #: Rounds at most, least share of a pattern's values that are personal, least accepted values behind a pattern, least score of an accepted value.
 ROUNDS, LEAST_SHARE, LEAST_SEEDS, LEAST_SCORE = 6, 0.8, 4, 0.8
 #: Characters of a word next to a value that belong to its pattern, the nearest ones: a word may be a whole text.
 CONTEXT = 24
-#: Parts that the rows of one pattern, or of one value, are dealt to: either may hold a third of all.
-SALTS = 16
 #: Rows with discovered spans, and such spans, up to which they are broadcast; more are joined by a shuffle.
 BROADCAST_ROWS, BROADCAST_SPANS = 100_000, 1_000_000
 
@@ -141,13 +139,6 @@ def scan(rows: DataFrame) -> DataFrame:
     return rows.select("row", "text").mapInArrow(lean(run), f"row {row_type}, base array<struct<start:int,kind:int,stop:int>>, seen array<struct<value:string,start:int,stop:int,kind:int,patterns:array<string>>>")
 
 
-def _salted(many: DataFrame, by: str, one: DataFrame) -> DataFrame:
-    """many joined with one (a row or a few for each key `by`), each key's rows dealt to SALTS parts."""
-    spread = one.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    dealt = many.withColumn("salt", F.pmod(F.xxhash64(*(c for c in many.columns if c != by)), F.lit(SALTS)).cast("int"))
-    return dealt.join(spread, [by, "salt"]).drop("salt")
-
-
 def discover(seen: DataFrame, rounds: int = ROUNDS, least_share: float = LEAST_SHARE, least_seeds: int = LEAST_SEEDS, least_score: float = LEAST_SCORE) -> DataFrame:
     """Values that high-confidence patterns mark as personal: (value, kind int).
 
@@ -165,11 +156,11 @@ def discover(seen: DataFrame, rounds: int = ROUNDS, least_share: float = LEAST_S
     for _ in range(rounds):
         support = seeds
         if accepted is not None:
-            more = _salted(open_edges, "value", accepted).groupBy("pattern", "kind").agg(F.count("*").alias("behind"), F.sum("score").alias("got"))
+            more = salted(open_edges, "value", accepted).groupBy("pattern", "kind").agg(F.count("*").alias("behind"), F.sum("score").alias("got"))
             support = seeds.unionByName(more).groupBy("pattern", "kind").agg(F.sum("behind").alias("behind"), F.sum("got").alias("got"))
         trusted = support.where(F.col("behind") >= least_seeds).join(sizes, "pattern").withColumn("share", F.col("got") / F.col("n"))
         trusted = trusted.where(F.col("share") >= least_share).select("pattern", "kind", "share")
-        scores = _salted(open_edges, "pattern", trusted).groupBy("value", "kind").agg((1 - F.exp(F.sum(F.log(1 - F.least("share", F.lit(0.999)))))).alias("score"))
+        scores = salted(open_edges, "pattern", trusted).groupBy("value", "kind").agg((1 - F.exp(F.sum(F.log(1 - F.least("share", F.lit(0.999)))))).alias("score"))
         best = scores.where(F.col("score") >= least_score).groupBy("value").agg(F.max(F.struct("score", (-F.col("kind")).alias("order"))).alias("top"))
         accepted = written(best.select("value", (-F.col("top.order")).alias("kind"), F.col("top.score").alias("score")), "accepted")
         was, known = known, accepted.count()
@@ -183,7 +174,7 @@ def _found(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     scanned = written(scan(rows), "personal")
     seen = scanned.select("row", F.explode("seen").alias("s")).select("row", "s.*")
     values = discover(seen.select("value", "kind", F.explode("patterns").alias("pattern")))
-    places = _salted(seen.where("kind < 0").select("row", "value", "start", "stop"), "value", values)
+    places = salted(seen.where("kind < 0").select("row", "value", "start", "stop"), "value", values)
     more = places.groupBy("row").agg(F.collect_set(F.struct("start", "kind", "stop")).alias("more"))
     return scanned.select("row", "base"), written(more, "discovered")
 
@@ -207,7 +198,7 @@ def find_personal(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     then kind. Null and empty texts give empty arrays, an empty table gives no rows. Rows are told apart by a key of their own,
     so repeated rows, rows that share an id and rows with a null id each keep their own spans. Only the named columns are read,
     so others may have any name. Texts of any length are searched whole. What is shuffled are contexts of tokens with a digit
-    or an @, first summed to distinct (pattern, value) pairs; the rows of one pattern or value are dealt to SALTS parts.
+    or an @, first summed to distinct (pattern, value) pairs; the rows of one pattern or value are dealt to several parts.
     """
     rows = docs.select(F.struct(F.monotonically_increasing_id().alias("key"), F.col(id_col).alias("id")).alias("row"), F.col(text_col).alias("text"))
     base, more = _found(rows)

@@ -16,18 +16,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lamina.llm.common import byte_view, lean, mix64, text_slices, written
+from lamina.llm.common import NO_ID, by_part, codec, lean, mix64, packed_blocks, unpacked_block, written
 
 #: Bytes of a window, of a cover gram, and on either side of a gram in its context.
 LENGTH, GRAM = 50, 24
 SIDE = LENGTH - GRAM
-#: Bytes of text in a block, positions hashed at once, and bytes of text behind one suffix bucket range.
-BLOCK, STEP, RANGE = 4 << 20, 1 << 18, 32 << 20
+#: Positions hashed at once, and bytes of text behind one suffix bucket range.
+STEP, RANGE = 1 << 18, 32 << 20
 
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 _RECORD = np.dtype([("context", f"V{LENGTH + SIDE}"), ("left", "u1"), ("right", "u1"), ("least", "<i8"), ("most", "<i8")])
 _ANSWER = np.dtype([("number", "<u4"), ("first", "u1"), ("last", "u1"), ("doc", "<i8")])
-_NONE = np.iinfo(np.int64).max
 
 
 def _sliding(x: np.ndarray, width: int, least: bool) -> np.ndarray:
@@ -116,59 +115,14 @@ def _steps(x: np.ndarray) -> np.ndarray:
     return np.diff(x, prepend=0).astype("<u4")
 
 
-def _codec(level: int = 3):
-    import zstandard
-
-    return zstandard.ZstdCompressor(level=level), zstandard.ZstdDecompressor()
-
-
-def _pack(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Whole documents in blocks of about BLOCK bytes: (block, ids, ends, data compressed)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        squeeze, _ = _codec(6)
-        number = TaskContext.get().partitionId() << 32
-        ids, parts, lengths, size = [], [], [], 0
-
-        def out() -> pa.RecordBatch:
-            nonlocal number, size
-            ends = np.concatenate([[0], np.cumsum(np.concatenate(lengths))]).astype(np.int64)
-            row = [pa.array([number], pa.int64()), pa.array([[i for x in ids for i in x]], pa.list_(pa.int64())), pa.array([ends], pa.list_(pa.int64())), pa.array([squeeze.compress(b"".join(parts))], pa.binary())]
-            ids.clear(), parts.clear(), lengths.clear()
-            number, size = number + 1, 0
-            return pa.RecordBatch.from_arrays(row, ["block", "ids", "ends", "data"])
-
-        for batch in batches:
-            for rows, texts in text_slices(batch, 1):
-                data, ends = byte_view(texts)
-                ids.append(rows.column(0).to_pylist())
-                parts.append(data.tobytes())
-                lengths.append(np.diff(ends))
-                size += len(data)
-                if size >= BLOCK:
-                    yield out()
-        if ids:
-            yield out()
-
-    return docs.select(F.col(id_col).cast("long").alias("id"), text_col).mapInArrow(lean(run), "block long, ids array<long>, ends array<long>, data binary")
-
-
-def _block(row: dict, loose) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    data = np.frombuffer(loose.decompress(row["data"], max_output_size=max(1, row["ends"][-1])) if row["ends"][-1] else b"", np.uint8)
-    ids = np.array([_NONE if i is None else i for i in row["ids"]], np.int64)
-    return data, np.array(row["ends"], np.int64), ids
-
-
 def _offers(blocks: DataFrame, ranges: int) -> DataFrame:
     """Each block's cover grams by hash range: (part, block, grams)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _, loose = _codec()
+        _, loose = codec()
         for batch in batches:
             for row in batch.to_pylist():
-                data, ends, _ = _block(row, loose)
+                data, ends, _ = unpacked_block(row, loose)
                 values, cuts = _wanted(cover(data, ends)[1], ranges)
                 parts = np.flatnonzero(np.diff(cuts))
                 yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int64()), pa.array([row["block"]] * len(parts), pa.int64()), pa.array([_trimmed(values[cuts[p] : cuts[p + 1]]) for p in parts], pa.binary())], ["part", "block", "grams"])
@@ -176,25 +130,11 @@ def _offers(blocks: DataFrame, ranges: int) -> DataFrame:
     return blocks.mapInArrow(lean(run), "part long, block long, grams binary")
 
 
-def _by_part(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[dict]]]:
-    """Rows of one part after another, from rows sorted by part."""
-    part, held = None, []
-    for batch in batches:
-        for row in batch.to_pylist():
-            if held and row["part"] != part:
-                yield part, held
-                held = []
-            part = row["part"]
-            held.append(row)
-    if held:
-        yield part, held
-
-
 def _repeats(offers: DataFrame, ranges: int) -> DataFrame:
     """Which of a block's offered grams occur twice anywhere: (block, part, marks: packed bits in the offer's order)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, rows in _by_part(batches):
+        for part, rows in by_part(batches):
             lists = [_untrimmed(r["grams"]) for r in rows]
             _, back, counts = np.unique(np.concatenate(lists), return_inverse=True, return_counts=True)
             marks = np.split(counts[back] > 1, np.cumsum([len(x) for x in lists])[:-1])
@@ -210,10 +150,10 @@ def _contexts(blocks: DataFrame, ranges: int) -> DataFrame:
     """Distinct contexts of a block's repeated grams for the bucket sort (part >= 0), and where they occur (part < 0): (part, block, base: number of the payload's first context, payload)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        squeeze, loose = _codec()
+        squeeze, loose = codec()
         for batch in batches:
             for row in batch.to_pylist():
-                data, ends, ids = _block(row, loose)
+                data, ends, ids = unpacked_block(row, loose)
                 at, hashes = cover(data, ends)
                 values, cuts = _wanted(hashes, ranges)
                 repeated = np.zeros(len(values), bool)
@@ -222,7 +162,7 @@ def _contexts(blocks: DataFrame, ranges: int) -> DataFrame:
                     repeated[a:b] = np.unpackbits(np.frombuffer(m["marks"], np.uint8), count=b - a).astype(bool)
                 at = at[np.isin(_keys(hashes, ranges), values[repeated])]
                 doc = np.searchsorted(ends, at, "right") - 1
-                at, doc = at[ids[doc] != _NONE], doc[ids[doc] != _NONE]  # a document without an id is compared with none
+                at, doc = at[ids[doc] != NO_ID], doc[ids[doc] != NO_ID]  # a document without an id is compared with none
                 if not len(at):
                     continue
                 left = np.minimum(at - ends[doc], SIDE)
@@ -288,13 +228,13 @@ def _ranks(gram: np.ndarray, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def first_documents(context: np.ndarray, left: np.ndarray, right: np.ndarray, doc: np.ndarray) -> np.ndarray:
     """For contexts (rows of LENGTH + SIDE bytes) the smallest document with the same window at each offset, as far as these rows tell.
 
-    Returns (row, SIDE + 1): window s starts s bytes into the context; _NONE where it does not fit the context's text.
+    Returns (row, SIDE + 1): window s starts s bytes into the context; NO_ID where it does not fit the context's text.
     """
     n = len(context)
     _, gram = np.unique(np.ascontiguousarray(context[:, SIDE:LENGTH]).view(f"V{GRAM}").ravel(), return_inverse=True)
     by_right, share_right = _ranks(gram, context[:, LENGTH:])
     by_left, share_left = _ranks(gram, context[:, :SIDE][:, ::-1])
-    out = np.full((n, SIDE + 1), _NONE, np.int64)
+    out = np.full((n, SIDE + 1), NO_ID, np.int64)
     order = np.argsort(doc, kind="stable")
     for s in range(SIDE + 1):
         fits = (left >= SIDE - s) & (right >= s)
@@ -314,8 +254,8 @@ def _answers(contexts: DataFrame, ranges: int) -> DataFrame:
     """Sort one bucket range at a time and tell each block which windows begin in an earlier document: (block, answers, places as they came)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        squeeze, loose = _codec()
-        for part, rows in _by_part(batches):
+        squeeze, loose = codec()
+        for part, rows in by_part(batches):
             if part < 0:
                 yield pa.RecordBatch.from_arrays([pa.array([r["block"] for r in rows], pa.int64()), pa.nulls(len(rows), pa.binary()), pa.array([r["payload"] for r in rows], pa.binary())], ["block", "answers", "places"])
                 continue
@@ -350,10 +290,10 @@ def _cut(blocks: DataFrame) -> DataFrame:
     """Removed runs and kept bytes of every document of blocks joined with places and answers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _, loose = _codec()
+        _, loose = codec()
         for batch in batches:
             for row in batch.to_pylist():
-                data, ends, ids = _block(row, loose)
+                data, ends, ids = unpacked_block(row, loose)
                 edges = np.zeros(len(data) + 1, np.int32)
                 if row["places"] is not None and row["answers"]:
                     at, number = np.frombuffer(loose.decompress(row["places"]), "<u4").astype(np.int64).reshape(2, -1)
@@ -398,7 +338,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     smallest and largest document that has it, to the bucket sort, so a passage in a third of all documents is one
     context a block. Memory of a task is a block or a bucket range, neither of which follows the input.
     """
-    blocks = written(_pack(docs, id_col, text_col), "bytes")
+    blocks = written(packed_blocks(docs, id_col, text_col), "bytes")
     total = blocks.agg(F.sum(F.element_at("ends", -1))).first()[0] or 0
     ranges = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // RANGE))
     marks = _repeats(_offers(blocks, ranges), ranges).groupBy("block").agg(F.collect_list(F.struct("part", "marks")).alias("marks"))

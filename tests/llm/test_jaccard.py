@@ -54,13 +54,13 @@ def run(spark, rows):
     return {r.doc_id: (r.n_shingles, r.component_id) for r in got}
 
 
-@pytest.mark.parametrize("small,block,local,ids,often", [(32, 512, 10**6, 100, 8), (3, 7, 10**6, 0, 2), (40, 512, 100, 0, 3), (2, 5, 50, 100, 10**6)])
-def test_against_brute_force(spark, monkeypatch, small, block, local, ids, often):
+@pytest.mark.parametrize("small,block,local,ids,range_bytes", [(32, 512, 10**6, 100, 16 << 20), (3, 7, 10**6, 0, 500), (40, 512, 100, 0, 90), (2, 5, 50, 100, 3000)])
+def test_against_brute_force(spark, monkeypatch, small, block, local, ids, range_bytes):
     monkeypatch.setattr(jaccard, "SMALL", small)
     monkeypatch.setattr(jaccard, "LOCAL_GRAMS", local)
     monkeypatch.setattr(jaccard, "BROADCAST_IDS", ids)
     monkeypatch.setattr(jaccard, "BLOCK", block)
-    monkeypatch.setattr(jaccard, "OFTEN", often)
+    monkeypatch.setattr(jaccard, "RANGE_BYTES", range_bytes)
     rows = rows_of(5, [1, 1, 2, 3, 5, 40, 8])
     assert run(spark, rows) == brute(rows)
 
@@ -92,15 +92,32 @@ def test_documents_that_share_a_passage_do_not_meet(spark, monkeypatch):
     assert not met and {i: c for i, (_, c) in got.items() if c != i} == {3000: 7}
 
 
-def test_fragments_cut_the_order():
+def test_levels_are_counts(spark, monkeypatch):
+    """The level of each n-gram is the logarithm of its occurrences over all blocks."""
     import numpy as np
 
-    rng = np.random.default_rng(7)
-    grams = np.unique(rng.integers(0, 2**64, 5000, dtype=np.uint64))
-    order = jaccard.Order(grams[::50], np.full(len(grams[::50]), 5))
-    key = np.lexsort([grams, order.level(grams)])
-    cut = order.fragment(grams, 4)[key]
-    assert (np.diff(cut) >= 0).all() and set(cut) == {0, 1, 2, 3} and np.bincount(cut)[:3].min() > 1000
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(40)]
+    texts = [" ".join(rng.choices(words[:8] if k % 3 else words, k=rng.randint(0, 30))) for k in range(300)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    blocks = jaccard.written(jaccard.packed_blocks(docs, "doc_id", "text"), "t")
+    counts = {}
+    import pyarrow as pa
+
+    h, _ = jaccard.shingles(pa.array(texts, pa.large_string()), 2)
+    for k in jaccard._keys(h, 5).tolist():
+        counts[k] = counts.get(k, 0) + 1
+    offers = {(r.block, r.part): r for r in jaccard._offers(blocks, 2, 5).collect()}
+    levels = {(r.block, r.part): r.levels for r in jaccard._levels(jaccard._offers(blocks, 2, 5), 5).collect()}
+    _, loose = jaccard.codec()
+    seen = set()
+    for at, r in offers.items():
+        steps = np.frombuffer(loose.decompress(r.grams), np.uint8).reshape(4, -1).T.copy().view("<u4").ravel()
+        keys = np.cumsum(steps, dtype=np.uint32).astype(np.int64) | (r.part << 32)
+        got = np.frombuffer(loose.decompress(levels[at]), np.uint8) if at in levels else np.zeros(len(keys), np.uint8)
+        assert [int(np.log2(counts[k])) for k in keys.tolist()] == got.tolist()
+        seen |= set(keys.tolist())
+    assert seen == set(counts)
 
 
 @pytest.mark.parametrize("one_task", [0, 5, 100_000])
