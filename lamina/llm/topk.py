@@ -126,8 +126,8 @@ class _Block:
         self.vectors = np.frombuffer(row["vectors"], f"<i{row['width']}").reshape(len(self.ids), row["dim"])
 
 
-def _meet(block: _Block, least: np.ndarray, buckets: list[_Block], k: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each query of block the (ids, scores) of its best k in the buckets that reach its least score, best first."""
+def _meet(block: _Block, least: np.ndarray, last: np.ndarray, buckets: list[_Block], k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each query of block the (ids, scores) of its best k in the buckets that beat its least score, or reach it with an id below last; best first."""
     found: list[list] = [[] for _ in block.ids]
     for bucket in buckets:
         bound = float(block.norms.max() * bucket.norms[0]) * 1.01 + 1
@@ -139,7 +139,7 @@ def _meet(block: _Block, least: np.ndarray, buckets: list[_Block], k: int) -> li
         for n, at in enumerate(near):
             if len(at):
                 score = dense[row[n], at] if many[n] else _exact(block.vectors[n : n + 1], bucket.vectors[at], bound)[0]
-                fit = (bucket.ids[at] != block.ids[n]) & (score >= least[n])
+                fit = (bucket.ids[at] != block.ids[n]) & ((score > least[n]) | (score == least[n]) & (bucket.ids[at] < last[n]))
                 at, score = at[fit], score[fit]
                 best = _best(score, bucket.ids[at], k)
                 found[n].append((bucket.ids[at][best], score[best]))
@@ -161,7 +161,7 @@ _HITS = "query_id long, vec_id long, score long"
 
 
 def _pilot(pairs: DataFrame, k: int) -> DataFrame:
-    """For rows of a query block (q_ columns) with the longest bucket: the block, each query's score to beat (minus infinity below k hits), the least of them, and the hits."""
+    """For rows of a query block (q_ columns) with the longest bucket: the block, each query's score to beat (minus infinity below k hits) and the last id that has it, the least score, and the hits."""
     head = ["block", "dim", "q_longest", "q_ids", "q_vectors", "q_width", "q_norms"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,12 +169,13 @@ def _pilot(pairs: DataFrame, k: int) -> DataFrame:
             for i in range(batch.num_rows):
                 row = {name: batch.column(name)[i].as_py() for name in batch.schema.names}
                 block = _Block({"dim": row["dim"], "ids": row["q_ids"], "vectors": row["q_vectors"], "width": row["q_width"], "norms": row["q_norms"]})
-                best = _meet(block, np.full(len(block.ids), -np.inf), [_Block(row)], k)
+                best = _meet(block, np.full(len(block.ids), -np.inf), np.zeros(len(block.ids), np.int64), [_Block(row)], k)
                 least = np.array([s[-1] if len(s) == k else -np.inf for _, s in best], float)
+                last = np.array([ids[-1] if len(ids) == k else 0 for ids, _ in best], np.int64)
                 hits = pa.array([_hits(block, best).to_pylist()], pa.list_(pa.struct([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])))
-                yield pa.RecordBatch.from_arrays([*(batch.column(name).slice(i, 1) for name in head), pa.array([least.tobytes()], pa.binary()), pa.array([float(least.min())]), hits], [*head, "least", "floor", "hits"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(name).slice(i, 1) for name in head), pa.array([least.tobytes()], pa.binary()), pa.array([last.tobytes()], pa.binary()), pa.array([float(least.min())]), hits], [*head, "least", "last", "floor", "hits"])
 
-    return pairs.mapInArrow(lean(run), "block long, dim int, q_longest double, q_ids binary, q_vectors binary, q_width int, q_norms binary, least binary, floor double, hits array<struct<query_id:long,vec_id:long,score:long>>")
+    return pairs.mapInArrow(lean(run), "block long, dim int, q_longest double, q_ids binary, q_vectors binary, q_width int, q_norms binary, least binary, last binary, floor double, hits array<struct<query_id:long,vec_id:long,score:long>>")
 
 
 def _search(rows: DataFrame, k: int) -> DataFrame:
@@ -191,7 +192,7 @@ def _search(rows: DataFrame, k: int) -> DataFrame:
                     buckets.append(_Block(row))
                 else:
                     block = _Block(row)
-                    hits = _hits(block, _meet(block, np.frombuffer(row["least"], float), buckets, k))
+                    hits = _hits(block, _meet(block, np.frombuffer(row["least"], float), np.frombuffer(row["last"], np.int64), buckets, k))
                     if hits.num_rows:
                         yield hits
 
@@ -229,10 +230,10 @@ def top_products(vectors: DataFrame, is_query: Column, k: int = 20) -> DataFrame
     parts = F.ceil(F.lit(pilot.count()) / TASK_BLOCKS).cast("long")
     pairs = written(pairs.select("shard", "block", F.pmod(F.xxhash64("block", F.lit(1)), parts).alias("part")), "pairs")
     # payloads: a shard's buckets once for each of its tasks, a block once for each shard it reaches
-    columns = ["shard", "part", "bucket", "dim", "ids", "vectors", "width", "norms", "least"]
+    columns = ["shard", "part", "bucket", "dim", "ids", "vectors", "width", "norms", "least", "last"]
     held = buckets.join(first.withColumn("head", F.lit(True)), ["shard", "bucket"], "left").where("head is null").join(pairs.select("shard", "part").distinct(), "shard")
-    passing = pilot.select("block", "dim", F.col("q_ids").alias("ids"), F.col("q_vectors").alias("vectors"), F.col("q_width").alias("width"), F.col("q_norms").alias("norms"), "least").join(pairs, "block")
-    rows = held.withColumn("least", F.lit(None).cast("binary")).select(*columns).unionByName(passing.withColumn("bucket", F.lit(1 << 30)).select(*columns))
+    passing = pilot.select("block", "dim", F.col("q_ids").alias("ids"), F.col("q_vectors").alias("vectors"), F.col("q_width").alias("width"), F.col("q_norms").alias("norms"), "least", "last").join(pairs, "block")
+    rows = held.withColumn("least", F.lit(None).cast("binary")).withColumn("last", F.lit(None).cast("binary")).select(*columns).unionByName(passing.withColumn("bucket", F.lit(1 << 30)).select(*columns))
     rest = _search(rows.repartition("shard", "part").sortWithinPartitions("shard", "part", "bucket"), k)
     hits = pilot.select(F.explode("hits").alias("h")).select("h.*").unionByName(rest)
     ranked = hits.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
