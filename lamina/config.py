@@ -16,18 +16,22 @@ FILTER_LENGTH, SUGGEST = 1000, 3
 DEFAULTS = {"fk_depth": 3, "fetch_size": 1000, "batch_size": 1000, "chunk_size": 10_000}
 # Parameters allowed in a JDBC URL.
 JDBC_PARAMETERS = frozenset(
-    "ssl sslmode sslrootcert sslcert sslkey sslcrl applicationName ApplicationName connectTimeout socketTimeout loginTimeout tcpKeepAlive currentSchema options gssEncMode targetServerType readOnly defaultRowFetchSize prepareThreshold assumeMinServerVersion reWriteBatchedInserts loadBalanceHosts hostRecheckSeconds binaryTransfer".split()
+    [
+        "ssl", "sslmode", "sslrootcert", "sslcert", "sslkey", "sslcrl", "applicationName", "ApplicationName", "connectTimeout", "socketTimeout",
+        "loginTimeout", "tcpKeepAlive", "currentSchema", "options", "gssEncMode", "targetServerType", "readOnly", "defaultRowFetchSize",
+        "prepareThreshold", "assumeMinServerVersion", "reWriteBatchedInserts", "loadBalanceHosts", "hostRecheckSeconds", "binaryTransfer",
+    ]
 )
 # Families of logical types.
 FAMILIES = {
-    "NUMERIC": "smallint,integer,bigint,int,int2,int4,int8,decimal,numeric,real,double precision,double,float,float4,float8,serial,bigserial,smallserial",
-    "STRING": "character,character varying,varchar,text,citext,name,bpchar,char",
-    "UUID": "uuid",
-    "JSON": "json,jsonb",
-    "BOOLEAN": "boolean,bool",
-    "TEMPORAL": "timestamp,timestamptz,timestamp without time zone,timestamp with time zone,date,time,timetz,time without time zone,time with time zone,interval",
+    "NUMERIC": ["smallint", "integer", "bigint", "int", "int2", "int4", "int8", "decimal", "numeric", "real", "double precision", "double", "float", "float4", "float8", "serial", "bigserial", "smallserial"],
+    "STRING": ["character", "character varying", "varchar", "text", "citext", "name", "bpchar", "char"],
+    "UUID": ["uuid"],
+    "JSON": ["json", "jsonb"],
+    "BOOLEAN": ["boolean", "bool"],
+    "TEMPORAL": ["timestamp", "timestamptz", "timestamp without time zone", "timestamp with time zone", "date", "time", "timetz", "time without time zone", "time with time zone", "interval"],
 }
-_FAMILY = {name: kind for kind, names in FAMILIES.items() for name in names.split(",")}
+_FAMILY = {name: kind for kind, names in FAMILIES.items() for name in names}
 _IDENTIFIER = re.compile(r"[A-Za-z_][A-Za-z0-9_$]{0,62}\Z")
 
 

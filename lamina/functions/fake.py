@@ -13,30 +13,73 @@ from lamina.model import RuleError, Secrets, SemanticType
 
 # Word lists by locale.
 FIRST = {
-    "fr": "Adèle Agathe Alban Alix Amaury Anaïs Antoine Armand Aurore Axel Bastien Blanche Cécile Célia Clément Corentin Damien Diane Edgar Éloïse Émile Esteban Fanny Félix Florian Gabin Garance Gaspard Hélène Hortense Inès Jeanne Joël Jules Léonie Lila Loïc Lucien Maëlle Marius Mathis Mélanie Nathan Noé Octave Odile Pauline Quentin Rémi Romane Sacha Solène Théo Tristan Valentin Victoire Yann Zoé",
-    "en": "Abigail Adam Alice Amber Andrew Arthur Beth Bruce Caleb Carla Chester Clara Daisy Dennis Derek Edith Elliot Emma Ethan Faith Felix Fiona Frank George Grace Hazel Henry Holly Isaac Ivy Jack Jasper June Karen Keith Laura Leo Lily Logan Mabel Martin Megan Miles Nancy Neil Olive Oscar Paige Peter Quinn Rachel Ralph Rose Ruth Simon Stella Thomas Tracy Vera Walter Wendy",
+    "fr": [
+        "Adèle", "Agathe", "Alban", "Alix", "Amaury", "Anaïs", "Antoine", "Armand", "Aurore", "Axel", "Bastien", "Blanche", "Cécile", "Célia",
+        "Clément", "Corentin", "Damien", "Diane", "Edgar", "Éloïse", "Émile", "Esteban", "Fanny", "Félix", "Florian", "Gabin", "Garance", "Gaspard",
+        "Hélène", "Hortense", "Inès", "Jeanne", "Joël", "Jules", "Léonie", "Lila", "Loïc", "Lucien", "Maëlle", "Marius", "Mathis", "Mélanie",
+        "Nathan", "Noé", "Octave", "Odile", "Pauline", "Quentin", "Rémi", "Romane", "Sacha", "Solène", "Théo", "Tristan", "Valentin", "Victoire",
+        "Yann", "Zoé",
+    ],
+    "en": [
+        "Abigail", "Adam", "Alice", "Amber", "Andrew", "Arthur", "Beth", "Bruce", "Caleb", "Carla", "Chester", "Clara", "Daisy", "Dennis", "Derek",
+        "Edith", "Elliot", "Emma", "Ethan", "Faith", "Felix", "Fiona", "Frank", "George", "Grace", "Hazel", "Henry", "Holly", "Isaac", "Ivy", "Jack",
+        "Jasper", "June", "Karen", "Keith", "Laura", "Leo", "Lily", "Logan", "Mabel", "Martin", "Megan", "Miles", "Nancy", "Neil", "Olive", "Oscar",
+        "Paige", "Peter", "Quinn", "Rachel", "Ralph", "Rose", "Ruth", "Simon", "Stella", "Thomas", "Tracy", "Vera", "Walter", "Wendy",
+    ],
 }
 LAST = {
-    "fr": "Albert Barbier Baudry Bellanger Berger Blondel Bonnet Boucher Carpentier Chauvet Clerc Colas Cordier Courtois Delorme Descamps Dumas Fabre Ferrand Fleury Gaillard Gilbert Giraud Grenier Guichard Hamel Humbert Imbert Jacquet Joly Lacombe Lambert Langlois Leblanc Lefort Lemoine Maillard Marchal Mercier Millet Monnier Noël Olivier Parent Pelletier Perrot Poirier Prévot Renault Rivière Rolland Royer Salmon Tessier Tixier Vallet Vasseur Verdier",
-    "en": "Abbott Archer Baker Barlow Bishop Blake Carter Chapman Clayton Cole Cooper Dalton Dixon Drake Eaton Ellis Farmer Fisher Fletcher Foster Gardner Gibson Grant Hale Harper Hobbs Hughes Irwin Jarvis Kemp Kirby Lambert Lawson Marsh Mason Mercer Nash Newton Norris Osborne Parker Pearce Porter Quick Reed Rhodes Sawyer Shaw Slater Tanner Thorne Turner Vance Walsh Ward Weaver Webb York",
+    "fr": [
+        "Albert", "Barbier", "Baudry", "Bellanger", "Berger", "Blondel", "Bonnet", "Boucher", "Carpentier", "Chauvet", "Clerc", "Colas", "Cordier",
+        "Courtois", "Delorme", "Descamps", "Dumas", "Fabre", "Ferrand", "Fleury", "Gaillard", "Gilbert", "Giraud", "Grenier", "Guichard", "Hamel",
+        "Humbert", "Imbert", "Jacquet", "Joly", "Lacombe", "Lambert", "Langlois", "Leblanc", "Lefort", "Lemoine", "Maillard", "Marchal", "Mercier",
+        "Millet", "Monnier", "Noël", "Olivier", "Parent", "Pelletier", "Perrot", "Poirier", "Prévot", "Renault", "Rivière", "Rolland", "Royer",
+        "Salmon", "Tessier", "Tixier", "Vallet", "Vasseur", "Verdier",
+    ],
+    "en": [
+        "Abbott", "Archer", "Baker", "Barlow", "Bishop", "Blake", "Carter", "Chapman", "Clayton", "Cole", "Cooper", "Dalton", "Dixon", "Drake",
+        "Eaton", "Ellis", "Farmer", "Fisher", "Fletcher", "Foster", "Gardner", "Gibson", "Grant", "Hale", "Harper", "Hobbs", "Hughes", "Irwin",
+        "Jarvis", "Kemp", "Kirby", "Lambert", "Lawson", "Marsh", "Mason", "Mercer", "Nash", "Newton", "Norris", "Osborne", "Parker", "Pearce",
+        "Porter", "Quick", "Reed", "Rhodes", "Sawyer", "Shaw", "Slater", "Tanner", "Thorne", "Turner", "Vance", "Walsh", "Ward", "Weaver", "Webb",
+        "York",
+    ],
 }
 STREETS = {
-    "fr": "rue des Lilas,rue du Moulin,avenue de la Gare,place du Marché,chemin des Vignes,rue de l'Église,boulevard Voltaire,allée des Tilleuls,impasse du Lavoir,quai des Saules,rue du Puits,cours Gambetta,route de Lyon,rue des Écoles,sentier du Bois,rue Haute",
-    "en": "Mill Lane,High Street,Station Road,Church Close,Orchard Way,Park Avenue,Bridge Street,Oak Drive,Harbour Row,King Street,Meadow Court,Victoria Road,Elm Grove,Chapel Hill,Green Lane,North Parade",
+    "fr": [
+        "rue des Lilas", "rue du Moulin", "avenue de la Gare", "place du Marché", "chemin des Vignes", "rue de l'Église", "boulevard Voltaire",
+        "allée des Tilleuls", "impasse du Lavoir", "quai des Saules", "rue du Puits", "cours Gambetta", "route de Lyon", "rue des Écoles",
+        "sentier du Bois", "rue Haute",
+    ],
+    "en": [
+        "Mill Lane", "High Street", "Station Road", "Church Close", "Orchard Way", "Park Avenue", "Bridge Street", "Oak Drive", "Harbour Row",
+        "King Street", "Meadow Court", "Victoria Road", "Elm Grove", "Chapel Hill", "Green Lane", "North Parade",
+    ],
 }
 CITIES = {
-    "fr": "Angers,Annecy,Arras,Auch,Bayonne,Béziers,Blois,Bourges,Caen,Chartres,Colmar,Dax,Dole,Épinal,Foix,Gap,Laval,Lorient,Mâcon,Nevers,Niort,Pau,Quimper,Rodez,Saumur,Tarbes,Troyes,Tulle,Valence,Vannes",
-    "en": "Bath,Bolton,Bristol,Derby,Dover,Durham,Exeter,Halifax,Hereford,Ipswich,Keswick,Lancaster,Lincoln,Luton,Norwich,Oxford,Penrith,Poole,Reading,Ripon,Salford,Stafford,Taunton,Torquay,Truro,Wells,Whitby,Wigan,Windsor,Woking",
+    "fr": [
+        "Angers", "Annecy", "Arras", "Auch", "Bayonne", "Béziers", "Blois", "Bourges", "Caen", "Chartres", "Colmar", "Dax", "Dole", "Épinal", "Foix",
+        "Gap", "Laval", "Lorient", "Mâcon", "Nevers", "Niort", "Pau", "Quimper", "Rodez", "Saumur", "Tarbes", "Troyes", "Tulle", "Valence", "Vannes",
+    ],
+    "en": [
+        "Bath", "Bolton", "Bristol", "Derby", "Dover", "Durham", "Exeter", "Halifax", "Hereford", "Ipswich", "Keswick", "Lancaster", "Lincoln",
+        "Luton", "Norwich", "Oxford", "Penrith", "Poole", "Reading", "Ripon", "Salford", "Stafford", "Taunton", "Torquay", "Truro", "Wells", "Whitby",
+        "Wigan", "Windsor", "Woking",
+    ],
+}
+DOMAINS = {
+    "fr": [
+        "exemple.fr", "courriel.example", "poste.example", "lettre.example",
+    ],
+    "en": [
+        "mail.example", "example.com", "post.example", "letters.example",
+    ],
 }
-DOMAINS = {"fr": "exemple.fr,courriel.example,poste.example,lettre.example", "en": "mail.example,example.com,post.example,letters.example"}
 
 
-def words(table: dict[str, str], locale: str) -> list[str]:
-    text = table.get(locale, table["en"])
-    return text.split(",") if "," in text else text.split()
+def words(table: dict[str, list[str]], locale: str) -> list[str]:
+    return table.get(locale, table["en"])
 
 
-def _pick(table: dict[str, str], locale: str, seed: Column) -> Column:
+def _pick(table: dict[str, list[str]], locale: str, seed: Column) -> Column:
     options = words(table, locale)
     return F.get(F.array(*map(F.lit, options)), F.pmod(seed, F.lit(len(options))).cast("int"))
 

@@ -146,8 +146,8 @@ class RuleSet:
     chunk_size: int = 10_000
 
     def of_table(self, table: str) -> dict[str, ColumnRule]:
-        """Rules by column; of several entries the last counts."""
-        return {r.column: r for r in self.rules if r.table == table}
+        """Rules by column; the table's name in any case; of several entries the last counts."""
+        return {r.column: r for r in self.rules if (r.table or "").lower() == table.lower()}
 
     def filters(self) -> dict[str, str | None]:
         return {t.table: (t.filter or "").strip() or None for t in self.extract}

@@ -36,6 +36,28 @@ class Classes:
         return out
 
 
+def resolved(rules: RuleSet, catalog: Catalog) -> RuleSet:
+    """The rules with the catalog's spelling of tables and columns: names may be written in any case. Unknown names stay as they are.
+
+    An exact match wins over one in another case; of several rules for one column the last counts.
+    """
+    tables = {t.lower(): t for t in reversed(list(catalog.tables))} | {t: t for t in catalog.tables}
+
+    def table(name: str) -> str:
+        return tables.get(name) or tables.get((name or "").lower(), name)
+
+    def column(of: str, name: str) -> str:
+        known = catalog.tables.get(table(of))
+        names = [c.name for c in known.columns] if known else []
+        return name if name in names else next((c for c in names if c.lower() == (name or "").lower()), name)
+
+    own = {}
+    for r in rules.rules:
+        own[(table(r.table), column(r.table, r.column))] = replace(r, table=table(r.table), column=column(r.table, r.column))
+    linked = tuple(replace(x, columns=tuple((table(t), column(t, c)) for t, c in x.columns)) for x in rules.linked)
+    return replace(rules, extract=tuple(replace(t, table=table(t.table)) for t in rules.extract), rules=tuple(own.values()), linked=linked)
+
+
 def _named(key: Key) -> str:
     return ".".join(key)
 
@@ -45,8 +67,9 @@ def propagate(rules: RuleSet, catalog: Catalog) -> RuleSet:
 
     FPE_ID, FPE_UUID and HASH spread to undeclared members, FAKE too if every pair of members that are not NULLIFY is linked.
     Refused: members with different strategies (or FAKE types; an explicit KEEP counts, NULLIFY opts out), and MASK
-    or NULLIFY on a referenced key unless the referencing column is NULLIFY.
+    or NULLIFY on a referenced key unless the referencing column is NULLIFY. Names may be in any case; the result has the catalog's.
     """
+    rules = resolved(rules, catalog)
     declared = {(r.table, r.column): r for r in rules.rules}
     for fk in catalog.foreign_keys():
         for a, b in zip(fk.from_columns, fk.to_columns):
