@@ -1,7 +1,8 @@
 """Subset extraction: filtered seeds, their children, and the parents that keep every reference whole.
 
-What moves between rounds are distinct key columns only. A table's rows are read once at the end, through one mark join for
-each reason a row may belong, so a row reached in several ways appears once even where the table has no key.
+What moves between rounds are distinct key columns only. A table's rows are read at the end: through a semi join where one set of keys
+says which belong, beside its filter if it has one, and through a mark for each reason where several references may, so a row
+reached in several ways appears once even where the table has no key.
 """
 
 from __future__ import annotations
@@ -14,7 +15,8 @@ from pyspark.sql import functions as F
 
 from lamina.model import Catalog, ChildScope, ForeignKey, RuleSet
 from lamina.operators.graph import topological
-from lamina.sources.scan import Source, semi, written
+from lamina.operators.rules import resolved
+from lamina.sources.scan import Source, discard, semi, written
 
 
 @dataclass
@@ -44,7 +46,9 @@ class Extraction:
 
     def __init__(self, source: Source, catalog: Catalog, rules: RuleSet, depth: int | None = None, scope: ChildScope = ChildScope.ALL, children: bool = True, parents: bool = True):
         self.source, self.catalog = source, catalog
+        rules = resolved(rules, catalog)
         self.depth, self.scope = rules.fk_depth if depth is None else depth, scope
+        self.scratch: list[str] = []
         self.reach: dict[str, Reach] = {t: Reach(True, f, origins=["direct"]) for t, f in rules.filters().items()}
         if children:
             self._children()
@@ -56,21 +60,25 @@ class Extraction:
     def rows(self, table: str) -> DataFrame:
         """Rows of the subset in one table, each once."""
         r, df = self.reach[table], self.source.frames[table]
-        columns = df.columns
-        marks = []
-        if r.keys is not None:
-            df = _marked(df, self.catalog.table(table).primary_key, r.keys, "_own")
-            marks.append("_own")
-        for i, (fk, keys) in enumerate(r.children_of):
-            df = _marked(df, fk.from_columns, keys, f"_fk{i}")
-            marks.append(f"_fk{i}")
         if r.seed and not r.filter:
-            return self.source.frames[table]
-        tests = [f"({r.filter})"] if r.seed else []
-        if r.seed and "select" in r.filter.lower():
-            self.source.register()
-        kept = df.where(" or ".join([*tests, *(f"{m} is not null" for m in marks)]))
-        return kept.select(*columns)
+            return df
+        reasons = [(self.catalog.table(table).primary_key, r.keys)] if r.keys is not None else []
+        reasons += [(fk.from_columns, keys) for fk, keys in r.children_of]
+        seeds = self.source.scan(table, r.filter) if r.seed else None
+        if not reasons:
+            return df.limit(0) if seeds is None else seeds
+        # rows that the filter keeps belong anyway: the keys are asked for the others only
+        others = df if seeds is None else self.source.scan(table, f"not coalesce(({r.filter}), false)")
+        if len(reasons) == 1:
+            found = semi(others, list(reasons[0][0]), reasons[0][1])
+        else:
+            taken = {c.lower() for c in df.columns}
+            names = [n for n in (f"_reason{i}" for i in range(len(reasons) + len(taken))) if n not in taken][: len(reasons)]
+            marked = others
+            for name, (columns, keys) in zip(names, reasons):
+                marked = _marked(marked, columns, keys, name)
+            found = marked.where(" or ".join(f"{n} is not null" for n in names)).select(*df.columns)
+        return found if seeds is None else seeds.union(found)
 
     def keys(self, table: str) -> DataFrame:
         return self.rows(table).select(*self.catalog.table(table).primary_key)
@@ -122,13 +130,10 @@ class Extraction:
         for level in range(self.depth):
             found: dict[str, list[DataFrame]] = {}
             for child, rows in edge.items():
-                for fk in self.catalog.table(child).foreign_keys:
-                    if fk.to_table not in self.source.frames:
-                        continue
-                    parent = self.catalog.table(fk.to_table)
-                    if not parent.primary_key:
-                        continue
-                    values = rows.select(*fk.from_columns).na.drop("any").distinct()
+                asked = [fk for fk in self.catalog.table(child).foreign_keys if fk.to_table in self.source.frames and self.catalog.table(fk.to_table).primary_key]
+                references = self._references(rows, sorted({fk.from_columns for fk in asked}))
+                for fk in asked:
+                    parent, values = self.catalog.table(fk.to_table), references[fk.from_columns]
                     if fk.to_columns == parent.primary_key:
                         keys = values.toDF(*parent.primary_key)
                     else:
@@ -142,6 +147,33 @@ class Extraction:
             if not edge:
                 break
 
+    def _references(self, rows: DataFrame, keys: list[tuple[str, ...]]) -> dict[tuple[str, ...], DataFrame]:
+        """Distinct whole values of each key of rows; several keys are taken in one pass over the rows, and written."""
+        if len(keys) < 2:
+            return {k: rows.select(*k).na.drop("any").distinct() for k in keys}
+        columns = list(dict.fromkeys(c for k in keys for c in k))
+        plain = rows.select(*(F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(columns)))
+        sets = [[plain[f"k{columns.index(c)}"] for c in k] for k in keys]
+        taken = plain.groupingSets(sets, *plain.columns).agg(F.grouping_id().alias("which"))
+        taken = self._written(taken.select("which", *plain.columns))
+        out = {}
+        for k in keys:
+            own = [columns.index(c) for c in k]
+            which = sum(1 << (len(columns) - 1 - i) for i in range(len(columns)) if i not in own)
+            out[k] = taken.where(F.col("which") == which).select(*(F.col(f"k{i}").alias(c) for i, c in zip(own, k))).na.drop("any")
+        return out
+
+    def _written(self, df: DataFrame) -> DataFrame:
+        table, path = written(df)
+        self.scratch.append(path)
+        return table
+
+    def release(self) -> None:
+        """Delete the key tables that were written; the extraction's frames can no longer be read."""
+        for path in self.scratch:
+            discard(self.source.spark, path)
+        self.scratch.clear()
+
     def _grown(self, found: dict[str, list[DataFrame]], seen: dict[str, DataFrame], level: int) -> dict[str, DataFrame]:
         """Add newly found keys to their tables; returns them as the next round's edge. Each round's keys are written once."""
         edge = {}
@@ -154,7 +186,7 @@ class Extraction:
             if t in seen:
                 new = semi(new, key, seen[t], "left_anti")
             if level + 1 < self.depth:
-                new = written(new)
+                new = self._written(new)
                 if new.isEmpty():
                     continue
             r.keys = new if r.keys is None else r.keys.union(new)
@@ -177,7 +209,7 @@ def hierarchy(df: DataFrame, key: str, parent: str, seeds: DataFrame, depth: int
         up = semi(links, ["_key"], edge.select("id")).select(F.col("_parent").alias("id")).distinct()
         edge = semi(up, ["id"], out.select("id"), "left_anti").withColumn("depth", F.lit(d))
         if d < depth:
-            edge = written(edge)
+            edge, _ = written(edge)
             if edge.isEmpty():
                 break
         out = out.union(edge)

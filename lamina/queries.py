@@ -22,7 +22,7 @@ from lamina.operators.pseudonymize import pseudonymized, used_strategies
 from lamina.operators.rules import propagate
 from lamina.plans.planner import compare, estimated_plan, exact_plan, table_counts
 from lamina.run import shared_values
-from lamina.sources.scan import Source, introspect, logical_type, written
+from lamina.sources.scan import Source, introspect, logical_type
 from lamina.sources.sinks import quarantine
 from lamina.streaming import pseudonymized_stream
 

@@ -11,15 +11,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lamina.config import check_filter
+from lamina.config import check_filter, check_identifier, parse_jdbc_url, quoted
 from lamina.model import Catalog, Column, ForeignKey, RuleError, Table
 
 _LOGICAL = {"string": "text", "long": "bigint", "integer": "integer", "short": "smallint", "byte": "smallint", "double": "double precision", "float": "real", "boolean": "boolean", "date": "date", "timestamp": "timestamptz", "timestamp_ntz": "timestamp", "binary": "bytea"}
 
 
+#: A database's estimate of the rows of its tables.
+STATISTICS = "SELECT c.relname AS name, CAST(c.reltuples AS BIGINT) AS n FROM pg_class c JOIN pg_namespace s ON s.oid = c.relnamespace WHERE c.relkind IN ('r', 'p') AND s.nspname = '{schema}'"
+
+
 class Source:
     """Tables of one schema: a folder of Parquet tables (name.parquet), any DataFrames, or a JDBC database."""
 
+    connection: tuple[dict, str] | None = None
+
     def __init__(self, spark: SparkSession, frames: dict[str, DataFrame]):
         self.spark, self.frames = spark, dict(sorted(frames.items()))
 
@@ -28,10 +34,26 @@ class Source:
         return cls(spark, {n: spark.read.parquet(f"{folder}/{n}.parquet") for n in names})
 
     @classmethod
-    def jdbc(cls, spark: SparkSession, url: str, schema: str, names: list[str], fetch_size: int = 1000, **options) -> Source:
-        """Filters and columns are pushed to the database; fetch_size is the cursor's."""
-        read = lambda n: spark.read.format("jdbc").options(url=url, dbtable=f"{schema}.{n}" if schema else n, fetchsize=str(fetch_size), **options).load()
-        return cls(spark, {n: read(n) for n in names})
+    def jdbc(cls, spark: SparkSession, url: str, schema: str, names: list[str], fetch_size: int = 1000, partition_by: dict[str, str] | None = None, partitions: int = 16, check_url: Callable = parse_jdbc_url, **options) -> Source:
+        """Filters and columns are pushed to the database; fetch_size is the cursor's. check_url refuses URLs, by default all but PostgreSQL's with allowed parameters.
+
+        A table in partition_by is read through `partitions` cursors, in ranges of that numeric column between its least and largest value (one query finds both); others through one.
+        """
+        check_url(url)
+        at = {"url": url, "fetchsize": str(fetch_size), **options}
+
+        def read(name: str) -> DataFrame:
+            table = f"{schema}.{name}" if schema else name
+            more = {}
+            if column := (partition_by or {}).get(name):
+                bounds = spark.read.format("jdbc").options(**at, query=f"SELECT min({quoted(column)}) AS low, max({quoted(column)}) AS high FROM {table}").load().first()
+                if bounds[0] is not None:
+                    more = {"partitionColumn": column, "lowerBound": str(bounds[0]), "upperBound": str(bounds[1]), "numPartitions": str(partitions)}
+            return spark.read.format("jdbc").options(**at, dbtable=table, **more).load()
+
+        made = cls(spark, {n: read(n) for n in names})
+        made.connection = (at, schema)
+        return made
 
     def register(self) -> None:
         """Temporary views by table name, for filters with sub-queries."""
@@ -71,8 +93,12 @@ class Source:
         return semi(self.frames[table], columns, keys)
 
     def row_counts(self) -> dict[str, int]:
-        """Rows of each table from file statistics (no column is read); -1 where that fails."""
+        """Rows of each table from statistics, or -1: a PostgreSQL database's own estimates (-1 where it never analysed a table), else file footers (no column is read)."""
         out = {}
+        if self.connection and self.connection[0]["url"].startswith("jdbc:postgresql:"):
+            at, schema = self.connection
+            known = {r[0]: r[1] for r in self.spark.read.format("jdbc").options(**at, query=STATISTICS.format(schema=check_identifier(schema or "public"))).load().collect()}
+            return {name: known.get(name, -1) for name in self.frames}
         for name, df in self.frames.items():
             try:
                 out[name] = max(0, df.select().count())
@@ -119,11 +145,17 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_lamina_scratch"
 
 
-def written(df: DataFrame) -> DataFrame:
-    """df as a table in the shared folder: cuts lineage and survives lost executors."""
+def written(df: DataFrame) -> tuple[DataFrame, str]:
+    """df as a table in the shared folder, and its path: cuts lineage and survives lost executors."""
     path = f"{shared_dir(df.sparkSession)}/lamina/keys-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a table that written() made."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def drop_binary(df: DataFrame) -> DataFrame:
