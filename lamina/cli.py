@@ -1,8 +1,9 @@
-"""Command line: plan, execute, dry-run, audit, diag."""
+"""Command line: plan, execute, dry-run, audit, diag, preflight."""
 
 from __future__ import annotations
 
 import argparse
+import json
 import os
 import sys
 from pathlib import Path
@@ -16,13 +17,20 @@ from lamina.model import ForeignKey, PlanMode, RuleError, RuleSet, Secrets
 from lamina.operators.detect import personal_columns, quasi_identifiers
 from lamina.operators.kanon import audit, parse_quasi_id, resolve_quasi_ids
 from lamina.plans.planner import insights
+from lamina.preflight import failed, lines, preflight
 from lamina.report import audit_json, audit_markdown, audit_text, plan_text, run_html, run_json, run_text
-from lamina.run import compiled, execute, planned
+from lamina.run import bounded, compiled, execute, planned
 from lamina.sources.scan import Source, fingerprint, introspect
-from lamina.sources.sinks import Checkpoint, make_sink, read_state, write_state
+from lamina.sources.sinks import Checkpoint, Tolerance, make_sink, read_state, write_state
 
-#: Exit codes: rules refused, anything else failed, audit policy violated, interrupted.
-REFUSED, FAILED, VIOLATED, INTERRUPTED = 2, 1, 8, 130
+#: Exit codes by the beginning of an error's code (the first that fits), and for an audit's policy, an interruption and anything else.
+EXITS = {"PLAN_MAX_TARGET_ROWS": 3, "CONNECTION": 2, "SCHEMA": 4, "CATALOG": 4, "WRITE": 5, "SINK": 5, "ANON": 6, "TIMEOUT": 7}
+REFUSED, VIOLATED, FAILED, INTERRUPTED = 1, 8, 127, 130
+
+
+def exit_code(error: RuleError) -> int:
+    """The code of an error's family; configuration, checkpoint and audit errors are the rest."""
+    return next((n for start, n in EXITS.items() if error.code.startswith(start)), REFUSED)
 
 
 def session(name: str = "lamina") -> SparkSession:
@@ -30,10 +38,22 @@ def session(name: str = "lamina") -> SparkSession:
     return SparkSession.builder.appName(name).config("spark.sql.adaptive.enabled", "true").config("spark.sql.redaction.string.regex", REDACTION).config("spark.sql.session.timeZone", "UTC").getOrCreate()
 
 
-def load_schema(spark: SparkSession, path: str, folder: str):
-    """Source and catalog from a YAML file: tables: {name: {key: [..], foreign: [{columns, table, to}], types: {column: type}}}."""
-    raw = yaml.safe_load(Path(path).read_text("utf-8"))["tables"]
-    source = Source.parquet(spark, folder, list(raw))
+def load_schema(spark: SparkSession, path: str, data: str, fetch_size: int = 1000, partitions: int = 16, **options):
+    """Source and catalog from a YAML file: tables: {name: {key: [..], foreign: [{columns, table, to}], types: {column: type}, split: column}}, schema: name.
+
+    data is a folder of Parquet tables or a JDBC URL; split names the numeric column by whose ranges a database table is read.
+    """
+    whole = yaml.safe_load(Path(path).read_text("utf-8"))
+    raw = whole["tables"]
+    if data.startswith("jdbc:"):
+        try:
+            source = Source.jdbc(spark, data, whole.get("schema") or "", list(raw), fetch_size, {n: t["split"] for n, t in raw.items() if (t or {}).get("split")}, partitions, **options)
+        except RuleError:
+            raise
+        except Exception as e:  # a driver or a database that is not there
+            raise RuleError("CONNECTION_SOURCE_FAILED", str(e).splitlines()[0]) from e
+    else:
+        source = Source.parquet(spark, data, list(raw))
     foreign = [ForeignKey(n, tuple(f["columns"]), f["table"], tuple(f["to"])) for n, t in raw.items() for f in (t or {}).get("foreign", [])]
     types = {(n, c): k for n, t in raw.items() for c, k in ((t or {}).get("types") or {}).items()}
     return source, introspect(source, {n: (t or {}).get("key", []) for n, t in raw.items()}, foreign, types)
@@ -41,12 +61,20 @@ def load_schema(spark: SparkSession, path: str, folder: str):
 
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="lamina")
-    p.add_argument("command", choices=["plan", "execute", "dry-run", "audit", "diag"])
+    p.add_argument("command", choices=["plan", "execute", "dry-run", "audit", "diag", "preflight"])
     p.add_argument("--schema", required=True, help="YAML file of tables and keys")
-    p.add_argument("--data", required=True, help="folder of name.parquet tables")
+    p.add_argument("--data", required=True, help="folder of name.parquet tables, or a JDBC URL")
     p.add_argument("--config", help="YAML rule file")
     p.add_argument("--mode", choices=["EXACT", "ESTIMATE"], default="EXACT")
-    p.add_argument("--sink", choices=["PARQUET", "DUMP", "NULL"], default="PARQUET")
+    p.add_argument("--sink", choices=["PARQUET", "DUMP", "JDBC", "NULL"], default="PARQUET")
+    p.add_argument("--target-url", help="JDBC URL to write to")
+    p.add_argument("--target-schema", default="")
+    p.add_argument("--partitions", type=int, default=16, help="cursors on a split database table")
+    p.add_argument("--max-error-rate", type=float, help="share of refused rows that a run stands; unset: rows are not checked")
+    p.add_argument("--rejects", help="folder for refused rows below the working directory")
+    p.add_argument("--max-entries", type=int, default=0, help="distinct values behind FAKE rules; 0: no limit")
+    p.add_argument("--timeout", type=float, help="seconds for the run")
+    p.add_argument("--table-timeout", type=float, help="seconds for one table")
     p.add_argument("--out", help="folder or dump file below the working directory")
     p.add_argument("--compression", default="GZIP")
     p.add_argument("--max-rows", type=int, default=0)
@@ -67,8 +95,9 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     try:
         return _run(a, spark or session())
     except RuleError as e:
-        print(e, file=sys.stderr)
-        return REFUSED
+        code = exit_code(e)
+        print(json.dumps({"error": {"code": e.code, "message": str(e)}, "exitCode": code}) if a.format == "json" else e, file=sys.stderr)
+        return code
     except KeyboardInterrupt:
         return INTERRUPTED
     except Exception as e:
@@ -77,8 +106,25 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
 
 
 def _run(a: argparse.Namespace, spark: SparkSession) -> int:
-    source, catalog = load_schema(spark, a.schema, a.data)
+    with bounded(spark, a.timeout, "TIMEOUT_RUN", "the run"):
+        return _command(a, spark)
+
+
+def _target(a: argparse.Namespace) -> dict:
+    """The sink's options from the arguments."""
+    if a.command == "dry-run" or a.sink == "NULL":
+        return {}
+    if a.sink == "JDBC":
+        if not a.target_url:
+            raise RuleError("CONFIG_SINK_URL", "a JDBC sink needs --target-url")
+        return {"url": a.target_url, "schema": a.target_schema}
+    out = str(check_output_path(a.out, "out"))
+    return {"path": out, "compression": a.compression} if a.sink == "DUMP" else {"folder": out}
+
+
+def _command(a: argparse.Namespace, spark: SparkSession) -> int:
     rules = load_rules(a.config) if a.config else RuleSet()
+    source, catalog = load_schema(spark, a.schema, a.data, rules.fetch_size, a.partitions)
     if a.command == "diag":
         counts = source.row_counts()
         print("\n".join(f"{t}: {counts[t]} rows, key {','.join(catalog.table(t).primary_key) or 'none'}" for t in catalog.tables))
@@ -93,6 +139,10 @@ def _run(a: argparse.Namespace, spark: SparkSession) -> int:
         print({"text": audit_text, "json": audit_json, "markdown": audit_markdown}[a.format](report))
         return report.exit_code
     secrets = Secrets(os.environ.get("LAMINA_HMAC_SECRET", ""), os.environ.get("LAMINA_FPE_KEY", ""), locale=os.environ.get("LAMINA_LOCALE", "en"))
+    if a.command == "preflight":
+        found = preflight(source, catalog, rules, secrets, a.strict, a.max_error_rate or 0.0, lambda: str(_target(a).keys()) if a.out or a.target_url else None)
+        print("\n".join(lines(found)))
+        return REFUSED if failed(found) else 0
     rules, notes = compiled(rules, catalog, secrets, a.strict)
     personal, quasi = personal_columns(catalog, rules), quasi_identifiers(catalog, rules)
     plan = planned(source, catalog, rules, PlanMode[a.mode], a.max_rows)
@@ -101,10 +151,10 @@ def _run(a: argparse.Namespace, spark: SparkSession) -> int:
     if a.command == "plan":
         print(run_json(plan) if a.format == "json" else plan_text(plan))
         return 0
-    out = {} if a.command == "dry-run" or a.sink == "NULL" else {"path": str(check_output_path(a.out, "out")), "compression": a.compression} if a.sink == "DUMP" else {"folder": str(check_output_path(a.out, "out"))}
-    sink = make_sink("NULL" if a.command == "dry-run" else a.sink, **out)
+    sink = make_sink("NULL" if a.command == "dry-run" else a.sink, **_target(a))
+    tolerance = None if a.max_error_rate is None else Tolerance(a.max_error_rate, str(check_output_path(a.rejects, "rejects")) if a.rejects else None)
     checkpoint = Checkpoint(a.checkpoint, Path(a.config).read_text("utf-8"), a.resume) if a.checkpoint else None
-    outcome = execute(source, catalog, rules, secrets, sink, plan, checkpoint)
+    outcome = execute(source, catalog, rules, secrets, sink, plan, checkpoint, tolerance=tolerance, most_entries=a.max_entries, table_seconds=a.table_timeout)
     found = insights(plan, outcome, catalog, len(personal))
     if a.state and a.command == "execute":
         write_state(a.state, list(outcome.strategies))

@@ -173,7 +173,7 @@ def insights(plan: Plan, outcome: Outcome, catalog: Catalog | None = None, perso
         if t.conflicts:
             found.append(Insight("WARN", t.table, f"{t.conflicts} rows were in the target already"))
         if t.batch_errors:
-            found.append(Insight("ERROR", t.table, f"{t.batch_errors} batches failed"))
+            found.append(Insight("ERROR", t.table, f"{t.batch_errors} rows refused"))
     found.append(Insight("OK", "all", f"{exact} of {len(outcome.tables)} tables as planned"))
     if outcome.total("fk_parents"):
         found.append(Insight("OK", "all", f"{outcome.total('fk_parents')} parent rows came by foreign keys"))
@@ -184,7 +184,7 @@ def insights(plan: Plan, outcome: Outcome, catalog: Catalog | None = None, perso
     if not outcome.total("conflicts"):
         found.append(Insight("OK", "all", "no conflicts"))
     if not outcome.total("batch_errors"):
-        found.append(Insight("OK", "all", "no failed batches"))
+        found.append(Insight("OK", "all", "no refused rows"))
     if personal:
         found.append(Insight("WARN", "all", f"{personal} columns look personal and have no rule"))
     return found

@@ -7,14 +7,17 @@ import gzip
 import hashlib
 import json
 import os
-from collections.abc import Iterator
+import uuid
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from dataclasses import dataclass
+from functools import reduce
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lamina.config import check_compression, quoted
+from lamina.config import check_compression, parse_jdbc_url, quoted
 from lamina.functions.text import copy_rows
 from lamina.model import Catalog, RuleError, Table
 from lamina.sources.scan import drop_binary, semi
@@ -65,15 +68,49 @@ class ParquetSink(Sink):
         return _observed(df, save), 0
 
 
+def staged_insert(schema: str, table: str, staging: str, columns: list[str]) -> str:
+    """One statement that moves staged rows into their table and leaves out those that any unique key of it refuses."""
+    names = ", ".join(map(quoted, columns))
+    return f"INSERT INTO {quoted(schema, table)} ({names}) SELECT {names} FROM {quoted(schema, staging)} ON CONFLICT DO NOTHING"
+
+
 class JdbcSink(Sink):
-    """Appends in batches; rows whose primary key the target has, or that repeat one, count as conflicts and are left out."""
+    """Appends in batches; rows whose primary key the target has, or that repeat one, count as conflicts and are left out.
+
+    On PostgreSQL executors append to a staging table and one statement moves its rows, so other writers do no harm and any
+    unique key counts; elsewhere keys the target has are read first. check_url refuses URLs, by default all but PostgreSQL's with allowed parameters.
+    """
 
-    def __init__(self, url: str, schema: str = "", batch_size: int = 1000, **options):
+    def __init__(self, url: str, schema: str = "", batch_size: int = 1000, check_url: Callable = parse_jdbc_url, **options):
+        check_url(url)
         self.options = {"url": url, "batchsize": str(batch_size), **options}
-        self.prefix = f"{schema}." if schema else ""
+        self.schema, self.prefix = schema, f"{schema}." if schema else ""
+
+    def _staged(self, table: str, df: DataFrame) -> tuple[int, int]:
+        schema, staging = self.schema or "public", f"staging_{uuid.uuid4().hex[:16]}"
+        at = self.options | {"dbtable": f"{schema}.{staging}"}
+        spark = df.sparkSession
+        properties = spark._jvm.java.util.Properties()
+        for name, value in self.options.items():
+            if name not in ("url", "batchsize", "driver"):
+                properties.setProperty(name, value)
+        connection = spark._jvm.java.sql.DriverManager.getConnection(self.options["url"], properties)
+        try:
+            statement = connection.createStatement()
+            statement.executeUpdate(f"CREATE UNLOGGED TABLE {quoted(schema, staging)} AS TABLE {quoted(schema, table)} WITH NO DATA")
+            try:
+                total = _observed(df, lambda d: d.write.format("jdbc").options(**at).mode("append").save())
+                inserted = statement.executeLargeUpdate(staged_insert(schema, table, staging, df.columns))
+            finally:
+                statement.executeUpdate(f"DROP TABLE {quoted(schema, staging)}")
+        finally:
+            connection.close()
+        return inserted, total - inserted
 
     def write(self, table: str, df: DataFrame) -> tuple[int, int]:
         key = list(self._opened().table(table).primary_key)
+        if self.options["url"].startswith("jdbc:postgresql:"):
+            return self._staged(table, df)
         at = self.options | {"dbtable": self.prefix + table}
         total, fresh = None, df
         if key:
@@ -166,6 +203,37 @@ def quarantine(df: DataFrame, valid: Column, most_rate: float = 0.0) -> tuple[Da
     return df.where(good), df.where(~good)
 
 
+@dataclass(frozen=True)
+class Tolerance:
+    """How a run deals with rows that its checks refuse: the share of them that it stands, and where they are kept (nowhere: they are counted only)."""
+
+    most_rate: float = 0.0
+    rejects: str | None = None
+    check: Callable[[Table], Column | None] = lambda table: required(table)
+
+
+def required(table: Table) -> Column | None:
+    """Keys and columns that may not be null are set."""
+    names = dict.fromkeys([*table.primary_key, *(c.name for c in table.columns if not c.nullable)])
+    tests = [F.col(f"`{n}`").isNotNull() for n in names]
+    return reduce(Column.__and__, tests) if tests else None
+
+
+def tolerant_write(sink: Sink, table: Table, df: DataFrame, tolerance: Tolerance) -> tuple[int, int, int]:
+    """Write the rows that pass their check: (inserted, conflicts, refused). Refused ones are counted first, on the checked columns alone.
+
+    Fails before anything is written if their share exceeds the tolerance (an equal share passes); a null check refuses.
+    """
+    valid = tolerance.check(table)
+    if valid is None:
+        return *sink.write(table.name, df), 0
+    good, bad = quarantine(df, valid, tolerance.most_rate)
+    refused = bad.count()
+    if refused and tolerance.rejects:
+        bad.write.mode("overwrite").parquet(f"{tolerance.rejects}/{table.name}.parquet")
+    return *sink.write(table.name, good), refused
+
+
 # --- files beside a run --------------------------------------------------------------------------
 
 

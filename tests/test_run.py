@@ -3,6 +3,7 @@
 import gzip
 import json
 import time
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,10 +11,12 @@ from pyspark.sql import functions as F
 from lamina import cli, report
 from lamina import queries as q
 from lamina.model import ColumnRule, ExtractTable, PlanMode, RuleError, RuleSet, Strategy
+from lamina.operators.detect import personal_columns
 from lamina.operators.extract import Extraction
-from lamina.run import compiled, execute, planned
+from lamina.operators.rules import propagate, resolved
+from lamina.run import bounded, compiled, execute, planned
 from lamina.sources.scan import Source, introspect
-from lamina.sources.sinks import Checkpoint, DumpSink, JdbcSink, NoSink, ParquetSink, config_hash, ddl, dump_parts, make_sink, quarantine, read_state, write_state
+from lamina.sources.sinks import Checkpoint, DumpSink, JdbcSink, NoSink, ParquetSink, Tolerance, config_hash, ddl, dump_parts, make_sink, quarantine, read_state, staged_insert, write_state
 from lamina.streaming import pseudonymized_stream, windowed_counts
 
 RULES = RuleSet(extract=(ExtractTable("orders", "o_totalprice > 480000"),), rules=(ColumnRule("customer", "c_custkey", Strategy.FPE_ID), ColumnRule("customer", "c_name", Strategy.HASH), ColumnRule("orders", "o_orderpriority", Strategy.MASK)), fk_depth=3)
@@ -86,11 +89,22 @@ def test_jdbc_ignores_conflicts(spark, tmp_path):
     cat = introspect(Source(spark, {"t": df}), {"t": ["id"]}, [])
     driver = {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
     df.where("id = 1").write.format("jdbc").options(url=url, dbtable="t", **driver).save()
+    with pytest.raises(RuleError, match="CONFIG_JDBC_URL_INVALID"):
+        JdbcSink(url, **driver)
+    with pytest.raises(RuleError, match="CONFIG_JDBC_URL_REJECTED_PARAM"):
+        Source.jdbc(spark, "jdbc:postgresql://h/d?socketFactory=x", "", ["t"])
+    driver["check_url"] = lambda url: None
     sink = JdbcSink(url, **driver)
     sink.open(cat)
     assert sink.write("t", df) == (1, 2)
     assert sink.write("t", df) == (0, 3)
     assert Source.jdbc(spark, url, "", ["t"], **driver).scan("t", "id > 1").count() == 1
+    many = spark.range(1000).selectExpr("cast(id as int) id", "cast(id % 7 as string) v")
+    many.write.format("jdbc").options(url=url, dbtable="big", driver=driver["driver"]).save()
+    split = Source.jdbc(spark, url, "", ["big", "t"], partition_by={"big": "id"}, partitions=5, **driver)
+    assert split.frames["big"].rdd.getNumPartitions() == 5 and split.frames["t"].rdd.getNumPartitions() == 1
+    assert split.frames["big"].count() == 1000 and split.row_counts() == {"big": 1000, "t": 2}
+    assert staged_insert("public", "t", "s", ["id", "v"]) == 'INSERT INTO "public"."t" ("id", "v") SELECT "id", "v" FROM "public"."s" ON CONFLICT DO NOTHING'
 
 
 def test_checkpoint_resumes(star, tmp_path):
@@ -171,7 +185,19 @@ def test_command_line(spark, sf_dir, tmp_path, monkeypatch, capsys):
     assert run["totals"]["rows"] == plan["total"] and (tmp_path / "r.html").exists() and ("customer", "c_name") in read_state("s.json")
     assert cli.main(["dry-run", *base], spark) == 0 and cli.main(["plan", *base, "--mode", "ESTIMATE"], spark) == 0
     assert cli.main(["execute", *base, "--out", "d.sql", "--sink", "DUMP", "--compression", "NONE"], spark) == 0 and "COPY" in (tmp_path / "d.sql").read_text()
-    assert cli.main(["plan", *base, "--max-rows", "1"], spark) == cli.REFUSED
+    assert cli.main(["plan", *base, "--max-rows", "1"], spark) == 3
+    assert cli.main(["preflight", *base, "--out", "o"], spark) == 0 and "OK   names and types" in capsys.readouterr().out
+    (tmp_path / "bad.yaml").write_text(CONFIG.replace("c_name", "c_nam"))
+    assert cli.main(["preflight", *base[:4], "--config", "bad.yaml"], spark) == cli.REFUSED and "SKIP propagation" in capsys.readouterr().out
+    (tmp_path / "upper.yaml").write_text(CONFIG.replace("c_name", "C_NAME").replace("table: customer", "table: CUSTOMER"))
+    assert cli.main(["execute", *base[:4], "--config", "upper.yaml", "--out", "u", "--max-error-rate", "0"], spark) == 0
+    names = spark.read.parquet(f"{tmp_path}/u/customer.parquet").select("c_name")
+    assert names.count() and names.where("c_name like 'Customer%'").isEmpty()
+    assert cli.main(["execute", *base, "--out", "o", "--max-entries", "1"], spark) == 6
+    assert cli.main(["execute", *base, "--sink", "JDBC"], spark) == cli.REFUSED
+    assert cli.main(["execute", *base, "--sink", "JDBC", "--target-url", "jdbc:mysql://h/d"], spark) == cli.REFUSED
+    assert cli.main(["plan", *base[:2], "--data", "jdbc:postgresql://127.0.0.1:1/none", *base[4:]], spark) == 2
+    assert cli.main(["execute", *base, "--out", "o", "--timeout", "0.05", "--format", "json"], spark) == 7 and '"exitCode": 7' in capsys.readouterr().err
     assert cli.main(["execute", *base, "--out", "../x"], spark) == cli.REFUSED
     audit = ["audit", "--schema", "schema.yaml", "--data", sf_dir]
     for form in ("text", "json", "markdown"):
@@ -186,3 +212,54 @@ def test_estimate_counts_whole_tables(star):
     src, cat, rules = star
     plan = planned(src, cat, rules, PlanMode.ESTIMATE)
     assert plan.total >= planned(src, cat, rules).total and Extraction(src, cat, rules).tables()[0] == "part" or plan.notes
+
+
+def test_refused_rows_are_counted_and_kept(spark, tmp_path):
+    df = spark.createDataFrame([(i, None if i % 4 == 0 else f"v{i}") for i in range(1, 21)], "id long, v string")
+    src = Source(spark, {"t": df})
+    cat = introspect(src, {"t": ["id"]}, [])
+    table = cat.table("t")
+    cat.tables["t"] = replace(table, columns=tuple(replace(c, nullable=c.name == "id") for c in table.columns))
+    rules = RuleSet(extract=(ExtractTable("t"),), rules=(ColumnRule("t", "v", Strategy.HASH),))
+    out = execute(src, cat, rules, q.SECRETS, ParquetSink(str(tmp_path / "o")), tolerance=Tolerance(0.25, str(tmp_path / "r")))
+    assert (out.tables[0].inserted, out.tables[0].batch_errors, out.tables[0].rows) == (15, 5, 20) and out.warnings
+    assert spark.read.parquet(f"{tmp_path}/r/t.parquet").count() == 5 and spark.read.parquet(f"{tmp_path}/o/t.parquet").where("v is null").isEmpty()
+    with pytest.raises(RuleError, match="WRITE_BATCH_ERROR_RATE"):
+        execute(src, cat, rules, q.SECRETS, NoSink(), tolerance=Tolerance(0.2))
+    with pytest.raises(RuleError, match="GUARDRAIL"):
+        execute(src, cat, rules, q.SECRETS, NoSink(), tolerance=Tolerance(2))
+
+
+def test_a_run_removes_its_key_tables(spark, star):
+    import os
+
+    src, cat, rules = star
+    from lamina.sources.scan import shared_dir
+
+    folder = f"{shared_dir(spark).removeprefix('file:')}/lamina"
+    before = set(os.listdir(folder)) if os.path.isdir(folder) else set()
+    execute(src, cat, rules, q.SECRETS, NoSink())
+    assert set(os.listdir(folder)) == before
+
+
+def test_timeout_cancels(spark):
+    slow = spark.range(0, 10**12, 1, 8).selectExpr("sum(length(sha2(cast(id as string), 512)))")
+    began = time.monotonic()
+    with pytest.raises(RuleError, match="TIMEOUT_TABLE"), bounded(spark, 2, "TIMEOUT_TABLE", "t"):
+        slow.collect()
+    assert time.monotonic() - began < 60
+    with bounded(spark, 100, "TIMEOUT_TABLE", "t"):
+        assert spark.range(3).count() == 3
+
+
+def test_names_in_any_case(spark, sf_dir):
+    src = q.source(spark, sf_dir, *q.STAR)
+    cat = q.catalog(src)
+    given = RuleSet(extract=(ExtractTable("ORDERS", "o_totalprice > 480000"),), rules=(ColumnRule("CUSTOMER", "C_NAME", Strategy.HASH), ColumnRule("Customer", "c_CUSTKEY", Strategy.FPE_ID), ColumnRule("x", "Y", Strategy.KEEP)))
+    rules = resolved(given, cat)
+    assert [(r.table, r.column) for r in rules.rules] == [("customer", "c_name"), ("customer", "c_custkey"), ("x", "Y")]
+    assert ("orders", "o_custkey") in {(r.table, r.column) for r in propagate(given, cat).rules}
+    assert "c_name" not in {f.column for f in personal_columns(cat, given)}
+    assert Extraction(src, cat, given).rows("orders").count() == Extraction(src, cat, rules).rows("orders").count() > 0
+    with pytest.raises(RuleError, match="CONFIG_UNKNOWN_TABLE"):
+        compiled(given, cat, q.SECRETS)
