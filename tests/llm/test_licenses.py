@@ -44,4 +44,29 @@ def test_empty(spark):
 def test_bands_guarantee_retrieval(g):
     for t in g.templates:
         j = t.needed / (g.window + len(t.shingles) - t.needed)
-        assert (1 - j) ** g.bands <= licenses.MISS and len(t.shingles) + g.stride - 1 <= g.window
+        assert (1 - j**g.rows) ** g.bands <= licenses.MISS and len(t.shingles) + g.stride - 1 <= g.window
+
+
+def test_full_texts_use_bands_of_two_rows():
+    geometries = licenses.compile_templates(licenses.TEMPLATES)
+    wide = [g for g in geometries if g.rows == 2]
+    assert {t.name for g in wide for t in g.templates} >= {"MIT", "ISC", "BSD-2-Clause", "Zlib", "Unlicense", "Apache-2.0", "GPL-3.0-or-later"}
+    assert all(g.bands > 5 and g.window > 15 for g in wide)
+
+
+def test_key_words_cover_every_pivot():
+    geometries = licenses.compile_templates(licenses.TEMPLATES)
+    words = licenses.key_words(geometries)
+    assert len(words) < 30 and all(any(w in p for w in words) for g in geometries for t in g.templates for p in t.pivots)
+    assert all(len(set(t.pivots)) == len(t.shingles) - t.needed + 1 and set(t.pivots) <= set(t.shingles) for g in geometries for t in g.templates)
+
+
+def test_query_against_sql(spark, sf_dir):
+    import duckdb
+
+    from lamina.llm.queries import op7_licenses
+
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf_dir}/documents.parquet'")
+    assert sorted(map(tuple, op7_licenses(spark, sf_dir).collect())) == sorted(db.execute(licenses.oracle()).fetchall())
+    assert "Python" not in op7_licenses(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
