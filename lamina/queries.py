@@ -549,8 +549,12 @@ def pseudonymized_subset(spark, sf_dir):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    import lamina.small_queries  # noqa: F401 (registers its own)
+
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    import lamina.small_queries  # noqa: F401
+
     return dict(ORACLES)
