@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import re
 import uuid
 from collections.abc import Iterator
 
@@ -17,8 +18,10 @@ SLICE_BYTES = 1 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or (unset, as in tests) one in the warehouse."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or (unset, in a local session as in tests) one in the warehouse; on a cluster it must be set."""
     set_dir = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not set_dir and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     return set_dir or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_lamina_scratch"
 
 
@@ -78,7 +81,10 @@ BATCH_ROWS = 2000
 
 
 def lean_batches(spark: SparkSession) -> None:
-    """Let Arrow batches hold few rows, as the session's default suits short rows and would buffer tens of MB of text."""
+    """Let Arrow batches hold few rows, as the session's default suits short rows and would buffer tens of MB of text.
+
+    Plans are run after the call that makes them has returned, so the setting stays for the session; a smaller one is kept.
+    """
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(name)) > BATCH_ROWS:
         spark.conf.set(name, str(BATCH_ROWS))

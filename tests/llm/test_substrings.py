@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pytest
 
-from lamina.llm import substrings
+from lamina.llm import common, substrings
 
 
 def brute(rows):
@@ -36,7 +36,7 @@ def run(spark, rows):
 
 @pytest.mark.parametrize("block", [4 << 20, 600])
 def test_against_brute_force(spark, monkeypatch, block):
-    monkeypatch.setattr(substrings, "BLOCK", block)
+    monkeypatch.setattr(common, "BLOCK_BYTES", block)
     monkeypatch.setattr(substrings, "STEP", 97)
     rng = random.Random(6)
     text = lambda n: "".join(rng.choices("ab é\n", k=n))
