@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from dataclasses import asdict, dataclass, field
+from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lamina.config import closest
@@ -50,8 +51,11 @@ def singleton_sample(sizes: DataFrame, columns: list[str], n: int = SAMPLE) -> D
 
 
 def suppressed(df: DataFrame, columns: list[str], k: int) -> DataFrame:
-    """Rows whose class has at least k members (an extension for publishing)."""
-    return df.withColumn("_k", F.count("*").over(Window.partitionBy(*columns))).where(F.col("_k") >= k).drop("_k")
+    """Rows whose class has at least k members (an extension for publishing): classes are counted by aggregation, so a large one is no single task."""
+    names = [f"_class{i}" for i in range(len(columns))]
+    large = classes(df, columns).where(F.col("k") >= k).select(*columns).toDF(*names)
+    same = reduce(Column.__and__, [df[c].eqNullSafe(large[n]) for c, n in zip(columns, names)])
+    return df.join(large, same, "left_semi")
 
 
 def recommendation(table: str, columns: list[str], d: dict) -> tuple[str, str]:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 import uuid
 from collections.abc import Callable
 
@@ -141,8 +142,11 @@ def fingerprint(catalog: Catalog) -> str:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or (unset, as in tests) one in the warehouse."""
-    return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_lamina_scratch"
+    """The folder that driver and executors share: spark.checkpoint.dir, or (unset, in a local session as in tests) one in the warehouse; on a cluster it must be set."""
+    set_dir = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not set_dir and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise RuleError("CONFIG_CHECKPOINT_DIR", "spark.checkpoint.dir must name a folder that driver and executors share")
+    return set_dir or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_lamina_scratch"
 
 
 def written(df: DataFrame) -> tuple[DataFrame, str]:
