@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lamina.llm import decontaminate, jaccard, language, personal, pieces, queries
-from lamina.llm.common import ScratchScope, lean_batches, written
+from lamina.llm.common import ScratchScope, discard, lean_batches, written
 
 #: No SQL for run(): language scores, edit matching and SentencePiece ids have none. Tested against a plain version instead.
 ORACLE_SQL = None
@@ -104,8 +104,10 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written and read again."""
+    """All stages over documents, each written and read again; a stage's output goes once the next one's is written, and the last one's stays."""
     docs = queries.table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
-        docs = written(stage(spark, docs, sf_dir), f"stage{k}", scratch=False)
+        before, docs = docs, written(stage(spark, docs, sf_dir), f"stage{k}")
+        if k:
+            discard(before)
     return docs
