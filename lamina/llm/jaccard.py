@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lamina.llm.common import by_part, codec, discard, lean, mix64, packed_blocks, salted, text_slices, unpacked_block, word_hashes, written
+from lamina.llm.common import SLICE_BYTES, by_part, codec, discard, lean, mix64, packed_blocks, salted, text_slices, unpacked_block, word_hashes, written
 from lamina.llm.graph import components
 
 WIDTH, PERCENT = 4, 85
@@ -100,8 +100,15 @@ def _keys(grams: np.ndarray, ranges: int) -> np.ndarray:
 def _block_grams(row: dict, loose, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """N-grams of a block's texts in order, the offsets of the texts in them, and the ids."""
     data, ends, ids = unpacked_block(row, loose)
-    texts = pa.LargeStringArray.from_buffers(len(ids), pa.py_buffer(ends), pa.py_buffer(data))
-    return *shingles(texts, width), ids
+    grams, until, start = [np.zeros(0, np.uint64)], [np.zeros(1, np.int64)], 0
+    while start < len(ids):  # about SLICE_BYTES of text at once: hashing takes many times its size
+        stop = max(start + 1, int(np.searchsorted(ends, ends[start] + SLICE_BYTES, "right")) - 1)
+        texts = pa.LargeStringArray.from_buffers(stop - start, pa.py_buffer(ends[start : stop + 1] - ends[start]), pa.py_buffer(data[ends[start] : ends[stop]]))
+        h, at = shingles(texts, width)
+        grams.append(h)
+        until.append(at[1:] + until[-1][-1])
+        start = stop
+    return np.concatenate(grams), np.concatenate(until), ids
 
 
 def _offers(blocks: DataFrame, width: int, ranges: int) -> DataFrame:

@@ -102,3 +102,15 @@ def test_blocks_of_items_and_short_items(spark, monkeypatch):
     by = {r[0] for r in one if r[1] == 30}
     assert by == {101, 104, None, 105} and sum(r[0] == 104 and r[1] == 30 for r in one) == 2
     assert {r[0] for r in stay} >= {100, 102, 103} and all(r[3] == "k" for r in stay)
+
+
+def test_query(spark, sf_dir):
+    from lamina.llm.queries import op1_decontaminate
+
+    items = {r.item_id: d.normal(r.text) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()}
+    docs = {r.doc_id: d.normal(r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()}
+    got = {(r.doc_id, r.item_id): r for r in op1_decontaminate(spark, sf_dir).collect()}
+    whole = {(i, n) for i, t in docs.items() for n, x in items.items() if x and f" {x} " in f" {t} "}
+    assert whole and whole <= {k for k, r in got.items() if r.distance == 0}
+    for (i, n), r in got.items():
+        assert distance_in(items[n], docs[i][r.start : r.stop]) == r.distance <= d.budget(len(items[n]))

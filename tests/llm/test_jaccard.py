@@ -61,6 +61,7 @@ def test_against_brute_force(spark, monkeypatch, small, block, local, ids, range
     monkeypatch.setattr(jaccard, "BROADCAST_IDS", ids)
     monkeypatch.setattr(jaccard, "BLOCK", block)
     monkeypatch.setattr(jaccard, "RANGE_BYTES", range_bytes)
+    monkeypatch.setattr(jaccard, "SLICE_BYTES", min(range_bytes, 400))
     rows = rows_of(5, [1, 1, 2, 3, 5, 40, 8])
     assert run(spark, rows) == brute(rows)
 
@@ -167,3 +168,11 @@ def test_few_words_for_the_width(width):
         h, ends = jaccard.shingles(pa.array(texts, pa.large_string()), width)
         counts = [len(t.split()) for t in texts]
         assert (ends[1:] - ends[:-1]).tolist() == [n - width + 1 if n >= width else min(n, 1) for n in counts] and len(h) == ends[-1]
+
+
+def test_query(spark, sf_dir):
+    from lamina.llm.queries import op8_jaccard
+
+    rows = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()]
+    got = op8_jaccard(spark, sf_dir)
+    assert got.columns == ["doc_id", "n_shingles", "component_id"] and {r[0]: (r[1], r[2]) for r in got.collect()} == brute(rows)

@@ -1,9 +1,11 @@
+import hashlib
 import random
 
 import numpy as np
 import pytest
 
 from lamina.llm import common, substrings
+from lamina.llm.queries import op6_substrings
 
 
 def brute(rows):
@@ -48,8 +50,10 @@ def test_against_brute_force(spark, monkeypatch, block):
 
 def test_whole_table_against_brute_force(spark, sf_dir):
     rows = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()]
-    got = run(spark, rows)
-    assert got == brute(rows) and any(spans for _, _, spans, _ in got)
+    got, want = run(spark, rows), brute(rows)
+    assert got == want and any(spans for _, _, spans, _ in got)
+    query = op6_substrings(spark, sf_dir).collect()
+    assert sorted(map(tuple, query)) == sorted((i, n, n - len(kept), len(spans), hashlib.sha256(kept).hexdigest()) for i, n, spans, kept in want)
 
 
 def test_equal_windows_share_a_cover_position():
