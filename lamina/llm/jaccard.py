@@ -28,6 +28,8 @@ BLOCK, BLOCK_GRAMS = 512, 2_000_000
 LOCAL_GRAMS, PLACE_GRAMS = 4_000_000, 200_000
 #: Wanted ids (a few bytes each) that are broadcast; more are joined by a shuffle of the texts that pass the bit filter.
 BROADCAST_IDS = 200_000
+#: Classes of equal sets that hold more than one row in so many have their labels broadcast.
+LARGE = 1000
 #: Bits of the filter that keeps most unwanted texts out of a shuffle (a fixed 4 MB), and rows it travels in.
 FILTER_BITS, PARTS = 1 << 25, 64
 
@@ -453,7 +455,7 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     profiles = written(_profiles(blocks.join(marks, "block", "left"), width, percent, ranges), "profiles")
     discard(blocks)
     keys = ["n", "s1", "s2"]
-    classes = profiles.where("n > 0").groupBy(*keys).agg(F.min("id").alias("rep"), *(F.first(c).alias(c) for c in ("first", "lead", "hot")))
+    classes = profiles.where("n > 0").groupBy(*keys).agg(F.min("id").alias("rep"), F.count("*").alias("copies"), *(F.first(c).alias(c) for c in ("first", "lead", "hot")))
     held = written(_holders(classes.where("rep is not null")), "tokens")
     small = held.where(F.col("holders") <= SMALL).groupBy("token").agg(F.array_sort(F.collect_list(F.struct("n", "id", "leads"))).alias("m")).select("m").distinct()
     later = lambda x, i: F.transform(F.filter("m", lambda y, j: (j > i) & x["leads"] & (x["n"] * 100 >= y["n"] * percent)), lambda y: F.struct(x["id"].alias("a"), x["n"].alias("na"), y["id"].alias("b"), y["n"].alias("nb")))
@@ -475,6 +477,11 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     found = components(links).select(F.col("node").alias("rep"), "label")
     for table in (held, pairs, wide):
         discard(table)
-    named = classes.select(*keys, "rep").join(found, "rep", "left").select(*keys, F.coalesce("label", "rep").alias("label"))
-    out = profiles.select("id", *keys).join(named, keys, "left")
+    named = classes.select(*keys, "rep", "copies").join(found, "rep", "left").select(*keys, "copies", F.coalesce("label", "rep").alias("label"))
+    named = written(named, "named")
+    # a class of copies may hold a third of all rows: those with more than one row in LARGE are at most LARGE classes, and broadcast
+    large = F.broadcast(named.where(F.col("copies") * LARGE > profiles.count()).select(*keys, F.col("label").alias("large")))
+    marked = profiles.select("id", *keys).join(large, keys, "left")
+    others = marked.where("large is null").drop("large").join(named.drop("copies"), keys, "left")
+    out = marked.where("large is not null").withColumnRenamed("large", "label").unionByName(others.select("id", *keys, "label"), allowMissingColumns=False)
     return out.select(F.col("id").cast(docs.schema[id_col].dataType).alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("label", "id").cast(docs.schema[id_col].dataType).alias("component_id"))

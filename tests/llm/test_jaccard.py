@@ -170,6 +170,16 @@ def test_few_words_for_the_width(width):
         assert (ends[1:] - ends[:-1]).tolist() == [n - width + 1 if n >= width else min(n, 1) for n in counts] and len(h) == ends[-1]
 
 
+@pytest.mark.parametrize("large", [2, 10**6])
+def test_large_classes(spark, monkeypatch, large):
+    """Labels of large classes are broadcast, those of others joined; a class without an id keeps its null."""
+    monkeypatch.setattr(jaccard, "LARGE", large)
+    rows = [(i, "a b c d e f g h" if i % 3 else f"x{i} y z w v u t s") for i in range(60)] + [(60, "a b c d e f g h i"), (61, None)]
+    assert run(spark, rows) == brute(rows)
+    docs = spark.createDataFrame([(None, "p q r s t")] * 9 + [(1, "other words are here")], "doc_id long, text string")
+    assert sorted(map(tuple, jaccard.link_components(docs).collect()), key=str) == sorted([(None, 2, None)] * 9 + [(1, 1, 1)], key=str)
+
+
 def test_query(spark, sf_dir):
     from lamina.llm.queries import op8_jaccard
 
